@@ -21,6 +21,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalore.llm.simhash import hex16, near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), threshold=2, shingle=3).select("doc_id", hex16("fp").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
