@@ -39,6 +39,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(_table(spark, sf_dir, "pages"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalore.llm.token_files import token_files
+
+    return token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), end=1)
+
+
 _OP5_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 d AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS hex FROM p),
