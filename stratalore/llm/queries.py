@@ -45,6 +45,12 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), end=1)
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalore.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents")).drop("copies")
+
+
 _OP5_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 d AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS hex FROM p),
