@@ -1,0 +1,64 @@
+import hashlib
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from stratalore.llm import pii
+
+
+def luhn(d):
+    return sum((x if i % 2 == 0 else x * 2 - 9 * (x > 4)) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+BASE = [
+    ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), lambda m: True),
+    ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda m: all(int(p) <= 255 for p in m.split("."))),
+    ("card", re.compile(r"[0-9]([\x20-]?[0-9])+"), lambda m: 14 <= len(re.sub(r"\D", "", m)) <= 19 and luhn(re.sub(r"\D", "", m))),
+    ("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"), lambda m: 10 <= len(re.sub(r"\D", "", m)) <= 15),
+]
+
+
+def naive(text):
+    spans = [(m.start(), k, m.end(), kind) for k, (kind, p, ok) in enumerate(BASE) for m in p.finditer(text or "") if ok(m[0])]
+    spans.sort()
+    joined = ",".join(f"{kind}:{a}:{z}" for a, _, z, kind in spans)
+    return (*(sum(s[3] == k for s in spans) for k, _, _ in BASE), hashlib.sha256(joined.encode()).hexdigest()), joined
+
+
+def run(df):
+    return [(r.doc_id, (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256), r.spans) for r in pii.pii_report(df).collect()]
+
+
+def test_base_matches_brute_force(spark, sf):
+    rng = random.Random(7)
+    atoms = ["a", "é", "😀", "@", ".", "x.y", "1", "22", "256", "0255", "9.9.9.9", " ", "-", "+", "(", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (017) 555-7713", "a@b.c", "%", "_", "\n"]
+    texts = [None, "", "a@b.c_d@e.f", "1.2.3.4.5.6.7.8", "+1 2 3 4 5 6 7 8 9 0)-", "00000.0.0.00255", "4111111111111111" * 2, "@" * 50]
+    texts += ["".join(rng.choice(atoms) for _ in range(rng.randint(1, 40))) for _ in range(400)]
+    texts += ["é 10.0.0.1 " * 700, "a" * 200_000, "1" * 100_000, "a." * 50_000 + "@", "x@" + "a." * 20_000 + "b", "+1" + " (" * 50_000]
+    docs = [*enumerate(texts), (3, "1.2.3.4.5.6.7.8"), (None, "q@r.s")]
+    df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, spans int").repartition(4)
+    got = sorted(run(df), key=lambda t: (t[0] is None, t[0], t[1]))
+    want = sorted([(d, *naive(t)) for d, t in docs], key=lambda t: (t[0] is None, t[0], t[1]))
+    for g, w in zip(got, want, strict=True):
+        assert g[:2] == w[:2]
+        assert set(filter(None, w[2].split(","))) <= set(g[2].split(","))
+    assert pii.pii_report(df.limit(0)).count() == 0
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    assert sorted(run(table)) == sorted((r.doc_id, *naive(r.text)) for r in table.collect())
+
+
+def test_added_kinds_scores_and_checksums(spark):
+    docs = [
+        (1, "IBAN GB82 WEST 1234 5698 7654 32 today"),
+        (2, "IBAN GB83 WEST 1234 5698 7654 32 today"),
+        (3, "her SSN 123-45-6789, part no. 123-45-6780, 000-12-3456"),
+        (4, "call (555) 234-5678 or order 555-234-5678"),
+        (5, "mail a@b.org"),
+    ]
+    got = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    found = {d: [(s.kind, dict(docs)[d][s.start : s.end]) for s in got[d]] for d in got}
+    assert found == {1: [("iban", "GB82 WEST 1234 5698 7654 32")], 2: [], 3: [("ssn", "123-45-6789")], 4: [("us_phone", "(555) 234-5678")], 5: [("email", "a@b.org")]}
+    assert got[1][0].score == 1.0 and got[5][0].score == 1.0
+    checks = spark.createDataFrame([("4111111111111111",), ("79927398713",), ("79927398714",)], "d string").select(pii.luhn(F.col("d")).alias("ok")).collect()
+    assert [r.ok for r in checks] == [True, True, False]
