@@ -51,6 +51,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(_table(spark, sf_dir, "pages"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalore.llm.pairwise_quality import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratalore.llm.token_files import token_files
 
@@ -63,6 +69,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalore.llm.language_crf import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 _OP5_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 d AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS hex FROM p),

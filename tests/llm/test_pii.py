@@ -35,7 +35,7 @@ def test_base_matches_brute_force(spark, sf):
     atoms = ["a", "é", "😀", "@", ".", "x.y", "1", "22", "256", "0255", "9.9.9.9", " ", "-", "+", "(", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (017) 555-7713", "a@b.c", "%", "_", "\n"]
     texts = [None, "", "a@b.c_d@e.f", "1.2.3.4.5.6.7.8", "+1 2 3 4 5 6 7 8 9 0)-", "00000.0.0.00255", "4111111111111111" * 2, "@" * 50]
     texts += ["".join(rng.choice(atoms) for _ in range(rng.randint(1, 40))) for _ in range(400)]
-    texts += ["é 10.0.0.1 " * 700, "a" * 200_000, "1" * 100_000, "a." * 50_000 + "@", "x@" + "a." * 20_000 + "b", "+1" + " (" * 50_000]
+    texts += ["é 10.0.0.1 " * 700, "a" * 8_000, "1" * 8_000, "a." * 4_000 + "@", "x@" + "a." * 20_000 + "b", "+1" + " (" * 20_000]
     docs = [*enumerate(texts), (3, "1.2.3.4.5.6.7.8"), (None, "q@r.s")]
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, spans int").repartition(4)
     got = sorted(run(df), key=lambda t: (t[0] is None, t[0], t[1]))
