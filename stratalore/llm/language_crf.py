@@ -52,16 +52,42 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
 
-def word_features(word: str, lexicon: frozenset[str]) -> list[int]:
-    """Hashed features of a word; none if it has no letter."""
-    if not any(map(str.isalpha, word)):
-        return []
-    w = f"^{word[:40]}$"
-    names = [f"p{w[1:k]}" for k in (2, 3, 4)] + [f"s{w[-k:]}" for k in (2, 3, 4, 5)]
-    names += [w[i : i + 2] for i in range(len(w) - 1)] + [w[i : i + 3] for i in range(len(w) - 2)]
-    if word in lexicon:
-        names.append(f"lex:{word}")
-    return [zlib.crc32(x.encode()) % BUCKETS for x in names]
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
+
+
+def _bucket(codes: list[np.ndarray], kind: int) -> np.ndarray:
+    """Bucket of a tuple of letters of one kind of feature."""
+    h = np.full(len(codes[0]), kind + 1, np.uint64) * _MIX[4]
+    for k, c in enumerate(codes):
+        h = (h ^ c) * _MIX[k % 4]
+        h ^= h >> np.uint64(29)
+    return (h % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def word_features(words: list[str], lexicon: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, bucket) of the hashed features of words that have letters.
+
+    Prefixes of 1-3 and suffixes of 1-4 letters, all 2- and 3-grams with marks at
+    both ends, and the word itself if it is in the lexicon.
+    """
+    marked = [f"^{w[:40]}$" for w in words]
+    c = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    starts = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(words)), sizes)
+    out = []
+    for k in (1, 2, 3):
+        w = np.flatnonzero(sizes - 2 >= k)
+        out.append((w, _bucket([c[starts[w] + 1 + i] for i in range(k)], k)))
+    for k in (1, 2, 3, 4):
+        w = np.flatnonzero(sizes - 2 >= k)
+        out.append((w, _bucket([c[starts[w] + sizes[w] - 2 - i] for i in range(k)], 3 + k)))
+    for k in (2, 3):
+        at = np.flatnonzero(owner[: len(c) - k + 1] == owner[k - 1 :]) if len(c) >= k else np.empty(0, np.int64)
+        out.append((owner[at], _bucket([c[at + i] for i in range(k)], 7 + k)))
+    known = np.fromiter((i for i, w in enumerate(words) if w in lexicon), np.int64)
+    out.append((known, np.fromiter((zlib.crc32(words[i].encode()) % BUCKETS for i in known.tolist()), np.int64, len(known))))
+    return np.concatenate([w for w, _ in out]), np.concatenate([b for _, b in out])
 
 
 @dataclass
@@ -82,16 +108,11 @@ class Model:
         if len(self.memo) + len(new) > MEMO_WORDS:
             self.memo, self.table, new = {}, None, list(set(words))
         if new:
-            feats = [word_features(w, self.lexicon) for w in new]
-            sizes = np.fromiter(map(len, feats), np.int64, len(feats))
-            rows = np.zeros((len(new), len(self.languages)), np.float32)
-            flat = np.fromiter((x for f in feats for x in f), np.int64, int(sizes.sum()))
-            some = sizes > 0
-            if some.any():
-                starts = (np.cumsum(sizes) - sizes)[some]
-                rows[some] = np.add.reduceat(self.weights[flat], starts, axis=0)
+            ok = [any(map(str.isalpha, w)) for w in new]
+            owner, bucket = word_features(new, self.lexicon)
+            rows = np.stack([np.bincount(owner, self.weights[bucket, y], len(new)) for y in range(len(self.languages))], axis=1).astype(np.float32)
             base = 0 if self.table is None else len(self.table)
-            self.memo.update((w, base + i if ok else -1) for i, (w, ok) in enumerate(zip(new, some.tolist(), strict=True)))
+            self.memo.update((w, base + i if good else -1) for i, (w, good) in enumerate(zip(new, ok, strict=True)))
             self.table = rows if self.table is None else np.concatenate((self.table, rows))
         return np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words)), self.table
 
@@ -227,10 +248,7 @@ def fit(samples: dict[str, list[str]]) -> Model:
     gold = np.repeat([y for y, _ in stretches], [len(ws) for _, ws in stretches])
     lengths = np.full(-(-len(ids) // SEQUENCE), SEQUENCE)
     lengths[-1] = len(ids) - SEQUENCE * (len(lengths) - 1)
-    feats = [word_features(w, lexicon) for w in vocabulary]
-    sizes = np.fromiter(map(len, feats), np.int64, len(feats))
-    flat = np.fromiter((x for f in feats for x in f), np.int64, int(sizes.sum()))
-    starts = np.cumsum(sizes) - sizes
+    owner, bucket = word_features(list(vocabulary), lexicon)
     inner = np.ones(len(ids), bool)
     inner[np.cumsum(lengths) - lengths] = False
     at = np.flatnonzero(inner)
@@ -240,11 +258,10 @@ def fit(samples: dict[str, list[str]]) -> Model:
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)]
     truth = np.eye(k)[gold]
     for step in range(1, STEPS + 1):
-        emission = np.add.reduceat(w[flat], starts, axis=0)
+        emission = np.stack([np.bincount(owner, w[bucket, y], len(vocabulary)) for y in range(k)], axis=1)
         p, expected = forward_backward(emission[ids], lengths, t, pairs=True)
-        by_word = np.stack([np.bincount(ids, (p - truth)[:, y], len(vocabulary)) for y in range(k)], axis=1)
-        spread = np.repeat(by_word, sizes, axis=0)
-        gw = np.stack([np.bincount(flat, spread[:, y], BUCKETS) for y in range(k)], axis=1) / len(ids) + RIDGE * w
+        miss = [np.bincount(ids, (p - truth)[:, y], len(vocabulary)) for y in range(k)]
+        gw = np.stack([np.bincount(bucket, m[owner], BUCKETS) for m in miss], axis=1) / len(ids) + RIDGE * w
         gt = (expected - seen) / len(ids) + RIDGE * t
         for value, gradient, m, v in ((w, gw, state[0], state[1]), (t, gt, state[2], state[3])):
             m += 0.1 * (gradient - m)
