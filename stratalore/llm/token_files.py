@@ -17,6 +17,7 @@ an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -31,11 +32,14 @@ from stratalore.llm.files import read_file, write_file
 from stratalore.session import bound_batches, fresh_path, materialize, ship, shuffle_partitions
 
 SHARD_TOKENS = 1 << 22
-#: Distinct words whose ids one worker remembers before it starts afresh.
-MEMO_WORDS = 500_000
+#: Distinct words, and distinct parts of words, whose ids one worker remembers.
+MEMO_WORDS, MEMO_PARTS = 250_000, 250_000
+#: Parts that go through the library in one text.
+JOINED = 5000
 
 _encoders: dict = {}
-_SPLIT = re.compile("([a-zªµºß-öø-įı-ɏ]+)([!-&(-/:-@\\[-`{-~]*)")
+#: A line that is a lower-case Latin word with closing marks, or any other line.
+_SPLIT = re.compile("^(?:([a-zªµºß-öø-įı-ɏ]+)([!-&(-/:-@\\[-`{-~]*)|([^\n]+))$", re.MULTILINE)
 
 
 class Encoder:
@@ -49,33 +53,52 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.memo: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}  # parts of the generation before
         top = self.library.get_vocab_size(with_added_tokens=True)
         self.width = max(1, (top - 1).bit_length())
         self.kind = np.dtype("<u2" if self.width <= 16 else "<u4")
+        suffix = json.loads(spec)["model"].get("end_of_word_suffix") or ""
+        self.closes = np.zeros(top, bool)  # ids that end a pre-token
+        self.closes[[i for t, i in self.library.get_vocab(with_added_tokens=False).items() if suffix and t.endswith(suffix)]] = True
 
-    def _library_ids(self, words: list[str]) -> list[bytes]:
+    def _one_by_one(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """Ids of words that are one pre-token each: one text is encoded and cut where pre-tokens end."""
+        out: list[bytes] = []
+        for k in range(0, len(words), JOINED):
+            part = words[k : k + JOINED]
+            ids = np.array(self.library.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            ends = (np.flatnonzero(self.closes[ids]) + 1) * self.kind.itemsize
+            if len(ends) != len(part):
+                out += self._one_by_one(part)
+                continue
+            data, at = ids.tobytes(), 0
+            for end in ends.tolist():
+                out.append(data[at:end])
+                at = end
+        return out
+
     def learn(self, new: list[bytes]) -> None:
         """A plain word with closing marks has the ids of the word, then those of the marks."""
-        pieces: dict[str, None] = {}
-        split = []
-        for word in new:
-            text = word.decode("utf-8", "replace")
-            m = _SPLIT.fullmatch(text.lower())
-            got = [x for x in m.groups() if x] if m and "İ" not in text else [text]
-            split.append(got)
-            for x in got:
-                if x not in self.parts:
-                    pieces[x] = None
-        if len(self.parts) + len(pieces) > MEMO_WORDS:
-            self.parts.clear()
-            pieces = dict.fromkeys(x for got in split for x in got)
-        self.parts.update(zip(pieces, self._library_ids(list(pieces)), strict=True))
-        part = self.parts.__getitem__
-        for word, got in zip(new, split, strict=True):
-            self.memo[word] = part(got[0]) if len(got) == 1 else part(got[0]) + part(got[1])
+        if not new:
+            return
+        if len(self.parts) > MEMO_PARTS:
+            self.parts, self.older = {"": b""}, self.parts
+        found = _SPLIT.findall(b"\n".join(new).decode("utf-8", "replace").lower())
+        stems, marks, rest = zip(*found, strict=True)
+        parts, older = self.parts, self.older
+        missing = set(stems).union(marks).difference(parts)
+        parts.update((x, older[x]) for x in missing.intersection(older))
+        missing = list(missing.difference(older))
+        parts.update(zip(missing, self._joined(missing), strict=True))
+        look = parts.__getitem__
+        self.memo.update(zip(new, map(bytes.__add__, map(look, stems), map(look, marks)), strict=True))
+        if any(rest):
+            other = [w for w, r in zip(new, rest, strict=True) if r]
+            self.memo.update(zip(other, self._one_by_one([w.decode("utf-8", "replace") for w in other]), strict=True))
 
     def encode(self, texts: list[bytes | None], end: int | None) -> list[bytes]:
         words = [t.split() if t else [] for t in texts]
