@@ -1,0 +1,103 @@
+"""Chat and social exports, captured conversations and connector state as tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from stratalore.functions.text import safe_title
+from stratalore.sources.files import CHATGPT, is_media, media_type
+
+POSTS = "array<struct<timestamp:bigint,data:array<struct<post:string>>>>"
+COMMENTS = "struct<comments_v2:array<struct<timestamp:bigint,data:array<struct<comment:struct<comment:string>>>>>>"
+THREAD = "struct<title:string,participants:array<struct<name:string>>,messages:array<struct<sender_name:string,timestamp_ms:bigint,content:string>>>"
+THREAD_MESSAGES, REINDEX_LIMIT = 500, 10_000
+
+
+def content_text(content: Column) -> Column:
+    """Non-empty parts joined by line ends, else the text."""
+    parts = F.filter(F.coalesce(content["parts"], F.array().cast("array<string>")), lambda p: p.isNotNull() & (p != ""))
+    return F.when(F.size(parts) > 0, F.array_join(parts, "\n")).otherwise(F.coalesce(content["text"], F.lit("")))
+
+
+def chatgpt_conversations(entries: DataFrame) -> DataFrame:
+    """(id, title, create_time, update_time, messages, export_file) of conversations.json entries.
+
+    Messages without text and from the system are left out; the rest is in order of
+    time, a missing time first. Conversations without messages are left out.
+    """
+    raw = entries.where(F.col("entry").rlike("(^|/)conversations\\.json$")).select(F.explode(F.from_json(F.col("content").cast("string"), CHATGPT)).alias("c"))
+
+    def message(n: Column) -> Column:
+        role = n["message"]["author"]["role"]
+        return F.struct(F.coalesce(n["message"]["create_time"], F.lit(0.0)).alias("create_time"), F.when(role.isin("user", "assistant", "system"), role).otherwise("unknown").alias("role"), content_text(n["message"]["content"]).alias("content"))
+
+    nodes = F.filter(F.map_values("c.mapping"), lambda n: n["message"].isNotNull())
+    kept = F.filter(F.transform(nodes, message), lambda m: (m["content"] != "") & (m["role"] != "system"))
+    out = raw.select(F.coalesce("c.id", F.lit("unknown")).alias("id"), F.coalesce("c.title", F.lit("Untitled")).alias("title"), "c.create_time", "c.update_time", F.sort_array(kept).alias("messages"))
+    named = F.concat(F.lit("chatgpt_"), F.col("id"), F.lit("_"), F.trim(safe_title(F.col("title"))), F.lit(".json"))
+    return out.where(F.size("messages") > 0).withColumn("export_file", named)
+
+
+def conversation_documents(conversations: DataFrame, source: str = "chatgpt") -> DataFrame:
+    """(text, metadata) of conversations with messages (role, content)."""
+    lines = F.transform(F.filter("messages", lambda m: m["role"].isNotNull() & m["content"].isNotNull()), lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
+    meta = F.create_map(F.lit("source"), F.lit(source), F.lit("conversationId"), F.col("id"), F.lit("title"), F.col("title"), F.lit("exportFile"), F.col("export_file"))
+    return conversations.select(F.array_join(lines, "\n\n").alias("text"), meta.alias("metadata")).where("text <> ''")
+
+
+def facebook_documents(entries: DataFrame) -> DataFrame:
+    """(type, timestamp, title, text) of posts, comments and message threads in an export, by entry path."""
+    name, raw = F.lower("entry"), F.col("content").cast("string")
+    posts = entries.where(name.contains("posts") & name.endswith(".json")).select(F.explode(F.from_json(raw, POSTS)).alias("p")).select(F.lit("post").alias("type"), F.coalesce("p.timestamp", F.lit(0).cast("long")).alias("timestamp"), F.lit(None).cast("string").alias("title"), F.get(F.col("p.data"), F.lit(0))["post"].alias("text"))
+    comments = entries.where(name.contains("comments") & name.endswith(".json")).select(F.explode(F.from_json(raw, COMMENTS)["comments_v2"]).alias("p")).select(F.lit("comment").alias("type"), F.coalesce("p.timestamp", F.lit(0).cast("long")).alias("timestamp"), F.lit(None).cast("string").alias("title"), F.get(F.col("p.data"), F.lit(0))["comment"]["comment"].alias("text"))
+    threads = entries.where(name.contains("messages") & name.endswith(".json")).select(F.from_json(raw, THREAD).alias("t")).where(F.size("t.messages") > 0)
+    lines = F.transform(F.slice("t.messages", 1, THREAD_MESSAGES), lambda m: F.concat(F.coalesce(m["sender_name"], F.lit("")), F.lit(": "), F.coalesce(m["content"], F.lit(""))))
+    people = F.array_join(F.transform(F.coalesce("t.participants", F.array().cast("array<struct<name:string>>")), lambda p: p["name"]), ", ")
+    talk = threads.select(F.lit("message_thread").alias("type"), F.coalesce(F.get(F.col("t.messages"), F.lit(0))["timestamp_ms"], F.lit(0).cast("long")).alias("timestamp"), F.concat_ws(" - ", F.coalesce("t.title", F.lit("Unknown thread")), F.nullif(people, F.lit(""))).alias("title"), F.array_join(lines, "\n\n").alias("text"))
+    return posts.unionByName(comments).unionByName(talk).where("text is not null and text <> ''")
+
+
+def media_registry(entries: DataFrame) -> DataFrame:
+    return entries.where(is_media(F.col("entry"))).select("path", "entry", "size", media_type(F.col("entry")).alias("media_type"))
+
+
+def media_totals(registry: DataFrame) -> DataFrame:
+    of = lambda k: F.count_if(F.col("media_type") == k).alias(f"{k}s")
+    return registry.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), of("photo"), of("video"), of("audio"))
+
+
+def captured_documents(messages: DataFrame, conv: str = "conv_id", order: str = "turn", limit: int | None = None) -> DataFrame:
+    """(conv_id, text) of flat (conversation, turn, role, text) rows; conversations without text are left out."""
+    line = F.concat("role", F.lit(": "), "text")
+    rows = messages.where("role is not null and text is not null").groupBy(conv).agg(F.array_sort(F.collect_list(F.struct(F.col(order), line.alias("line")))).alias("m"))
+    out = rows.select(conv, F.array_join(F.transform("m", lambda x: x["line"]), "\n\n").alias("text")).where("text <> ''")
+    return out.orderBy(conv).limit(limit) if limit else out
+
+
+def upsert(table: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
+    """Rows of ``changes`` replace those with the same key."""
+    return table.join(changes.select(key), key, "left_anti").unionByName(changes)
+
+
+def latest(log: DataFrame, key: str, at: str) -> DataFrame:
+    """The last row of each key in an appended log; of equal times the one with the largest content."""
+    rest = [c for c in log.columns if c != key]
+    last = log.groupBy(key).agg(F.max(F.struct(F.col(at), *[F.col(c) for c in rest if c != at])).alias("r"))
+    return last.select(key, *[F.col(f"r.{c}").alias(c) for c in rest]).select(*log.columns)
+
+
+def sites_with_auth(sites: DataFrame, auth: DataFrame) -> DataFrame:
+    return sites.join(auth, "site", "left")
+
+
+def cookies_of(cookies: DataFrame, domains: list[str]) -> DataFrame:
+    """Cookies whose domain ends in one of the given ones."""
+    ends = F.lit(False)
+    for d in domains:
+        ends = ends | F.col("domain").endswith(d)
+    return cookies.where(ends)
+
+
+def interval_hours(hours: Column) -> Column:
+    return F.greatest(F.lit(0.5), F.least(F.lit(24.0), hours.cast("double")))
