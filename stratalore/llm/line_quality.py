@@ -27,7 +27,7 @@ MAX_LOST_PERCENT = 50
 SYMBOLS = "[#*$%&|<>]"
 #: Fixed phrases of page furniture, lower case.
 BOILERPLATE = "(all rights reserved|terms of (use|service)|privacy policy|cookie policy|accept( all)? cookies|enable javascript|lorem ipsum|sign up for our newsletter|click here to|skip to (main )?content)"
-CLOSING = "[.!?\\u2026\"'\\u201d\\u00bb):;][\\x20\\x09-\\x0D#*$%&|<>]*$"
+CLOSING = "[.!?\\u2026\"'\\u201d\\u00bb):;][\\x20\\x09-\\x0D#*$%&|<>]*\\z"
 #: A line with fewer words and no closing punctuation is a fragment.
 FRAGMENT_WORDS = 3
 

@@ -75,25 +75,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
-_OP5_SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
-d AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS hex FROM p),
-f AS (SELECT *, min(page_id) OVER (PARTITION BY hex, payload_bytes) AS first FROM d),
-b AS (SELECT *, CAST(CAST(unhex(hex) AS BIT) AS VARCHAR) AS bits FROM f)
-SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
-       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1
-           + 16 * CAST(substr(bits, CAST(5 * i + 1 AS BIGINT), 1) AS INT) + 8 * CAST(substr(bits, CAST(5 * i + 2 AS BIGINT), 1) AS INT)
-           + 4 * CAST(substr(bits, CAST(5 * i + 3 AS BIGINT), 1) AS INT) + 2 * CAST(substr(bits, CAST(5 * i + 4 AS BIGINT), 1) AS INT)
-           + CAST(substr(bits, CAST(5 * i + 5 AS BIGINT), 1) AS INT) AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
-       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> first THEN first END AS refers_to
-FROM b
-"""
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": _OP5_SQL}
+    from stratalore.llm import sql
+
+    return {"op2_quality_rules": sql.QUALITY_RULES, "op5_warc": sql.WARC, "op6_decontamination": sql.DECONTAMINATION, "op9_mixing": sql.MIXING}
