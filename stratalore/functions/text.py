@@ -123,6 +123,17 @@ def classify_topics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def document_topics(chunk_topics: DataFrame, id_col: str = "doc_id", order: str = "chunk_index", col: str = "topics") -> DataFrame:
+    """(id, topics): topics of a document's chunks, each once, in order of first appearance."""
+    rows = chunk_topics.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(order, col))).alias("all"))
+    return rows.select(id_col, F.array_distinct(F.flatten(F.transform("all", lambda s: s[col]))).alias("topics"))
+
+
+def metadata_map(raw: Column) -> Column:
+    """A JSON object as a map of strings; anything else is an empty map."""
+    return F.coalesce(F.from_json(raw, "map<string,string>"), F.create_map().cast("map<string,string>"))
+
+
 def content_type(text: Column, source: Column | None = None, filename: Column | None = None) -> Column:
     low = F.lower(text)
     name = F.lower(F.coalesce(filename, F.lit(""))) if filename is not None else F.lit("")

@@ -43,3 +43,10 @@ def quantize(v: Column) -> Column:
 
 def dequantize(codes: Column, scale: Column, offset: Column) -> Column:
     return F.transform(codes, lambda c: c * scale + offset)
+
+
+def mean_pool(token_vectors: Column, mask: Column) -> Column:
+    """Mean of the vectors whose mask is 1; null if none is."""
+    kept = F.transform(F.filter(F.arrays_zip(token_vectors.alias("v"), mask.alias("m")), lambda x: x["m"] == 1), lambda x: doubles(x["v"]))
+    total = F.aggregate(F.slice(kept, 2, F.greatest(F.size(kept), F.lit(1))), F.get(kept, F.lit(0)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    return F.when(F.size(kept) > 0, F.transform(total, lambda x: x / F.size(kept)))

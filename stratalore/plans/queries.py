@@ -17,7 +17,7 @@ from stratalore.functions import text as X
 from stratalore.functions import vectors as VEC
 from stratalore.functions import vocabulary as V
 from stratalore.functions.chunking import chunk_documents
-from stratalore.operators import consent, jobs, search
+from stratalore.operators import consent, graph, jobs, search
 from stratalore.operators import store as S
 from stratalore.sources import connectors
 from stratalore.streaming import ingest as streams
@@ -522,6 +522,43 @@ def file_kinds(spark, d):
     return p.select("page_id", X.file_kind(F.col("url")).alias("kind"))
 
 
+@query("SELECT user_id, string_agg(event_type, ',' ORDER BY first) AS types FROM (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY ALL) GROUP BY 1")
+def document_topics(spark, d):
+    e = t(spark, d, "events").select("user_id", "event_id", F.array("event_type").alias("topics"))
+    return X.document_topics(e, "user_id", "event_id").select("user_id", F.array_join("topics", ",").alias("types"))
+
+
+@query("SELECT count(*) AS total_captures, count(DISTINCT conv_id) AS conversations_tracked FROM conversations")
+def capture_stats(spark, d):
+    return connectors.capture_stats(t(spark, d, "conversations"))
+
+
+@query("SELECT label, round(sum(x) / count(*), 6) AS mean FROM (SELECT label, embedding[1] AS x FROM embeddings) GROUP BY 1".replace("embedding[1]", "CAST(embedding[1] AS DOUBLE)"))
+def mean_pool(spark, d):
+    e = t(spark, d, "embeddings").groupBy("label").agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("all"))
+    vectors = F.transform("all", lambda s: s["embedding"])
+    return e.select("label", F.round(F.get(VEC.mean_pool(vectors, F.transform("all", lambda s: F.lit(1))), F.lit(0)), 6).alias("mean"))
+
+
+@query("SELECT count(DISTINCT doc_id) + count(DISTINCT source) AS node_count, count(*) AS edge_count FROM documents")
+def entity_graph(spark, d):
+    mentions = docs(spark, d).select("doc_id", F.array("source").alias("entities"))
+    return graph.stats(*graph.from_entities(mentions))
+
+
+@query("SELECT page_id, replace(url, 'http://', 'file:/') AS path FROM pages WHERE starts_with(url, 'http://') UNION ALL SELECT page_id, url FROM pages WHERE NOT starts_with(url, 'http://')")
+def manifest_rewrite(spark, d):
+    return connectors.rewrite_paths(t(spark, d, "pages").select("page_id", F.col("url").alias("path")), "http://", "file:/")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events) WHERE k = (SELECT min(x) FROM (SELECT unnest(json_keys(props)) AS x FROM events))")
+def metadata_values(spark, d):
+    e = t(spark, d, "events").select("event_id", X.metadata_map(F.col("props")).alias("m"))
+    pairs = e.select("event_id", F.explode("m").alias("k", "value"))
+    first = pairs.agg(F.min("k").alias("k"))
+    return pairs.join(F.broadcast(first), "k").select("event_id", "value")
+
+
 # Generic joins and aggregates over the star schema
 
 @query("SELECT n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalore.functions.text import safe_title
@@ -101,3 +101,54 @@ def cookies_of(cookies: DataFrame, domains: list[str]) -> DataFrame:
 
 def interval_hours(hours: Column) -> Column:
     return F.greatest(F.lit(0.5), F.least(F.lit(24.0), hours.cast("double")))
+
+
+# Sites whose conversations can be captured (name, address, cookie domains).
+SITES = [
+    ("chatgpt", "https://chatgpt.com", [".chatgpt.com", ".openai.com"]),
+    ("claude", "https://claude.ai", [".claude.ai", ".anthropic.com"]),
+    ("gemini", "https://gemini.google.com", [".google.com", ".gemini.google.com"]),
+]
+
+
+def sites(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SITES, "site string, url string, cookie_domains array<string>")
+
+
+def cookie_counts(cookies: DataFrame) -> DataFrame:
+    """Cookies by site: those whose domain ends in one of the site's."""
+    spark = cookies.sparkSession
+    ends = sites(spark).select("site", F.explode("cookie_domains").alias("end"))
+    # A table of constants: a handful of rows.
+    return cookies.join(F.broadcast(ends), F.endswith(F.col("domain"), F.col("end"))).groupBy("site").agg(F.count("*").alias("n"))
+
+
+def capture_stats(messages: DataFrame, conv: str = "conv_id") -> DataFrame:
+    return messages.agg(F.count("*").alias("total_captures"), F.countDistinct(conv).alias("conversations_tracked"))
+
+
+def write_exports(conversations: DataFrame, path: str) -> None:
+    """One JSON line for each conversation."""
+    conversations.write.mode("append").json(path)
+
+
+def read_exports(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
+    """Conversations written by ``write_exports``, and the file each came from."""
+    schema = "id string, title string, create_time double, update_time double, messages array<struct<create_time:double,role:string,content:string>>, export_file string"
+    return spark.read.schema(schema).option("pathGlobFilter", pattern).json(path).withColumn("file", F.input_file_name())
+
+
+def rewrite_paths(manifest: DataFrame, old: str, new: str, col: str = "path") -> DataFrame:
+    """A manifest after its folder moved: only a leading ``old`` changes."""
+    return manifest.withColumn(col, F.when(F.startswith(F.col(col), F.lit(old)), F.concat(F.lit(new), F.substring(F.col(col), len(old) + 1, 1 << 20))).otherwise(F.col(col)))
+
+
+def device_fingerprint(name: Column, host: Column) -> Column:
+    """The first 16 bytes of a SHA-256, in hex."""
+    return F.left(F.sha2(F.concat(name, host), 256), F.lit(32))
+
+
+def provider(preferred: Column, keys: Column, order: tuple[str, ...] = ("anthropic", "groq", "openai")) -> Column:
+    """The preferred provider if it has a key (map of names to keys), with "auto" the first in order that has one."""
+    automatic = F.coalesce(*[F.when(F.element_at(keys, p).isNotNull(), F.lit(p)) for p in order])
+    return F.when(preferred == "auto", automatic).otherwise(F.when(F.element_at(keys, preferred).isNotNull(), preferred))

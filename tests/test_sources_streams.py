@@ -77,6 +77,20 @@ def test_small_tables(spark):
     assert [r.h for r in hours] == [0.5, 5.0, 24.0]
 
 
+def test_connector_state(spark, tmp_path):
+    cookies = spark.createDataFrame([("x.chatgpt.com",), ("www.claude.ai",), ("evil.org",)], "domain string")
+    assert {r.site: r.n for r in C.cookie_counts(cookies).collect()} == {"chatgpt": 1, "claude": 1}
+    auth = spark.createDataFrame([("claude", True)], "site string, ok boolean")
+    assert C.sites_with_auth(C.sites(spark), auth).count() == 3
+    conv = spark.createDataFrame([("c1", "T", 1.0, 2.0, [(1.0, "user", "hi")], "chatgpt_c1_T.json")], "id string, title string, create_time double, update_time double, messages array<struct<create_time:double,role:string,content:string>>, export_file string")
+    C.write_exports(conv, str(tmp_path / "x"))
+    back = C.read_exports(spark, str(tmp_path / "x"))
+    assert C.conversation_documents(back).first().text == "user: hi" and back.first().file.endswith(".json")
+    keys = spark.createDataFrame([("auto", {"openai": "k", "groq": "k"}), ("openai", {"groq": "k"}), ("groq", {"groq": "k"})], "p string, k map<string,string>")
+    assert [r.v for r in keys.select(C.provider(F.col("p"), F.col("k")).alias("v")).collect()] == ["groq", None, "groq"]
+    assert len(keys.select(C.device_fingerprint(F.col("p"), F.lit("h")).alias("v")).first().v) == 32
+
+
 def test_privacy(spark):
     texts = {1: "mail a.b@c.org now", 2: "call (555) 123-4567", 3: "ssn 123-45-6789", 4: "host 192.168.1.100", 5: "😀 a@b.co and 123-45-6789 and https://x.y/z?q=1", 6: "none", 7: None, 8: "card 4111 1111 1111 1111"}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
