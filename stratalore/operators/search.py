@@ -41,18 +41,31 @@ def word_tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\p{M}\p{Co}]+"), lambda t: t != "")
 
 
-def stem_vocabulary(words: DataFrame) -> DataFrame:
-    """(word, term): folded Porter stem of each distinct word; Python sees each word once."""
-    ship(words.sparkSession)
+#: Words whose stems a worker remembers.
+MEMO_WORDS = 200_000
+_stems: dict[str, str] = {}
 
-    @F.pandas_udf("string")
-    def stems(w: pd.Series) -> pd.Series:
-        from stratalore.functions.porter import stem
-        from stratalore.operators.search import fold
 
-        return w.map(lambda x: stem(fold(x)))
+def stem_words(words) -> list[str]:
+    """Folded Porter stems; each word is stemmed once while it is remembered."""
+    if len(_stems) > MEMO_WORDS:
+        _stems.clear()
+    for w in words:
+        if w not in _stems:
+            _stems[w] = porter.stem(fold(w))
+    return [_stems[w] for w in words]
 
-    return words.select("word").distinct().withColumn("term", stems("word"))
+
+def stem_tokens(tokens: Column) -> Column:
+    """Stems of arrays of words, in place: no word is shuffled, so frequent words make no hot partition."""
+
+    @F.pandas_udf("array<string>")
+    def stems(arrays: pd.Series) -> pd.Series:
+        from stratalore.operators.search import stem_words
+
+        return arrays.map(stem_words)
+
+    return stems(tokens)
 
 
 @dataclass
@@ -67,18 +80,16 @@ class Index:
 
 def build_index(chunks: DataFrame, stemmed: bool = True, id_col: str = "chunk_id", text_cols: tuple[str, ...] = ("text",), level_col: str | None = None) -> Index:
     """Index of all chunks; positions of a later column go on far behind those of the one before."""
-    tokens = word_tokens if stemmed else plain_tokens
+    if stemmed:
+        ship(chunks.sparkSession)
+    tokens = (lambda c: stem_tokens(word_tokens(c))) if stemmed else plain_tokens
     base = chunks.select(F.col(id_col).alias("chunk_id"), (F.col(level_col) if level_col else F.lit(1)).alias("level"), *[tokens(F.col(c)).alias(f"_{i}") for i, c in enumerate(text_cols)])
     gap = 1 << 24
 
     def placed(i: int) -> Column:
-        return F.transform(f"_{i}", lambda w, p: F.struct(w.alias("word"), (p + i * gap).alias("at")))
+        return F.transform(f"_{i}", lambda w, p: F.struct(w.alias("term"), (p + i * gap).alias("at")))
 
-    each = base.select("chunk_id", F.explode(F.concat(*map(placed, range(len(text_cols))))).alias("t")).select("chunk_id", "t.word", "t.at")
-    if stemmed:
-        each = each.join(stem_vocabulary(each), "word").select("chunk_id", "term", "at")
-    else:
-        each = each.withColumnRenamed("word", "term")
+    each = base.select("chunk_id", F.explode(F.concat(*map(placed, range(len(text_cols))))).alias("t")).select("chunk_id", "t.term", "t.at")
     postings = each.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
     lengths = base.select("chunk_id", "level", sum((F.size(f"_{i}") for i in range(len(text_cols))), F.lit(0)).cast("long").alias("length"))
     totals = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("avg"))
