@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from stratalore.session import bound_batches, ship
 
@@ -80,7 +81,7 @@ class Model:
 
 def fit(x: np.ndarray, good: np.ndarray) -> Model:
     """Weights from preference pairs of all good with all bad rows, or ``MAX_PAIRS`` drawn from them."""
-    width = x.shape[1] if x.size else len(FEATURES)
+    width = x.shape[1]
     if not good.any() or good.all():
         return Model(np.zeros(width), np.ones(width), np.zeros(width), 0.0)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
@@ -135,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     # At most MAX_ROWS ids of 16 bytes: small enough to send to every task.
     rows = texts.join(F.broadcast(sample), "id").select("good", "text").mapInArrow(_extract, "good boolean, x array<double>").collect()
-    return fit(np.array([r.x for r in rows], float).reshape(len(rows), -1), np.array([r.good for r in rows], bool))
+    return fit(np.array([r.x for r in rows], float).reshape(len(rows), len(FEATURES)), np.array([r.good for r in rows], bool))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
@@ -144,19 +145,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     ship(spark)
     bound_batches(spark)
     state = docs.select(docs[id_col].cast("long").alias("doc_id"), held_out(docs[id_col].cast("long")).alias("held_out"), docs[text_col].cast("string").alias("text"), *([F.struct(*[docs[c] for c in docs.columns]).alias("doc")] if carry else []))
-    picked = [f for f in state.schema if f.name != "text"]
+    kept = [i for i, f in enumerate(state.schema) if f.name != "text"]
+    picked = [state.schema[i] for i in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from stratalore.llm.pairwise_quality import features
 
         for b in batches:
-            x = np.array([features(t) for t in b.column(2).cast(pa.binary()).to_pylist()], float).reshape(b.num_rows, -1)
-            s = model.score(x) if b.num_rows else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in picked), pa.array(s), pa.array((s >= CUT).astype(np.int32))], [*(f.name for f in picked), "score", "predicted"])
+            x = np.array([features(t) for t in b.column(2).cast(pa.binary()).to_pylist()], float).reshape(b.num_rows, len(FEATURES))
+            s = model.score(x)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(s), pa.array((s >= CUT).astype(np.int32))], [*(f.name for f in picked), "score", "predicted"])
 
-    from pyspark.sql.types import DoubleType, IntegerType, StructType
-
-    schema = StructType(picked).add("score", DoubleType()).add("predicted", IntegerType())
+    schema = StructType([*picked, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
     return state.mapInArrow(run, schema)
 
 
