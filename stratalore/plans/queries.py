@@ -120,7 +120,7 @@ def metadata_merge(spark, d):
     return out.select(F.col("id").alias("doc_id"), F.element_at("metadata", "source").alias("source"), F.element_at("metadata", "lang").alias("lang"), F.map_contains_key("metadata", "metadata_updated_at").alias("changed"))
 
 
-@query("SELECT count(*) AS documents, sum(strlen(text)) AS bytes, count(DISTINCT source) AS sources, count(*) FILTER (lang = 'en') AS english FROM documents")
+@query("SELECT count(*) AS documents, CAST(sum(strlen(text)) AS BIGINT) AS bytes, count(DISTINCT source) AS sources, count(*) FILTER (lang = 'en') AS english FROM documents")
 def collection_stats(spark, d):
     return docs(spark, d).agg(F.count("*").alias("documents"), F.sum(F.octet_length("text")).alias("bytes"), F.countDistinct("source").alias("sources"), F.count_if(F.col("lang") == "en").alias("english"))
 
