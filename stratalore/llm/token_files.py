@@ -33,7 +33,7 @@ from stratalore.session import bound_batches, fresh_path, materialize, ship, shu
 
 SHARD_TOKENS = 1 << 22
 #: Distinct words, and distinct parts of words, whose ids one worker remembers.
-MEMO_WORDS, MEMO_PARTS = 250_000, 250_000
+MEMO_WORDS, MEMO_PARTS = 400_000, 400_000
 #: Parts that go through the library in one text.
 JOINED = 5000
 
@@ -126,21 +126,27 @@ def _vocabulary(tokenizer_file: str) -> tuple[str, int]:
     return spec, max(1, (Tokenizer.from_str(spec).get_vocab_size(with_added_tokens=True) - 1).bit_length())
 
 
-def encode(docs: DataFrame, tokenizer_file: str, end: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids binary): ids of each text, little-endian, 2 bytes each if the vocabulary allows, else 4."""
+def encode(docs: DataFrame, tokenizer_file: str, end: int | None = 1, id_col: str = "doc_id", text_col: str = "text", bounds: list[int] | None = None) -> DataFrame:
+    """(part, doc_id, ids binary): ids of each text, little-endian, 2 bytes each if the vocabulary allows, else 4.
+
+    ``part`` is the number of ``bounds`` that an id has reached; a null id has none.
+    """
     spark = docs.sparkSession
     ship(spark)
     bound_batches(spark)
     spec = spark.sparkContext.broadcast(_vocabulary(tokenizer_file)[0])
+    edges = np.array(bounds or [], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from stratalore.llm.token_files import encoder_of
 
         encoder = encoder_of(spec.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(encoder.encode(b.column(1).cast(pa.binary()).to_pylist(), end), pa.binary())], ["doc_id", "ids"])
+            part = np.searchsorted(edges, b.column(0).fill_null(-(2**63)).to_numpy(), "right").astype(np.int32)
+            ids = encoder.encode(b.column(1).cast(pa.binary()).to_pylist(), end)
+            yield pa.RecordBatch.from_arrays([pa.array(part), b.column(0), pa.array(ids, pa.binary())], ["part", "doc_id", "ids"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "part int, doc_id long, ids binary")
 
 
 def write_shards(docs: DataFrame, tokenizer_file: str, path: str, end: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,12 +161,6 @@ def write_shards(docs: DataFrame, tokenizer_file: str, path: str, end: int | Non
     bounds = docs.select(docs[id_col].cast("long").alias("doc_id")).stat.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n) if n > 1 else []
     bounds = [int(x) for x in bounds]
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(0).fill_null(-(2**63)).to_numpy()
-            part = np.searchsorted(np.array(bounds, np.int64), ids, "right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(part), *b.columns], ["part", "doc_id", "ids"])
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from stratalore.llm.wavelet import Shard
 
@@ -187,7 +187,7 @@ def write_shards(docs: DataFrame, tokenizer_file: str, path: str, end: int | Non
         if held[0]:
             yield flush()
 
-    dealt = encode(docs, tokenizer_file, end, id_col, text_col).mapInArrow(deal, "part int, doc_id long, ids binary")
+    dealt = encode(docs, tokenizer_file, end, id_col, text_col, bounds)
     ranged = dealt.repartitionById(n, F.col("part")).sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "ids")
     return materialize(ranged.mapInArrow(write, "part int, number int, file string, docs long, tokens long"), "token-shards")
 
@@ -212,7 +212,8 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 tokens = shard.matrix.decode()
                 ends = np.cumsum(shard.lengths)
                 begins = ends - shard.lengths
-                crcs = [zlib.crc32(tokens[a:z].astype("<u4").tobytes()) for a, z in zip(begins.tolist(), ends.tolist(), strict=True)]
+                data = memoryview(tokens.astype("<u4")).cast("B")
+                crcs = [zlib.crc32(data[4 * a : 4 * z]) for a, z in zip(begins.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(shard.ids(), pa.int64()), pa.array(begins + start), pa.array(shard.lengths), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     ready = materialize(with_starts(shards).select("file", "start"), "token-starts")

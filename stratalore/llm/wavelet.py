@@ -70,9 +70,14 @@ class WaveletMatrix:
         kind = np.uint16 if width <= 16 else np.uint32
         left, planes = ids.astype(kind), []
         for k in range(width - 1, -1, -1):
-            bit = (left >> kind(k) & kind(1)).astype(bool)
+            bit = (left & kind(1 << k)) != 0
             planes.append(Plane(np.packbits(bit), len(left)))
-            left = np.concatenate((left[~bit], left[bit]))
+            ones = left[bit]
+            np.logical_not(bit, out=bit)
+            zeros = left[bit]
+            left = np.empty_like(left)
+            left[: len(zeros)] = zeros
+            left[len(zeros) :] = ones
         return cls(planes, len(ids))
 
     def decode(self) -> np.ndarray:
@@ -83,8 +88,9 @@ class WaveletMatrix:
         for k, plane in enumerate(reversed(self.planes)):
             bit = plane.bits()
             before = np.empty(self.n, kind)
-            before[~bit] = ids[: plane.zeros]
             before[bit] = ids[plane.zeros :] | kind(1 << k)
+            np.logical_not(bit, out=bit)
+            before[bit] = ids[: plane.zeros]
             ids = before
         return ids
 
