@@ -8,11 +8,13 @@ budget. Only DataFrame functions are used.
 
 The order within a source is never built in one place: keys are dealt to
 ``BUCKETS`` equal parts of the key distribution, word totals per part are summed
-first, and documents are ordered only within their part.
+first, and only the documents of the part in which a budget ends are ordered. What
+comes out is one cutoff key for each source, so the documents themselves are never
+shuffled.
 
 Defined results: a null text has 0 words and is never taken; a null source is a
 source of its own and comes last; repeated rows are separate documents with equal
-keys, taken in one order or the other; an empty table gives an empty table; other
+keys, taken together or not at all; an empty table gives an empty table; other
 columns are ignored by the operator.
 """
 
@@ -68,36 +70,71 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return levels.withColumn("free", free).select("source", "source_size", F.when(F.col("free").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("free") * F.col("w"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: bool = False) -> DataFrame:
-    """(doc_id, size, source_size, target, copies, taken) of every row; with ``carry`` also ``doc``, all columns as one struct.
-
-    ``copies`` is how often the mix takes the document, ``taken`` that many times its words.
-    """
+def _measured(docs: DataFrame, buckets: int, id_col: str, text_col: str, source_col: str) -> tuple[Column, Column, Column, Column]:
+    """Source, size, key and key bucket of a row."""
     text, doc_id = docs[text_col].cast("string"), docs[id_col].cast("long")
-    measured = docs.select(doc_id.alias("doc_id"), docs[source_col].cast("string").alias("source"), word_count(text).alias("size"), text.alias("text"), *([F.struct(*[docs[c] for c in docs.columns]).alias("doc")] if carry else []))
-    key = -F.log(uniform(F.col("doc_id"), F.col("text"))) / quality_weight(F.col("text"), F.col("size"))
+    size = word_count(text)
+    key = -F.log(uniform(doc_id, text)) / quality_weight(text, size)
     # 1 - exp(-key) grows with the key and spreads keys of weight 1 evenly.
-    part = F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1)).cast("int")
-    rows = measured.withColumn("key", key).withColumn("bucket", part).drop("text")
-    rows = materialize(rows.where("true"), "mix-rows")
+    bucket = F.least(F.floor((1 - F.exp(-key)) * buckets), F.lit(buckets - 1)).cast("int")
+    return docs[source_col].cast("string"), size, key, bucket
+
+
+def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """(source, source_size, target, epochs, cutoff) from (source, size, key, bucket) rows.
+
+    A source takes its documents ``epochs`` times, and those with a key up to
+    ``cutoff`` (null: none) once more.
+    """
     parts = materialize(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "mix-parts")
-    sizes = parts.groupBy("source").agg(F.sum("words").alias("source_size"))
-    goal = materialize(targets(sizes, weights, share, most), "mix-targets")
+    goal = targets(parts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    goal = materialize(goal.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "mix-goals")
     before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    plan = goal.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    goals = plan.select(F.col("source").alias("s1"), "source_size", "target", "epochs", "rest")
-    bases = parts.select(F.col("source").alias("s2"), F.col("bucket").alias("b2"), before.alias("base"))
-    based = materialize(bases.join(goals, F.col("s1").eqNullSafe(F.col("s2"))).drop("s1"), "mix-bases")
-    joined = rows.join(based, rows.source.eqNullSafe(based.s2) & (rows.bucket == based.b2)).drop("s2", "b2")
-    upto = F.col("base") + F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
+    rests = goal.where(F.col("epochs") < most).select(F.col("source").alias("s1"), "rest")
+    # The budget of a source ends inside one bucket; earlier ones are in whole, and only its rows need an order.
+    bases = parts.withColumn("base", before).join(rests, F.col("source").eqNullSafe(F.col("s1"))).where("base <= rest and base + words > rest").select(F.col("source").alias("s2"), F.col("bucket").alias("b2"), "base", "rest")
+    bases = materialize(bases, "mix-bases")
+    edge = rows.join(bases, rows.source.eqNullSafe(bases.s2) & (rows.bucket == bases.b2), "left_semi").where("size > 0")
+    groups = edge.groupBy("source", "bucket", "key").agg(F.sum("size").alias("words")).join(bases, F.col("source").eqNullSafe(F.col("s2")) & (F.col("bucket") == F.col("b2")))
+    upto = F.col("base") + F.sum("words").over(Window.partitionBy("source", "bucket").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
     # A document is in if the budget reaches its middle, so a source misses its target by half a document at most.
-    chosen = (F.col("size") > 0) & (F.col("upto") - F.col("size") / 2 <= F.col("rest")) & (F.col("epochs") < most)
-    out = joined.withColumn("upto", upto).withColumn("copies", F.when(F.col("size") > 0, F.col("epochs") + chosen.cast("long")).otherwise(F.lit(0)).cast("long"))
-    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["doc"] if carry else []))
+    inside = groups.withColumn("upto", upto).where(F.col("upto") - F.col("words") / 2 <= F.col("rest")).groupBy(F.col("source").alias("s3")).agg(F.max("key").alias("last"))
+    # Below the bucket everything is in, so without a document inside it the cutoff is the last key before it.
+    ahead = rows.where("size > 0").join(bases, rows.source.eqNullSafe(bases.s2) & (rows.bucket < bases.b2)).groupBy(F.col("source").alias("s4")).agg(F.max("key").alias("ahead"))
+    # Sources whose budget their last bucket does not exceed take all their documents once more.
+    every = bases.select(F.col("s2").alias("s5"), F.lit(True).alias("ends"))
+    out = goal.join(inside, F.col("source").eqNullSafe(F.col("s3")), "left").join(ahead, F.col("source").eqNullSafe(F.col("s4")), "left").join(every, F.col("source").eqNullSafe(F.col("s5")), "left")
+    full = F.col("ends").isNull() & (F.col("epochs") < most) & (F.col("rest") > 0)
+    cutoff = F.when(full, F.lit(float("inf"))).otherwise(F.coalesce("last", "ahead"))
+    return materialize(out.select("source", "source_size", "target", "epochs", cutoff.alias("cutoff")), "mix-plan")
+
 
+def _copies() -> Column:
+    once_more = F.coalesce(F.col("key") <= F.col("cutoff"), F.lit(False)).cast("long")
+    return F.when(F.col("size") > 0, F.col("epochs") + once_more).otherwise(F.lit(0)).cast("long")
 
-def mixture(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them; columns stay as they are."""
-    taken = mix(docs, carry=True, **options).where("copies > 0")
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, size, source_size, target, copies, taken) of every row.
+
+    ``copies`` is how often the mix takes the document, ``taken`` that many times its words.
+    """
+    source, size, key, bucket = _measured(docs, buckets, id_col, text_col, source_col)
+    rows = materialize(docs.select(docs[id_col].cast("long").alias("doc_id"), source.alias("source"), size.alias("size"), key.alias("key"), bucket.alias("bucket")), "mix-rows")
+    goals = plan(rows, weights, share, most).withColumnRenamed("source", "of")
+    out = rows.join(goals, rows.source.eqNullSafe(goals.of)).withColumn("copies", _copies())
+    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them; columns stay as they are.
+
+    Sizes and keys alone make the plan; the rows meet it source by source, so no text is shuffled.
+    """
+    source, size, key, bucket = _measured(docs, buckets, id_col, text_col, source_col)
+    rows = materialize(docs.select(source.alias("source"), size.alias("size"), key.alias("key"), bucket.alias("bucket")), "mix-rows")
+    goals = plan(rows, weights, share, most).select(F.col("source").alias("of"), "epochs", "cutoff")
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), source.alias("source"), size.alias("size"), key.alias("key"))
+    taken = whole.join(goals, F.col("source").eqNullSafe(F.col("of"))).withColumn("copies", _copies()).where("copies > 0")
     return taken.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc.*")
