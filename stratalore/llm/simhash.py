@@ -281,11 +281,12 @@ def drop_near_duplicates(docs: DataFrame, threshold: int = 2, shingle: int = 3)
 
     Of repeated rows with that id the one with the smallest content hash stays.
     """
-    groups = near_duplicates(docs, threshold, shingle)
-    keep = groups.select(F.col("component_id").alias("_keep")).distinct()
-    mine = docs.join(keep, docs.doc_id.eqNullSafe(keep._keep), "left_semi")
-    order = F.struct(*[F.xxhash64(*docs.columns).alias("h")])
-    repeated = mine.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
-    once = mine.join(repeated, mine.doc_id.eqNullSafe(repeated._again), "left_anti")
-    again = mine.join(repeated, mine.doc_id.eqNullSafe(repeated._again), "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*")
-    return once.unionByName(again)
+    named = near_duplicates(docs, threshold, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = materialize(named.groupBy("doc_id").agg(F.count("*").alias("n")), "simhash-kept")
+    # Ids of one row, and the few that several rows share; the rows' texts are shuffled once at most.
+    single = kept.where("n = 1").select(F.col("doc_id").alias("_keep"))
+    shared = materialize(kept.where("n > 1").select(F.col("doc_id").alias("_keep")), "simhash-shared")
+    once = docs.join(single, docs.doc_id.eqNullSafe(single._keep), "left_semi")
+    several = docs.join(shared, docs.doc_id.eqNullSafe(shared._keep), "left_semi")
+    first = several.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(F.to_json(F.struct(*docs.columns)))).alias("row"))
+    return once.unionByName(first.select("row.*"))
