@@ -337,11 +337,7 @@ def domain_classify(spark, d):
     return docs(spark, d).select("doc_id", X.domain(F.col("text")).alias("domain"))
 
 
-def _ascii(spark, d) -> DataFrame:
-    """Regular expressions of SQL know ASCII classes only; both sides look at texts in ASCII."""
-    return docs(spark, d).where(F.octet_length("text") == F.char_length("text"))
-
-
+#: Regular expressions of SQL know ASCII classes only, so its side looks at texts in ASCII; the queries take all documents.
 _ASCII = "(SELECT * FROM documents WHERE strlen(text) = length(text))"
 _any = lambda col, ps: "(" + " OR ".join(f"regexp_matches({col}, '{p.replace(chr(39), chr(39) * 2)}')" for p in ps) + ")"
 
@@ -349,7 +345,7 @@ _any = lambda col, ps: "(" + " OR ".join(f"regexp_matches({col}, '{p.replace(chr
 @query(f"""SELECT doc_id, CASE WHEN {_any('lower(text)', V.EMAIL_PATTERNS)} THEN 'email' WHEN {_any('lower(text)', V.LIST_PATTERNS)} OR contains(lower(text), 'todo') OR contains(lower(text), 'checklist') THEN 'list'
 WHEN {_any('lower(text)', V.MEETING_PATTERNS)} THEN 'meeting' WHEN {_any('text', V.CODE_PATTERNS)} THEN 'code' WHEN {_any('lower(text)', V.CONVERSATION_PATTERNS)} THEN 'conversation' ELSE 'note' END AS content_type FROM {_ASCII}""")
 def content_type(spark, d):
-    return _ascii(spark, d).select("doc_id", X.content_type(F.col("text"), F.col("source")).alias("content_type"))
+    return docs(spark, d).select("doc_id", X.content_type(F.col("text"), F.col("source")).alias("content_type"))
 
 
 _SENT = f"""sent AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])([ \\t\\n\\r\\f])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') AS s FROM {_ASCII})"""
@@ -358,7 +354,7 @@ _SENT = f"""sent AS (SELECT doc_id, list_filter(list_transform(string_split(rege
 @query(f"WITH {_SENT} SELECT doc_id, CAST(len(s) AS BIGINT) AS n, sha256(array_to_string(s, '|')) AS digest FROM sent")
 def sentence_split(spark, d):
     s = X.sentences(F.col("text"))
-    return _ascii(spark, d).select("doc_id", F.size(s).cast("long").alias("n"), F.sha2(F.array_join(s, "|"), 256).alias("digest"))
+    return docs(spark, d).select("doc_id", F.size(s).cast("long").alias("n"), F.sha2(F.array_join(s, "|"), 256).alias("digest"))
 
 
 _KEY = f"""WITH {_SENT}, l AS (SELECT doc_id, list_filter(s, lambda x: strlen(x) > 20) AS s FROM sent),
@@ -377,7 +373,7 @@ UNION ALL SELECT l.doc_id, 1, left(text, 500) FROM l JOIN documents USING (doc_i
 
 @query(_KEY)
 def key_sentences(spark, d):
-    return X.key_sentences(_ascii(spark, d), 3)
+    return X.key_sentences(docs(spark, d), 3)
 
 
 def _extract_sql(patterns: list[str]) -> str:
@@ -387,7 +383,7 @@ def _extract_sql(patterns: list[str]) -> str:
 
 
 def _extracted(spark, d, patterns: list[str]) -> DataFrame:
-    return _ascii(spark, d).select("doc_id", F.array_join(X.matches(F.col("text"), patterns, 5), "|").alias("found"))
+    return docs(spark, d).select("doc_id", F.array_join(X.matches(F.col("text"), patterns, 5), "|").alias("found"))
 
 
 @query(_extract_sql(V.DATE_PATTERNS))
@@ -434,7 +430,7 @@ _PII_COUNT = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS type, len(regexp_extra
 def pii_raw_counts(spark, d):
     c = F.col("text")
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("type"), F.regexp_count(c, F.lit("(?U)" + p)).cast("long").alias("n")) for k, p in V.PII_PATTERNS.items()]))
-    return _ascii(spark, d).select("doc_id", each.alias("e")).select("doc_id", "e.*").where("n > 0")
+    return docs(spark, d).select("doc_id", each.alias("e")).select("doc_id", "e.*").where("n > 0")
 
 
 @query()
