@@ -29,7 +29,7 @@ from functools import lru_cache, partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalore.llm.components import connected_components
@@ -79,8 +79,13 @@ def fingerprint(data: bytes | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(bits * 2 > total, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long) of every row."""
+def text_key(text: Column) -> Column:
+    """16 bytes that stand for a text; none for a null text."""
+    return F.coalesce(F.unhex(F.md5(text.cast("string"))), F.lit(b""))
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """(doc_id, fp long) of every row; with ``keyed`` also the ``text_key``."""
     ship(docs.sparkSession)
     bound_batches(docs.sparkSession)
 
@@ -89,9 +94,10 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
 
         for b in batches:
             got = np.array([fingerprint(t, shingle) for t in b.column(1).cast(pa.binary()).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", "key"][: b.num_columns])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    key = [text_key(docs[text_col]).alias("key")] if keyed else []
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *key).mapInArrow(run, "doc_id long, fp long" + ", key binary" * keyed)
 
 
 @lru_cache(maxsize=2)
@@ -261,12 +267,17 @@ def links(nodes: DataFrame, threshold: int = 2) -> DataFrame:
     return buckets.mapInArrow(compare, "u long, v long").distinct()
 
 
+def rooted(nodes: DataFrame, threshold: int = 2) -> DataFrame:
+    """(fp, rep, root) of distinct fingerprints (fp, rep); root is a fingerprint and names the group."""
+    roots = materialize(connected_components(links(nodes, threshold)), "simhash-roots")
+    return nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, threshold: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id is the smallest id reachable over links."""
     found = materialize(fingerprints(docs, shingle, id_col, text_col), "simhash-fp")
     nodes = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
-    roots = materialize(connected_components(links(nodes, threshold)), "simhash-roots")
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    named = rooted(nodes, threshold)
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_fp = materialize(named.join(smallest, "root").select(F.col("fp").alias("of"), "component_id"), "simhash-components")
     return found.join(of_fp, found.fp == of_fp.of).select("doc_id", "fp", "component_id")
@@ -277,16 +288,24 @@ def hex16(fp) -> F.Column:
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: int = 2, shingle: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose id names their group, one row of each group; columns stay as they are.
+    """One row of each group of ``docs``, whatever its ids are; columns stay as they are.
 
-    Of repeated rows with that id the one with the smallest content hash stays.
+    The row with the smallest id stays (a null id is the largest), of equal ids the
+    one with the smallest ``text_key``, of equal texts the one with the smallest
+    content hash.
     """
-    named = near_duplicates(docs, threshold, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = materialize(named.groupBy("doc_id").agg(F.count("*").alias("n")), "simhash-kept")
-    # Ids of one row, and the few that several rows share; the rows' texts are shuffled once at most.
-    single = kept.where("n = 1").select(F.col("doc_id").alias("_keep"))
-    shared = materialize(kept.where("n > 1").select(F.col("doc_id").alias("_keep")), "simhash-shared")
-    once = docs.join(single, docs.doc_id.eqNullSafe(single._keep), "left_semi")
-    several = docs.join(shared, docs.doc_id.eqNullSafe(shared._keep), "left_semi")
-    first = several.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(F.to_json(F.struct(*docs.columns)))).alias("row"))
+    found = materialize(fingerprints(docs, shingle, keyed=True), "simhash-fp")
+    rows = found.groupBy("fp", "doc_id", "key").agg(F.count("*").alias("n"))
+    # Structs compare field by field, so the first says that null ids come last.
+    nodes = materialize(rows.groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key", "n")).alias("rep")), "simhash-nodes")
+    # Rows of one id and text are in one group, so id and key name the row that a group keeps.
+    kept = materialize(rooted(nodes, threshold).groupBy("root").agg(F.min("rep").alias("rep")).select("rep.*"), "simhash-kept")
+    named = lambda where: kept.where(where).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    # Names of one row, and the few that several rows share; the rows' texts are shuffled once at most.
+    single, shared = named("n = 1"), materialize(named("n > 1"), "simhash-shared")
+    key = text_key(docs["text"])
+    same = lambda names: docs["doc_id"].cast("long").eqNullSafe(names._id) & (key == names._key)
+    once = docs.join(single, same(single), "left_semi")
+    several = docs.join(shared, same(shared), "left_semi")
+    first = several.groupBy("doc_id", text_key(F.col("text")).alias("_key")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(F.to_json(F.struct(*docs.columns)))).alias("row"))
     return once.unionByName(first.select("row.*"))

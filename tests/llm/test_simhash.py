@@ -96,3 +96,19 @@ def test_edge_cases(spark):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 7, 8]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_each_group_keeps_one_row_whatever_its_ids(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices("ab cd ef gh ij kl mn op qr st".split(), k=60)) for _ in range(12)]
+    ids = [None] * 5 + [5, 5, 5, 6, 6, 7, None]
+    rows = list(zip(ids, texts, "abcdefghijkl"))
+    rows += [(5, texts[0], "m"), (9, texts[5], "n"), (None, texts[6], "o"), (6, texts[8], "p"), (6, texts[8], "i"), (None, texts[1], "b"), (5, None, "q"), (None, "", "r")]
+    fps = [naive_fp(t) for _, t, _ in rows]
+    groups = naive_components(list(range(len(rows))), fps)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = [tuple(r) for r in simhash.drop_near_duplicates(docs).collect()]
+    of = {r: g for r, g in zip(rows, groups)}
+    assert sorted(of[r] for r in got) == sorted(set(groups)) and len(set(groups)) == 13
+    least = {g: min(float("inf") if r[0] is None else r[0] for r, h in zip(rows, groups) if h == g) for g in groups}
+    assert all((float("inf") if r[0] is None else r[0]) == least[of[r]] for r in got)
