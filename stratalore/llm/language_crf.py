@@ -28,6 +28,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,8 @@ STEPS, RATE, RIDGE = 30, 0.25, 1e-6
 SEQUENCE, BLOCK = 256, 64
 #: Words of a batch that are labelled at once, and distinct words a worker remembers.
 BATCH_WORDS, MEMO_WORDS = 300_000, 300_000
+#: Letters of new words whose features are made at once; a longer word is taken whole.
+LETTERS = 1 << 21
 UNKNOWN = "und"
 _TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -70,7 +73,7 @@ def word_features(words: list[str], lexicon: frozenset[str]) -> tuple[np.ndarray
     Prefixes of 1-3 and suffixes of 1-4 letters, all 2- and 3-grams with marks at
     both ends, and the word itself if it is in the lexicon.
     """
-    marked = [f"^{w[:40]}$" for w in words]
+    marked = [f"^{w}$" for w in words]
     c = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
     sizes = np.fromiter(map(len, marked), np.int64, len(marked))
     starts = np.cumsum(sizes) - sizes
@@ -109,13 +112,17 @@ class Model:
             self.memo, self.table, new = {}, None, list(set(words))
         if new:
             ok = [any(map(str.isalpha, w)) for w in new]
-            owner, bucket = word_features(new, self.lexicon)
-            rows = np.stack([np.bincount(owner, self.weights[bucket, y], len(new)) for y in range(len(self.languages))], axis=1).astype(np.float32)
+            group = np.cumsum([len(w) for w in new]) // LETTERS
+            rows = np.concatenate([self._sums(new[a:z]) for a, z in pairwise([0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(new)])])
             base = 0 if self.table is None else len(self.table)
             self.memo.update((w, base + i if good else -1) for i, (w, good) in enumerate(zip(new, ok, strict=True)))
             self.table = rows if self.table is None else np.concatenate((self.table, rows))
         return np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words)), self.table
 
+    def _sums(self, words: list[str]) -> np.ndarray:
+        owner, bucket = word_features(words, self.lexicon)
+        return np.stack([np.bincount(owner, self.weights[bucket, y], len(words)) for y in range(len(self.languages))], axis=1).astype(np.float32)
+
     def marginals(self, potentials: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Distribution over languages of each word; ``potentials`` of sequences one after the other, none empty."""
         return forward_backward(potentials, lengths, self.transitions)[0]

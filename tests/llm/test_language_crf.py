@@ -59,3 +59,16 @@ def test_held_out_accuracy_and_edge_cases(spark, sf):
     rows = sorted((r.doc_id or 0, r.lang_pred) for r in crf.identify(odd, model).collect())
     assert rows == [(0, "en"), (1, "und"), (2, "und"), (2, "und"), (3, "en")]
     assert crf.identify(docs.limit(0)).count() == 0
+
+
+def test_words_count_to_their_last_letter(monkeypatch):
+    stem = "q" * 40
+    samples = {"en": [f"{stem}ing {stem}ought"] * 20, "de": [f"{stem}keit {stem}ung"] * 20}
+    model = crf.fit(samples)
+    monkeypatch.setattr(model, "lexicon", frozenset())
+    words = [stem + x for x in ("ing", "keit", "ought", "ung")]
+    at, table = model.potentials(words)
+    assert [model.languages[y] for y in table[at].argmax(axis=1)] == ["en", "de", "en", "de"]
+    monkeypatch.setattr(crf, "LETTERS", 50)
+    again, rows = crf.Model(model.languages, model.weights, model.transitions, frozenset()).potentials(words)
+    assert np.array_equal(rows[again], table[at])
