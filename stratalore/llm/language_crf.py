@@ -7,7 +7,10 @@ distribution over languages; a document's language is the one with most expected
 words, and its score is that share.
 
 Training takes at most ``MAX_DOCS`` whole documents and ``MAX_BYTES`` of text of each
-language (the first by a hash of the id) to the driver. Training sequences splice
+language (the first by a hash of the id) to the driver. If these leave a language
+without words, its shortest text with a letter is taken, a longer one than
+``MAX_BYTES`` by its first ``MAX_BYTES // 4`` code points from that letter on (in
+training only), so every language is learned. Training sequences splice
 stretches of documents in different languages, so transitions are learned from
 switches at known places.
 
@@ -282,22 +285,29 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fit on a bounded sample of rows with a language that are not held out."""
     base = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     known = base.where("lang is not null and text is not null").where(~held_out(F.col("id")))
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    size, lettered = F.octet_length("text").alias("size"), F.regexp_instr("text", F.lit(r"\p{L}"))
+    least = F.min(F.when(lettered > 0, F.struct(size, "id"))).alias("least")
+    sizes, shortest = {}, {}
+    for r in known.groupBy("lang").agg(F.count("*").alias("n"), least).collect():
+        sizes[r.lang], shortest[r.lang] = r.n, r.least
     if not sizes:
         return fit({})
     # Keep about twice MAX_DOCS of each language by hash, then cut on the driver.
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 2 * MAX_DOCS / n))])
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("place")
-    ids = known.select("id", "lang", F.octet_length("text").alias("size"), place).where(F.col("place") < F.element_at(share, F.col("lang")) * float(1 << 30)).orderBy("place", "id").collect()
+    ids = known.select("id", "lang", size, (lettered > 0).alias("words"), place).where(F.col("place") < F.element_at(share, F.col("lang")) * float(1 << 30)).orderBy("place", "id").collect()
     chosen, used = set(), Counter()
     for r in ids:
         if used[r.lang, "docs"] < MAX_DOCS and used[r.lang, "bytes"] + r.size <= MAX_BYTES:
             chosen.add(r.id)
             used[r.lang, "docs"] += 1
             used[r.lang, "bytes"] += r.size
+            used[r.lang, "words"] += r.words
+    chosen |= {r.id for lang, r in shortest.items() if r and not used[lang, "words"]}
     picked = docs.sparkSession.createDataFrame([(x,) for x in sorted(chosen)], "id long")
     samples: dict[str, list[str]] = {}
-    for r in known.join(F.broadcast(picked), "id").collect():
+    part = F.when(F.octet_length("text") > MAX_BYTES, F.substring(F.col("text"), F.greatest(lettered, F.lit(1)), F.lit(MAX_BYTES // 4))).otherwise(F.col("text"))
+    for r in known.join(F.broadcast(picked), "id").select("lang", part.alias("text")).collect():
         samples.setdefault(r.lang, []).append(r.text)
     return fit({lang: sorted(texts) for lang, texts in samples.items()})
 

@@ -72,3 +72,12 @@ def test_words_count_to_their_last_letter(monkeypatch):
     monkeypatch.setattr(crf, "LETTERS", 50)
     again, rows = crf.Model(model.languages, model.weights, model.transitions, frozenset()).potentials(words)
     assert np.array_equal(rows[again], table[at])
+
+
+def test_a_language_of_long_texts_only_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(crf, "MAX_BYTES", 4000)
+    rows = [(i, "the cat sat on the mat and went home " * 20, "en") for i in range(12)]
+    rows += [(100 + i, " 1" * 3000 + " der hund ging nicht durch den wald " * 200, "de") for i in range(12)] + [(200 + i, "12 - 3", "de") for i in range(12)]
+    model = crf.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["de", "en"]
+    assert [x for x, _ in model.predict(["der hund ging nicht", "the cat sat on the mat"])] == ["de", "en"]
