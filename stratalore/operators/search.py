@@ -194,9 +194,11 @@ def entity_rank(hits: DataFrame, query: str, text_col: str = "text") -> DataFram
     return hits.withColumn("score", F.col("score") + BOOST * n / max(1, len(terms))) if terms else hits
 
 
-def best_per_document(hits: DataFrame, top_k: int, doc_col: str = "doc_id") -> DataFrame:
+def best_per_document(hits: DataFrame, top_k: int | None, doc_col: str = "doc_id") -> DataFrame:
+    """The best hit of each document, the best first; all documents if ``top_k`` is None."""
     rank = F.row_number().over(Window.partitionBy(doc_col).orderBy(F.desc("score"), "chunk_id"))
-    return hits.withColumn("_rank", rank).where("_rank = 1").drop("_rank").orderBy(F.desc("score"), "chunk_id").limit(top_k)
+    best = hits.withColumn("_rank", rank).where("_rank = 1").drop("_rank").orderBy(F.desc("score"), "chunk_id")
+    return best if top_k is None else best.limit(top_k)
 
 
 def search(index: Index, chunks: DataFrame, vectors: DataFrame | None, query: str, query_vector: list[float] | None = None, top_k: int = 10) -> DataFrame:

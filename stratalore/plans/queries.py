@@ -260,7 +260,7 @@ def entity_resolve(spark, d):
 @query("SELECT conv_id, turn, strlen(text) AS score FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY strlen(text) DESC, turn) = 1 ORDER BY score DESC, turn, conv_id LIMIT 1000000")
 def best_chunk_per_doc(spark, d):
     hits = t(spark, d, "conversations").select("conv_id", F.col("turn").alias("chunk_id"), F.octet_length("text").cast("long").alias("score"))
-    return search.best_per_document(hits, 1_000_000, "conv_id").select("conv_id", F.col("chunk_id").alias("turn"), "score")
+    return search.best_per_document(hits, None, "conv_id").select("conv_id", F.col("chunk_id").alias("turn"), "score")
 
 
 _PASSAGE = """
