@@ -514,8 +514,7 @@ def latest_status(spark, d):
 
 @query("SELECT page_id, CASE WHEN ends_with(url, '.html') THEN 'code' ELSE 'unknown' END AS kind FROM pages WHERE NOT regexp_matches(url, '\\.[a-z]+$') OR ends_with(url, '.html')")
 def file_kinds(spark, d):
-    p = t(spark, d, "pages").where("not url rlike '[.][a-z]+$' or url like '%.html'")
-    return p.select("page_id", X.file_kind(F.col("url")).alias("kind"))
+    return t(spark, d, "pages").select("page_id", X.file_kind(F.col("url")).alias("kind"))
 
 
 @query("SELECT user_id, string_agg(event_type, ',' ORDER BY first) AS types FROM (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY ALL) GROUP BY 1")
