@@ -7,8 +7,10 @@ tokens in the shared folder, and the written list of files is the only thing tha
 later steps plan with. Reading takes one file at a time.
 
 Encoding works on distinct words: the tokenizer drops white space and neither
-normalises nor merges across it, so each distinct word goes through the
-tokenizers library once and its ids are reused through a bounded memo.
+normalises nor merges across it (checked on load), so the words of a batch are
+dictionary-encoded in Arrow, each distinct word goes through the tokenizers
+library once while a bounded table remembers it, and the ids of the texts are
+gathered from that table. A text is encoded in pieces of about ``LONG`` bytes.
 
 Defined results: a null or empty text has the end id only; repeated ids follow
 each other, ordered by their tokens; null ids come first; an empty table gives
@@ -22,9 +24,11 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,18 +36,43 @@ from stratalore.llm.files import read_file, write_file
 from stratalore.session import bound_batches, fresh_path, materialize, ship, shuffle_partitions
 
 SHARD_TOKENS = 1 << 22
-#: Distinct words, and distinct parts of words, whose ids one worker remembers.
-MEMO_WORDS, MEMO_PARTS = 400_000, 400_000
+#: Stems, marks and odd words whose ids one worker remembers, and parts of odd words.
+MEMO_WORDS, MEMO_PARTS = 500_000, 100_000
 #: Parts that go through the library in one text.
 JOINED = 5000
+#: Bytes of text that are encoded at once, and of a text from which it is cut at white space.
+BATCH_BYTES, LONG = 8 << 20, 8 << 20
 
 _encoders: dict = {}
 #: A line that is a lower-case Latin word with closing marks, or any other line.
 _SPLIT = re.compile("^(?:([a-zªµºß-öø-įı-ɏ]+)([!-&(-/:-@\\[-`{-~]*)|([^\n]+))$", re.MULTILINE)
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
+_BYTES = np.arange(256, dtype=np.uint8)
+_LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + np.uint8(32), _BYTES)
+_LETTER = (_LOWER >= 97) & (_LOWER <= 122)
+#: ASCII marks that follow a word as one pre-token; an apostrophe may start a contraction.
+_MARK = ((_BYTES > 32) & (_BYTES < 127)) & ~_LETTER & ~((_BYTES >= 48) & (_BYTES <= 57)) & (_BYTES != 39)
+_PROBE = "a the and thes qzx reading unhappily mmm aaaaaa zzzzzzzzzzzz ofthe straightforwardness etxt internationalization hq vwl"
+_LATIN = "été über señor œuvre ßx añadir çe ø ıl ðð āēī żółć ŉ ſ ǉ ɏ ª µ º"
+
+
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions starts[0], starts[0] + 1, ... of runs of the given lengths, one run after the other."""
+    ends = np.cumsum(lengths)
+    out = np.repeat(starts - (ends - lengths), lengths)
+    out += np.arange(len(out))
+    return out
+
+
+def binaries(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Consecutive stretches of bytes as binary values."""
+    offsets = np.zeros(len(lengths) + 1, np.int32)
+    np.cumsum(lengths, out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 class Encoder:
-    """Ids of words from the tokenizers library, as little-endian bytes."""
+    """Ids of texts from the tokenizers library, as little-endian bytes."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,62 +81,165 @@ class Encoder:
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
-        self.memo: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}  # parts of the generation before
         top = self.library.get_vocab_size(with_added_tokens=True)
         self.width = max(1, (top - 1).bit_length())
         self.kind = np.dtype("<u2" if self.width <= 16 else "<u4")
-        suffix = json.loads(spec)["model"].get("end_of_word_suffix") or ""
+        parsed = json.loads(spec)
+        suffix = parsed["model"].get("end_of_word_suffix") or ""
         self.closes = np.zeros(top, bool)  # ids that end a pre-token
         self.closes[[i for t, i in self.library.get_vocab(with_added_tokens=False).items() if suffix and t.endswith(suffix)]] = True
+        words = _PROBE.split()
+        alone = self._one_by_one(words)
+        if self._one_by_one(["\t" + " \n ".join(words).upper() + "\r"])[0] != b"".join(alone):
+            raise ValueError("the tokenizer must ignore case and drop white space")
+        # The same model without the steps that leave lower-case words alone: ASCII words, and Latin words, whose bytes need their letters.
+        lines = {"type": "CharDelimiterSplit", "delimiter": "\n"}
+        letters = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        self.plain = self._bare(parsed, lines, words)
+        self.latin = self._bare(parsed, {"type": "Sequence", "pretokenizers": [lines, letters]}, [*words, *_LATIN.split()])
+        self.parts: dict[str, bytes] = {"": b""}
+        self._forget()
+
+    def _bare(self, parsed: dict, split: dict, probe: list[str]):
+        """The model with nothing but this split before it, or the whole library if that gives other ids."""
+        tokenizer = type(self.library).from_str(json.dumps(parsed | {"normalizer": None, "added_tokens": [], "pre_tokenizer": split, "post_processor": None}))
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        return tokenizer if self._joined(probe, tokenizer) == self._one_by_one(probe) else self.library
+
+    def _forget(self) -> None:
+        self.place: dict[bytes, int] = {b"": 0}
+        self.starts, self.lengths, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, self.kind)
 
     def _one_by_one(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _joined(self, words: list[str]) -> list[bytes]:
+    def _joined(self, words: list[str], tokenizer) -> list[bytes]:
         """Ids of words that are one pre-token each: one text is encoded and cut where pre-tokens end."""
         out: list[bytes] = []
-        for k in range(0, len(words), JOINED):
-            part = words[k : k + JOINED]
-            ids = np.array(self.library.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, self.kind)
-            ends = (np.flatnonzero(self.closes[ids]) + 1) * self.kind.itemsize
-            if len(ends) != len(part):
+        for part, ids, lengths in self._cut(words, tokenizer):
+            if lengths is None:
                 out += self._one_by_one(part)
                 continue
             data, at = ids.tobytes(), 0
-            for end in ends.tolist():
-                out.append(data[at:end])
-                at = end
+            for n in (lengths * self.kind.itemsize).tolist():
+                out.append(data[at : at + n])
+                at += n
         return out
 
-    def learn(self, new: list[bytes]) -> None:
-        """A plain word with closing marks has the ids of the word, then those of the marks."""
-        if not new:
-            return
+    def _cut(self, words: list[str], tokenizer) -> Iterator[tuple[list[str], np.ndarray, np.ndarray | None]]:
+        for k in range(0, len(words), JOINED):
+            part = words[k : k + JOINED]
+            ids = np.array(tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            yield part, ids, np.diff(ends, prepend=0) if len(ends) == len(part) else None
+
+    def _stems(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their numbers of lower-case ASCII words."""
+        ids, lengths = [], []
+        for part, found, sizes in self._cut(b"\n".join(new).decode().split("\n"), self.plain):
+            if sizes is None:
+                each = self._one_by_one(part)
+                found, sizes = np.frombuffer(b"".join(each), self.kind), np.fromiter(map(len, each), np.int64, len(each)) // self.kind.itemsize
+            ids.append(found)
+            lengths.append(sizes)
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def _others(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of any words; a Latin word with closing marks has the ids of the word, then those of the marks."""
         if len(self.parts) > MEMO_PARTS:
-            self.parts, self.older = {"": b""}, self.parts
-        found = _SPLIT.findall(b"\n".join(new).decode("utf-8", "replace").lower())
-        stems, marks, rest = zip(*found, strict=True)
-        parts, older = self.parts, self.older
-        missing = set(stems).union(marks).difference(parts)
-        parts.update((x, older[x]) for x in missing.intersection(older))
-        missing = list(missing.difference(older))
-        parts.update(zip(missing, self._joined(missing), strict=True))
-        look = parts.__getitem__
-        self.memo.update(zip(new, map(bytes.__add__, map(look, stems), map(look, marks)), strict=True))
-        if any(rest):
-            other = [w for w, r in zip(new, rest, strict=True) if r]
-            self.memo.update(zip(other, self._one_by_one([w.decode("utf-8", "replace") for w in other]), strict=True))
-
-    def encode(self, texts: list[bytes | None], end: int | None) -> list[bytes]:
-        words = [t.split() if t else [] for t in texts]
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        self.learn(list(set().union(*words).difference(self.memo)))
-        look = self.memo.__getitem__
-        tail = b"" if end is None else np.array([end], self.kind).tobytes()
-        return [b"".join(map(look, w)) + tail for w in words]
+            self.parts = {"": b""}
+        texts = [w.decode("utf-8", "replace") for w in new]
+        stems, marks, rest = zip(*_SPLIT.findall("\n".join(texts).lower()), strict=True)
+        for found, learn in ((stems, lambda new: self._joined(new, self.latin)), (marks, self._one_by_one)):
+            missing = list(set(found).difference(self.parts))
+            self.parts.update(zip(missing, learn(missing), strict=True))
+        odd = iter(self._one_by_one([w for w, r in zip(texts, rest, strict=True) if r]))
+        each = [next(odd) if r else self.parts[s] + self.parts[m] for s, m, r in zip(stems, marks, rest, strict=True)]
+        return np.frombuffer(b"".join(each), self.kind), np.fromiter(map(len, each), np.int64, len(each)) // self.kind.itemsize
+
+    def _slots(self, keys: pa.Array, learn) -> np.ndarray:
+        """Table row of each key; unknown keys are learned first."""
+        coded = keys.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        rows = np.fromiter(map(self.place.get, distinct, repeat(-1)), np.int64, len(distinct))
+        unknown = np.flatnonzero(rows < 0)
+        if len(unknown):
+            new = [distinct[k] for k in unknown.tolist()]
+            ids, lengths = learn(new)
+            rows[unknown] = np.arange(len(self.starts), len(self.starts) + len(new))
+            self.place.update(zip(new, rows[unknown].tolist(), strict=True))
+            self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(lengths) - lengths))
+            self.lengths, self.ids = np.concatenate((self.lengths, lengths)), np.concatenate((self.ids, ids))
+        return rows[coded.indices.to_numpy()]
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Table rows of distinct words (binary): of the word or its stem, and of its closing marks."""
+        offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        data = np.frombuffer(words.buffers()[2], np.uint8) if words.buffers()[2] else np.zeros(0, np.uint8)
+        start, end = offsets[:-1], offsets[1:]
+        ends_letters = np.r_[np.flatnonzero(~_LETTER[data]), len(data)]
+        stem = np.minimum(ends_letters[np.searchsorted(ends_letters, start)], end)
+        wrong = np.r_[0, np.cumsum(~_MARK[data])]
+        plain = (stem > start) & (wrong[end] == wrong[stem])
+        first, second = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        at = np.flatnonzero(plain)
+        first[at] = self._slots(binaries(_LOWER[data[ragged(start[at], (stem - start)[at])]], (stem - start)[at]), self._stems)
+        other = np.flatnonzero(~plain & (end > start))
+        first[other] = self._slots(words.take(pa.array(other)), self._others)
+        at = np.flatnonzero(plain & (end > stem))
+        second[at] = self._slots(binaries(data[ragged(stem[at], (end - stem)[at])], (end - stem)[at]), self._others)
+        return first, second
+
+    def encode(self, texts: pa.Array, end: int | None) -> pa.Array:
+        """Ids of each text (string; null: empty), followed by the ``end`` id if there is one."""
+        if len(self.place) > MEMO_WORDS:
+            self._forget()
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
+        if (sizes > LONG).any():
+            return pa.array([self._long(texts[i].as_buffer().to_pybytes(), end) if n > LONG else self.encode(texts[i : i + 1], end)[0].as_py() for i, n in enumerate(sizes.tolist())], pa.binary())
+        lists = pc.ascii_split_whitespace(texts)
+        words = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        coded = lists.flatten().view(pa.binary()).dictionary_encode()
+        first, second = self._words(coded.dictionary)
+        both = np.stack((first, second), axis=1).ravel()
+        lengths = np.r_[self.lengths[first] + self.lengths[second], 1 if end is not None else 0]
+        table = np.r_[self.ids[ragged(self.starts[both], self.lengths[both])], np.array([end or 0], self.kind)]
+        starts = np.cumsum(lengths) - lengths
+        # Every text is its words and then the end, the last entry of the table.
+        codes = np.full(len(coded) + len(texts), len(lengths) - 1)
+        codes[np.arange(len(coded)) + np.repeat(np.arange(len(texts)), words)] = coded.indices.to_numpy()
+        sizes = lengths[codes]
+        ids = table[ragged(starts[codes], sizes)]
+        ends = np.r_[0, np.cumsum(sizes)][np.cumsum(words + 1)]
+        return binaries(ids, np.diff(ends, prepend=0) * self.kind.itemsize)
+
+    def _long(self, data: bytes, end: int | None) -> bytes:
+        out, at = [], 0
+        while at < len(data):
+            m = _SPACE.search(data, at + LONG // 2)
+            cut = m.start() if m else len(data)
+            out.append(self._piece(data[at:cut]))
+            at = cut
+        return b"".join(out) + (b"" if end is None else np.array([end], self.kind).tobytes())
+
+    def _piece(self, data: bytes) -> bytes:
+        if len(data) > LONG:  # a word that long has no place in the table
+            return self._one_by_one([data.decode("utf-8", "replace")])[0]
+        return self.encode(pa.array([data], pa.binary()).view(pa.string()), None)[0].as_py()
+
+
+def gathered(batches: Iterator[pa.RecordBatch], size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold about ``size`` bytes."""
+    held, total, size = [], 0, size or BATCH_BYTES
+    for b in batches:
+        held.append(b)
+        total += b.nbytes
+        if total >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, total = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def encoder_of(spec: str) -> Encoder:
@@ -138,13 +270,12 @@ def encode(docs: DataFrame, tokenizer_file: str, end: int | None = 1, id_col: st
     edges = np.array(bounds or [], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from stratalore.llm.token_files import encoder_of
+        from stratalore.llm.token_files import encoder_of, gathered
 
         encoder = encoder_of(spec.value)
-        for b in batches:
+        for b in gathered(batches):
             part = np.searchsorted(edges, b.column(0).fill_null(-(2**63)).to_numpy(), "right").astype(np.int32)
-            ids = encoder.encode(b.column(1).cast(pa.binary()).to_pylist(), end)
-            yield pa.RecordBatch.from_arrays([pa.array(part), b.column(0), pa.array(ids, pa.binary())], ["part", "doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(part), b.column(0), encoder.encode(b.column(1), end)], ["part", "doc_id", "ids"])
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "part int, doc_id long, ids binary")
 

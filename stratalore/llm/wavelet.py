@@ -72,12 +72,12 @@ class WaveletMatrix:
         for k in range(width - 1, -1, -1):
             bit = (left & kind(1 << k)) != 0
             planes.append(Plane(np.packbits(bit), len(left)))
-            ones = left[bit]
-            np.logical_not(bit, out=bit)
-            zeros = left[bit]
-            left = np.empty_like(left)
-            left[: len(zeros)] = zeros
-            left[len(zeros) :] = ones
+            zeros = planes[-1].zeros
+            # By positions: about three times as fast as by a mask that is hard to predict.
+            other = np.empty_like(left)
+            np.compress(bit, left, out=other[zeros:])
+            np.compress(np.logical_not(bit, out=bit), left, out=other[:zeros])
+            left = other
         return cls(planes, len(ids))
 
     def decode(self) -> np.ndarray:
@@ -88,9 +88,8 @@ class WaveletMatrix:
         for k, plane in enumerate(reversed(self.planes)):
             bit = plane.bits()
             before = np.empty(self.n, kind)
-            before[bit] = ids[plane.zeros :] | kind(1 << k)
-            np.logical_not(bit, out=bit)
-            before[bit] = ids[: plane.zeros]
+            before[np.flatnonzero(bit)] = ids[plane.zeros :] | kind(1 << k)
+            before[np.flatnonzero(np.logical_not(bit, out=bit))] = ids[: plane.zeros]
             ids = before
         return ids
 

@@ -2,6 +2,8 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pytest
 from tokenizers import Tokenizer
 
 from stratalore.llm import token_files as tf
@@ -25,8 +27,31 @@ def test_counts_and_ids_match_the_library(sf):
     with open(FILE, encoding="utf-8") as f:
         spec = f.read()
     assert counts_of([t.encode() for t in texts], RankMerger(spec), {}) == [len(w) for w in want]
-    got = tf.Encoder(spec).encode([t.encode() for t in texts], None)
-    assert [np.frombuffer(g, "<u2").tolist() for g in got] == want
+    encoder = tf.Encoder(spec)
+    assert encoder.plain is not encoder.library and encoder.latin is not encoder.library
+    latin = [chr(c) for c in range(0xAA, 0x250) if tf._SPLIT.fullmatch(chr(c)) and chr(c).isalpha() and chr(c).lower() == chr(c)]
+    assert len(latin) > 150 and encoder._joined(latin, encoder.latin) == encoder._one_by_one(latin)
+    for end in (None, 1):
+        got = encoder.encode(pa.array([*texts, None]), end)
+        assert [np.frombuffer(g.as_py(), "<u2").tolist() for g in got] == [w + [end] * (end is not None) for w in [*want, []]]
+
+
+@pytest.mark.parametrize("long", [4, 100])
+def test_pieces_of_long_texts_and_a_small_memo(sf, monkeypatch, long):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(tf, "LONG", long)
+    monkeypatch.setattr(tf, "MEMO_WORDS", 50)
+    monkeypatch.setattr(tf, "MEMO_PARTS", 5)
+    texts = ODD + pq.read_table(f"{sf}/documents.parquet")["text"].to_pylist()[:20]
+    with open(FILE, encoding="utf-8") as f:
+        encoder = tf.Encoder(f.read())
+    assert [np.frombuffer(encoder.encode(pa.array([t]), None)[0].as_py(), "<u2").tolist() for t in texts] == library(texts)
+
+
+def test_a_tokenizer_that_keeps_white_space_is_refused():
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f, pytest.raises(ValueError):
+        tf.Encoder(f.read())
 
 
 def test_plane_and_matrix_match_brute_force():
