@@ -31,8 +31,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from stratalore.llm.components import connected_components
+from stratalore.llm.places import Placed
 from stratalore.session import bound_batches, materialize, ship, shuffle_partitions
 
 SEED = 42
@@ -84,20 +86,25 @@ def text_key(text: Column) -> Column:
     return F.coalesce(F.unhex(F.md5(text.cast("string"))), F.lit(b""))
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
-    """(doc_id, fp long) of every row; with ``keyed`` also the ``text_key``."""
-    ship(docs.sparkSession)
-    bound_batches(docs.sparkSession)
+def _fingerprinted(picked: DataFrame, shingle: int) -> DataFrame:
+    """``picked`` with fingerprints (fp long) in place of its last column, the text."""
+    ship(picked.sparkSession)
+    bound_batches(picked.sparkSession)
+    names = [*picked.columns[:-1], "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from stratalore.llm.simhash import fingerprint
 
         for b in batches:
-            got = np.array([fingerprint(t, shingle) for t in b.column(1).cast(pa.binary()).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", "key"][: b.num_columns])
+            got = np.array([fingerprint(t, shingle) for t in b.column(b.num_columns - 1).cast(pa.binary()).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got.view(np.int64))], names)
 
-    key = [text_key(docs[text_col]).alias("key")] if keyed else []
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *key).mapInArrow(run, "doc_id long, fp long" + ", key binary" * keyed)
+    return picked.mapInArrow(run, StructType([*picked.schema.fields[:-1], StructField("fp", LongType())]))
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp long) of every row."""
+    return _fingerprinted(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")), shingle)
 
 
 @lru_cache(maxsize=2)
@@ -291,21 +298,14 @@ def drop_near_duplicates(docs: DataFrame, threshold: int = 2, shingle: int = 3)
     """One row of each group of ``docs``, whatever its ids are; columns stay as they are.
 
     The row with the smallest id stays (a null id is the largest), of equal ids the
-    one with the smallest ``text_key``, of equal texts the one with the smallest
-    content hash.
+    one with the smallest ``text_key``, of equal texts the one that comes first in
+    the files. Rows are told apart by their place in the files, so null and repeated
+    ids are no special case, and the choice goes back to each file as a short list:
+    no text is shuffled.
     """
-    found = materialize(fingerprints(docs, shingle, keyed=True), "simhash-fp")
-    rows = found.groupBy("fp", "doc_id", "key").agg(F.count("*").alias("n"))
+    rows = Placed.of(docs)
+    found = materialize(_fingerprinted(rows.df.select(*rows.place, rows.df["doc_id"].cast("long").alias("doc_id"), text_key(rows.df["text"]).alias("key"), rows.df["text"].cast("string").alias("text")), shingle), "simhash-fp")
     # Structs compare field by field, so the first says that null ids come last.
-    nodes = materialize(rows.groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key", "n")).alias("rep")), "simhash-nodes")
-    # Rows of one id and text are in one group, so id and key name the row that a group keeps.
-    kept = materialize(rooted(nodes, threshold).groupBy("root").agg(F.min("rep").alias("rep")).select("rep.*"), "simhash-kept")
-    named = lambda where: kept.where(where).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
-    # Names of one row, and the few that several rows share; the rows' texts are shuffled once at most.
-    single, shared = named("n = 1"), materialize(named("n > 1"), "simhash-shared")
-    key = text_key(docs["text"])
-    same = lambda names: docs["doc_id"].cast("long").eqNullSafe(names._id) & (key == names._key)
-    once = docs.join(single, same(single), "left_semi")
-    several = docs.join(shared, same(shared), "left_semi")
-    first = several.groupBy("doc_id", text_key(F.col("text")).alias("_key")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(F.to_json(F.struct(*docs.columns)))).alias("row"))
-    return once.unionByName(first.select("row.*"))
+    nodes = materialize(found.groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key", "file", "row")).alias("rep")), "simhash-nodes")
+    kept = rooted(nodes, threshold).groupBy("root").agg(F.min("rep").alias("rep")).select("rep.file", "rep.row")
+    return rows.only(kept)
