@@ -70,3 +70,34 @@ def test_heavier_documents_come_first_more_often(spark):
     got = mixing.mix(docs, weights=(1, 9), share=1.2).where("target < source_size").collect()
     odd, even = (sum(r.taken for r in got if r.doc_id % 2 == k) for k in (1, 0))
     assert even > 1.5 * odd
+
+
+def test_repeated_rows_meet_their_target(spark):
+    rows = [(5, "one two three four", "a", i) for i in range(1000)] + [(i, "x " * 40, "b", i) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(3)
+    for span in (7, mixing.SPAN):
+        got = mixing.mix(docs, weights=(2, 30), span=span)
+        goal = {r.source_size: r.target for r in got.collect()}
+        taken = sum(r.taken for r in got.collect() if r.doc_id == 5 and r.size == 4)
+        assert 4000 < goal[4000] < 8000 and abs(taken - goal[4000]) <= 2
+    assert mixing.mixture(docs, weights=(2, 30), span=7).where("source = 'a'").count() * 4 == taken
+
+
+def test_a_crowded_part_is_cut_until_it_is_small(spark, monkeypatch):
+    # Weights of 0.1 send two fifths of the keys to the last of the first parts.
+    docs = [(i, "## " * 3 + "w " * (i % 5), "ab"[i % 7 == 0]) for i in range(6000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3)
+    most, last = [], mixing._last
+
+    def spy(rows, ends, span):
+        most.append(max(r.n for r in ends.collect()))
+        return last(rows, ends, span)
+
+    monkeypatch.setattr(mixing, "_last", spy)
+    got = mixing.mix(df, weights=(1, 9), share=1.1, edge=20, buckets=16).collect()
+    plain = mixing.mix(df, weights=(1, 9), share=1.1).collect()
+    assert most[0] <= 20 < 1000 < most[1]
+    assert sorted(map(tuple, got)) == sorted(map(tuple, plain))
+    for size in {r.source_size for r in got}:
+        of = [r for r in got if r.source_size == size]
+        assert abs(sum(r.taken for r in of) - of[0].target) <= 4
