@@ -7,10 +7,11 @@ distribution over languages; a document's language is the one with most expected
 words, and its score is that share.
 
 Training takes at most ``MAX_DOCS`` whole documents and ``MAX_BYTES`` of text of each
-language (the first by a hash of the id) to the driver. If these leave a language
-without words, its shortest text with a letter is taken, a longer one than
-``MAX_BYTES`` by its first ``MAX_BYTES // 4`` code points from that letter on (in
-training only), so every language is learned. Training sequences splice
+language (the first by a hash of the id) to the driver, and less of each where that
+would exceed ``MAX_TOTAL``. If these leave a language without words, its shortest
+text with a letter is taken, one over the bound by as many code points as a quarter
+of it from that letter on (in training only), so every language is learned; over
+``MAX_LANGUAGES`` are refused with an error. Training sequences splice
 stretches of documents in different languages, so transitions are learned from
 switches at known places.
 
@@ -19,7 +20,8 @@ blocks, block products carry the state from block to block, and all blocks step
 together, so one very long text costs no more steps than many short ones.
 
 Defined results: a null text and one without letters are ``und`` with score 0;
-without training rows everything is ``und``; repeated rows give a row each; an
+without training rows everything is ``und``; a row without an id is predicted but
+not learned from; of texts that share an id and a language one is learned from; repeated rows give a row each; an
 empty table gives an empty table; other columns are ignored.
 """
 
@@ -39,9 +41,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalore.llm.pairwise_quality import held_out
-from stratalore.session import bound_batches, ship
+from stratalore.session import bound_batches, materialize, ship
 
-MAX_DOCS, MAX_BYTES = 150, 1 << 20
+#: Training texts and bytes of a language, bytes of all languages, and languages.
+MAX_DOCS, MAX_BYTES, MAX_TOTAL, MAX_LANGUAGES = 150, 1 << 20, 64 << 20, 256
 BUCKETS = 1 << 16
 LEXICON_COUNT = 4
 STEPS, RATE, RIDGE = 30, 0.25, 1e-6
@@ -282,32 +285,38 @@ def fit(samples: dict[str, list[str]]) -> Model:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on a bounded sample of rows with a language that are not held out."""
+    """Fit on a bounded sample of rows with an id and a language that are not held out.
+
+    Texts are read twice: once for their sizes, once for those chosen.
+    """
     base = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
-    known = base.where("lang is not null and text is not null").where(~held_out(F.col("id")))
-    size, lettered = F.octet_length("text").alias("size"), F.regexp_instr("text", F.lit(r"\p{L}"))
-    least = F.min(F.when(lettered > 0, F.struct(size, "id"))).alias("least")
-    sizes, shortest = {}, {}
-    for r in known.groupBy("lang").agg(F.count("*").alias("n"), least).collect():
-        sizes[r.lang], shortest[r.lang] = r.n, r.least
-    if not sizes:
+    known = base.where("id is not null and lang is not null and text is not null").where(~held_out(F.col("id")))
+    lettered = F.regexp_instr("text", F.lit(r"\p{L}"))
+    rows = materialize(known.select("id", "lang", F.octet_length("text").alias("size"), (lettered > 0).alias("words")), "language-rows")
+    found = rows.groupBy("lang").agg(F.approx_count_distinct("id").alias("n"), F.min(F.when(F.col("words"), F.struct("size", "id"))).alias("least")).limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"over {MAX_LANGUAGES} languages to learn; a model has {BUCKETS} weights for each")
+    if not found:
         return fit({})
-    # Keep about twice MAX_DOCS of each language by hash, then cut on the driver.
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 2 * MAX_DOCS / n))])
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("place")
-    ids = known.select("id", "lang", size, (lettered > 0).alias("words"), place).where(F.col("place") < F.element_at(share, F.col("lang")) * float(1 << 30)).orderBy("place", "id").collect()
+    # Keep about twice MAX_DOCS ids of each language by hash, then cut on the driver.
+    share = F.create_map(*[F.lit(x) for r in found for x in (r.lang, min(1.0, 2 * MAX_DOCS / max(1, r.n)))])
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    sampled = rows.where(place < F.element_at(share, F.col("lang")) * float(1 << 30)).groupBy("id", "lang").agg(F.max("size").alias("size"), F.max("words").alias("words"))
+    most = min(MAX_BYTES, MAX_TOTAL // len(found))
     chosen, used = set(), Counter()
-    for r in ids:
-        if used[r.lang, "docs"] < MAX_DOCS and used[r.lang, "bytes"] + r.size <= MAX_BYTES:
-            chosen.add(r.id)
+    for r in sampled.withColumn("place", place).orderBy("place", "id", "lang").collect():
+        if used[r.lang, "docs"] < MAX_DOCS and used[r.lang, "bytes"] + r.size <= most:
+            chosen.add((r.id, r.lang))
             used[r.lang, "docs"] += 1
             used[r.lang, "bytes"] += r.size
             used[r.lang, "words"] += r.words
-    chosen |= {r.id for lang, r in shortest.items() if r and not used[lang, "words"]}
-    picked = docs.sparkSession.createDataFrame([(x,) for x in sorted(chosen)], "id long")
+    chosen |= {(r.least.id, r.lang) for r in found if r.least and not used[r.lang, "words"]}
+    picked = docs.sparkSession.createDataFrame(sorted(chosen), "id long, lang string")
+    part = F.when(F.octet_length("text") > most, F.substring(F.col("text"), F.greatest(lettered, F.lit(1)), F.lit(most // 4))).otherwise(F.col("text"))
+    # One text for each chosen id and language, however often they repeat.
+    texts = known.join(F.broadcast(picked), ["id", "lang"]).select("id", "lang", F.struct((lettered > 0).alias("words"), part.alias("text")).alias("t")).groupBy("id", "lang").agg(F.max("t").alias("t"))
     samples: dict[str, list[str]] = {}
-    part = F.when(F.octet_length("text") > MAX_BYTES, F.substring(F.col("text"), F.greatest(lettered, F.lit(1)), F.lit(MAX_BYTES // 4))).otherwise(F.col("text"))
-    for r in known.join(F.broadcast(picked), "id").select("lang", part.alias("text")).collect():
+    for r in texts.select("lang", "t.text").collect():
         samples.setdefault(r.lang, []).append(r.text)
     return fit({lang: sorted(texts) for lang, texts in samples.items()})
 

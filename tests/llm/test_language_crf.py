@@ -1,7 +1,11 @@
 import itertools
+import math
+import re
 import zlib
+from itertools import pairwise
 
 import numpy as np
+import pytest
 
 from stratalore.llm import language_crf as crf
 
@@ -81,3 +85,57 @@ def test_a_language_of_long_texts_only_is_learned(spark, monkeypatch):
     model = crf.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert model.languages == ["de", "en"]
     assert [x for x, _ in model.predict(["der hund ging nicht", "the cat sat on the mat"])] == ["de", "en"]
+
+
+def test_training_takes_null_and_repeated_ids(spark, monkeypatch):
+    english, german = "the cat sat on the mat and went home", "der hund ging nicht durch den wald"
+    rows = [(None, english, "en"), (None, german, "xx"), (None, None, None)] * 5 + [(1, f"{english} {i}", "en") for i in range(400)]
+    rows += [(i, text, lang) for i in range(2, 60) for text, lang in ((english, "en"), (german, "de"), (german, "de"), ("", "en"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    taken = []
+    fit = crf.fit
+    monkeypatch.setattr(crf, "fit", lambda samples: taken.append(samples) or fit(samples))
+    got = crf.identify(docs).collect()
+    learnable = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(2, 60))
+    assert {k: len(v) for k, v in taken[0].items()} == {"de": learnable, "en": learnable + (zlib.crc32(b"1") % 5 != 0)}
+    assert len(got) == len(rows) and not any(r.held_out for r in got if r.doc_id is None)
+    texts = {r.lang_pred for r in got if r.doc_id is None}
+    assert texts == {"en", "de", "und"}
+    monkeypatch.setattr(crf, "MAX_LANGUAGES", 1)
+    with pytest.raises(ValueError, match="languages"):
+        crf.train(docs)
+
+
+def naive_buckets(word, lexicon):
+    """Feature buckets of one word, letter by letter."""
+
+    def bucket(letters, kind):
+        h = (kind + 1) * int(crf._MIX[4]) % 2**64
+        for k, c in enumerate(letters):
+            h = (h ^ ord(c)) * int(crf._MIX[k % 4]) % 2**64
+            h ^= h >> 29
+        return h % crf.BUCKETS
+
+    marked = f"^{word}$"
+    out = [bucket(word[:k], k) for k in (1, 2, 3) if len(word) >= k] + [bucket(word[-k:][::-1], 3 + k) for k in (1, 2, 3, 4) if len(word) >= k]
+    out += [bucket(marked[i : i + k], 7 + k) for k in (2, 3) for i in range(len(marked) - k + 1)]
+    return out + [zlib.crc32(word.encode()) % crf.BUCKETS] * (word in lexicon)
+
+
+def test_predictions_against_all_labellings(spark):
+    samples = {"en": ["the cat sat on the mat and went home"] * 6, "de": ["der hund ging nicht durch den wald"] * 6, "fr": ["le chat dort dans la maison"] * 6}
+    model = crf.fit(samples)
+    texts = ["the hund ging home", "le chat, the wald 7", "Der nicht der", "maison", "cat dort den la mat", "chat的 12", None, "...", "the the wald wald la la"]
+    for text in texts:
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        if not words:
+            want = ("und", 0.0)
+        else:
+            emission = [[sum(float(model.weights[b, y]) for b in naive_buckets(w, model.lexicon)) for y in range(3)] for w in words]
+            weight = {ys: math.exp(sum(e[y] for e, y in zip(emission, ys)) + sum(model.transitions[a, b] for a, b in pairwise(ys))) for ys in itertools.product(range(3), repeat=len(words))}
+            share = [sum(v * ys.count(y) for ys, v in weight.items()) / sum(weight.values()) / len(words) for y in range(3)]
+            want = (model.languages[int(np.argmax(share))], max(share))
+        got = model.predict([text])[0]
+        assert got[0] == want[0] and got[1] == pytest.approx(want[1], abs=1e-5)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in crf.identify(rows, model).collect()} == {i: model.predict([t])[0][0] for i, t in enumerate(texts)}
