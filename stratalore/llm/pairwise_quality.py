@@ -11,7 +11,8 @@ and ``MAX_PAIRS`` pairs of them, so what reaches the driver is bounded.
 
 Defined results: a null text counts as empty; without both labels every weight is
 zero and every score is above the threshold; null labels are left out; several
-labels of one id count each; repeated rows give a row each; an empty table gives
+labels of one id count each; of texts that share an id one is learned from; repeated
+rows give a row each; an empty table gives
 an empty table; other columns are never read.
 """
 
@@ -120,7 +121,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         rows = [features(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.float64()))], ["good", "x"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.float64()))], ["id", "x"])
 
 
 def held_out(id_col) -> F.Column:
@@ -132,11 +133,14 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     ship(docs.sparkSession)
     bound_batches(docs.sparkSession)
     known = labels.select(labels[id_col].cast("long").alias("id"), (labels[label_col] == 1).alias("good")).where("id is not null and good is not null").where(~held_out(F.col("id")))
-    sample = known.orderBy(F.xxhash64("id"), "id", "good").limit(MAX_ROWS)
+    sample = known.orderBy(F.xxhash64("id"), "id", "good").limit(MAX_ROWS).collect()
+    picked = docs.sparkSession.createDataFrame(sorted({(r.id,) for r in sample}), "id long")
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    # At most MAX_ROWS ids of 16 bytes: small enough to send to every task.
-    rows = texts.join(F.broadcast(sample), "id").select("good", "text").mapInArrow(_extract, "good boolean, x array<double>").collect()
-    return fit(np.array([r.x for r in rows], float).reshape(len(rows), len(FEATURES)), np.array([r.good for r in rows], bool))
+    # At most MAX_ROWS ids of 8 bytes go out to every task, and one row of features for each comes back, however often ids repeat.
+    rows = texts.join(F.broadcast(picked), "id").select("id", "text").mapInArrow(_extract, "id long, x array<double>").groupBy("id").agg(F.min("x").alias("x"))
+    found = {r.id: r.x for r in rows.collect()}
+    known = [(found[r.id], r.good) for r in sample if r.id in found]
+    return fit(np.array([x for x, _ in known], float).reshape(len(known), len(FEATURES)), np.array([good for _, good in known], bool))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
