@@ -9,7 +9,9 @@ positions are sums of chunk lengths, in which dropped separators do not count;
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, chain, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,35 +27,31 @@ CHUNK_SCHEMA = "doc_id long, chunk_index int, level int, parent_index int, char_
 
 
 def split_text(text: str, size: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Pieces of at most ``size`` bytes, but for stretches that no separator cuts."""
-    if not separators or separators[0] == "":
-        return [text] if text else []
+    """Pieces of at most ``size`` bytes, but for stretches that no separator cuts.
+
+    All pieces are measured first; with running totals at hand, each group of
+    neighbours ends where its total would pass ``size``. Pieces too large for any
+    group are cut by the later separators. A group that follows a full one does not
+    count the separator before its first piece; other groups do.
+    """
+    if not any(separators[:1]):
+        return [text] * bool(text)
     sep, rest = separators[0], separators[1:]
-    gap = len(sep.encode())
+    gap, pieces = len(sep.encode()), text.split(sep)
+    sizes = [len(p.encode()) for p in pieces]
+    totals = [0, *accumulate(n + gap for n in sizes)]
     out: list[str] = []
-    held: list[str] = []
-    used = 0
-
-    def flush() -> None:
-        if held and (joined := sep.join(held)):
-            out.append(joined)
-        held.clear()
-
-    for piece in text.split(sep):
-        n = len(piece.encode())
-        if n > size:
-            flush()
-            used = 0
-            out.extend(split_text(piece, size, rest))
-        elif held and used + n + gap > size:
-            flush()
-            held.append(piece)
-            used = n
-        else:
-            held.append(piece)
-            used += n + gap
-    flush()
-    return out
+    for large, run in groupby(range(len(pieces)), lambda i: sizes[i] > size):
+        places = [*run]
+        if large:
+            out += chain.from_iterable(split_text(pieces[i], size, rest) for i in places)
+            continue
+        at, stop, spared = places[0], places[-1] + 1, 0
+        while at < stop:
+            end = min(stop, max(at + 1, bisect_right(totals, totals[at] + size + spared) - 1))
+            out.append(sep.join(pieces[at:end]))
+            at, spared = end, gap
+    return [p for p in out if p]
 
 
 def sections(text: str) -> list[tuple[int, str]]:

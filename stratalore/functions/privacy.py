@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratalore.functions.expressions import let, prefix_sums
 from stratalore.functions.vocabulary import PII_PATTERNS
 
 _SPAN = "array<struct<start:int,neg_end:int,place:int,type:string,text:string>>"
@@ -17,27 +18,33 @@ _SPAN = "array<struct<start:int,neg_end:int,place:int,type:string,text:string>>"
 
 def _typed_spans(text: Column, place: int, name: str, pattern: str) -> Column:
     p = F.lit("(?U)" + pattern)
-    hits, gaps = F.regexp_extract_all(text, p, 0), F.split(text, "(?U)" + pattern, -1)
-    size = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.char_length(x))
+    sizes = lambda xs: F.transform(xs, lambda x: F.char_length(x).cast("long"))
 
-    def span(m: Column, i: Column) -> Column:
-        start = size(F.slice(gaps, 1, i + 1)) + size(F.slice(hits, 1, i))
-        return F.struct(start.alias("start"), (-(start + F.char_length(m))).alias("neg_end"), F.lit(place).alias("place"), F.lit(name).alias("type"), m.alias("text"))
+    def spans(hits: Column, gaps: Column) -> Column:
+        # A match starts after the gaps up to it and the matches before it.
+        ends = prefix_sums(F.zip_with(sizes(F.slice(gaps, 1, F.size(hits))), sizes(hits), lambda a, b: a + b))
+        return let(ends, lambda e: F.transform(hits, lambda m, i: F.struct((F.get(e, i) - F.char_length(m)).cast("int").alias("start"), (-F.get(e, i)).cast("int").alias("neg_end"), F.lit(place).alias("place"), F.lit(name).alias("type"), m.alias("text"))))
 
-    return F.when(text.rlike("(?U)" + pattern), F.transform(hits, span)).otherwise(F.array()).cast(_SPAN)
+    found = let(F.regexp_extract_all(text, p, 0), lambda hits: let(F.split(text, "(?U)" + pattern, -1), lambda gaps: spans(hits, gaps)))
+    return F.when(text.rlike("(?U)" + pattern), found).otherwise(F.array()).cast(_SPAN)
+
+
+_KEPT = "array<struct<start:int,end:int,type:string,text:string>>"
 
 
 def detect(text: Column) -> Column:
     """Array of non-overlapping spans (start, end, type, text) in order; empty for null."""
     found = F.sort_array(F.concat(*[_typed_spans(text, i, k, p) for i, (k, p) in enumerate(PII_PATTERNS.items())]))
-    zero = F.struct(F.lit(0).alias("last"), F.array().cast("array<struct<start:int,end:int,type:string,text:string>>").alias("out"))
+    zero = F.struct(F.lit(0).alias("last"), F.array().cast(_KEPT).alias("some"), F.array().cast(f"array<{_KEPT}>").alias("full"))
 
     def fold(acc: Column, s: Column) -> Column:
+        """Kept spans gather in blocks, so a long list is not copied for each span."""
         end = -s["neg_end"]
-        kept = F.concat(acc["out"], F.array(F.struct(s["start"].alias("start"), end.alias("end"), s["type"].alias("type"), s["text"].alias("text"))))
-        return F.when(s["start"] >= acc["last"], F.struct(end.alias("last"), kept.alias("out"))).otherwise(acc)
+        some = F.concat(acc["some"], F.array(F.struct(s["start"].alias("start"), end.alias("end"), s["type"].alias("type"), s["text"].alias("text"))))
+        closed = F.struct(end.alias("last"), F.array().cast(_KEPT).alias("some"), F.concat(acc["full"], F.array(some)).alias("full"))
+        return F.when(s["start"] < acc["last"], acc).when(F.size(acc["some"]) >= 255, closed).otherwise(F.struct(end.alias("last"), some.alias("some"), acc["full"].alias("full")))
 
-    return F.coalesce(F.aggregate(found, zero, fold, lambda acc: acc["out"]), F.array().cast("array<struct<start:int,end:int,type:string,text:string>>"))
+    return F.coalesce(F.aggregate(found, zero, fold, lambda acc: F.concat(F.flatten(acc["full"]), acc["some"])), F.array().cast(_KEPT))
 
 
 def detect_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

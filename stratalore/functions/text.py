@@ -27,7 +27,7 @@ def extension(path: Column) -> Column:
 
 def file_kind(path: Column) -> Column:
     ext = extension(path)
-    return reduce(lambda c, kv: c.when(ext.isin(kv[1].split()), kv[0]), list(V.FILE_KINDS.items())[1:], F.when(ext.isin("txt"), "text")).otherwise("unknown")
+    return reduce(lambda c, kv: c.when(ext.isin(kv[1]), kv[0]), list(V.FILE_KINDS.items())[1:], F.when(ext.isin(V.FILE_KINDS["text"]), "text")).otherwise("unknown")
 
 
 def is_text_kind(kind: Column) -> Column:
@@ -74,10 +74,9 @@ def any_match(text: Column, patterns: list[str]) -> Column:
 def light_stem(word: Column) -> Column:
     """The light stemmer: first matching suffix rule on words over 3 bytes."""
     size = F.octet_length(word)
-    rules = V.stem_rules()
     cut = lambda s, put: F.concat(F.left(word, F.char_length(word) - len(s)), F.lit(put))
     chain = F.when(size <= 3, word)
-    for suffix, put in rules:
+    for suffix, put in V.STEM_RULES:
         chain = chain.when((size > len(suffix) + 1) & word.endswith(suffix), cut(suffix, put))
     return chain.otherwise(word)
 
@@ -89,25 +88,25 @@ def topic_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), UNICODE + TOPIC_SPLIT), lambda w: F.octet_length(w) >= 2)
 
 
+def word_topic(word: Column) -> Column:
+    """Topic of a word: that of the word itself, else that of its stem; null for most words."""
+    exact, stems = V.keyword_topics(), V.stem_topics()
+    named = lambda table, value: F.element_at(F.create_map(*[F.lit(x) for item in sorted(table.items()) for x in item]), value)
+    # Hashed sets come first: few words are in them, so the maps and the chain of suffix rules run for few.
+    # A rule keeps two letters at least. If it keeps three, they begin the stem; if two, the stem has what it puts in their place.
+    put = max(len(p) for _, p in V.STEM_RULES)
+    start = lambda n, longest: F.substring(word, 1, n).isin(sorted({s[:n] for s in stems if len(s) <= longest}))
+    near = start(3, 1 << 10) | ((F.octet_length(word) <= 2 + max(len(s) for s, _ in V.STEM_RULES)) & start(2, 2 + put))
+    return F.when(word.isin(sorted(exact)), named(exact, word)).when(near, named(stems, light_stem(word)))
+
+
 def topic_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, topic, n): keyword hits of each topic, exact words first, stems else.
 
-    Words are counted per document before any lookup, and the stem chain runs on
-    each distinct word once.
+    Words meet the constant tables where they are read; only counts by document and topic are shuffled.
     """
-    spark = docs.sparkSession
-    table = lambda d, k: spark.createDataFrame(sorted(d.items()), f"{k} string, topic_{k} string")
-    words = docs.select(F.col(id_col).alias("id"), F.explode(topic_words(F.col(text_col))).alias("word"))
-    vocabulary = words.select("word").distinct()
-    exact, stems = table(V.keyword_topics(), "exact"), table(V.stem_topics(), "stem")
-    named = (
-        vocabulary.join(F.broadcast(exact), vocabulary.word == exact.exact, "left")
-        .withColumn("stemmed", F.when(F.col("topic_exact").isNull(), light_stem(F.col("word"))))
-        .join(F.broadcast(stems), F.col("stemmed") == F.col("stem"), "left")
-        .select("word", F.coalesce("topic_exact", "topic_stem").alias("topic"))
-        .where("topic is not null")
-    )
-    return words.join(named, "word").groupBy("id", "topic").agg(F.count("*").alias("n")).withColumnRenamed("id", id_col)
+    words = docs.select(F.col(id_col), F.explode(topic_words(F.col(text_col))).alias("word"))
+    return words.select(id_col, word_topic(F.col("word")).alias("topic")).where("topic is not null").groupBy(id_col, "topic").agg(F.count("*").alias("n"))
 
 
 def classify_topics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 3) -> DataFrame:
@@ -153,7 +152,7 @@ def content_type(text: Column, source: Column | None = None, filename: Column |
 def domain(text: Column) -> Column:
     """Domain with most keywords present, at least two, the first of equal ones; else personal."""
     low = F.lower(text)
-    scores = F.array(*[F.struct(F.aggregate(F.array(*[F.lit(w) for w in words.split(",")]), F.lit(0), lambda a, w: a + low.contains(w).cast("int")).alias("score"), F.lit(-i).alias("place"), F.lit(name).alias("name")) for i, (name, words) in enumerate(V.DOMAIN_KEYWORDS.items())])
+    scores = F.array(*[F.struct(F.aggregate(F.array(*[F.lit(w) for w in words]), F.lit(0), lambda a, w: a + low.contains(w).cast("int")).alias("score"), F.lit(-i).alias("place"), F.lit(name).alias("name")) for i, (name, words) in enumerate(V.DOMAIN_KEYWORDS.items())])
     best = F.array_max(scores)
     return F.when(best["score"] >= 2, best["name"]).otherwise("personal")
 
@@ -198,13 +197,17 @@ def structured_metadata(text: Column, most: int = 5) -> Column:
     )
 
 
+def _tail(words: Column) -> Column:
+    return F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))
+
+
 def _capital(word: Column) -> Column:
     return word.rlike(r"^\p{Lu}") & ~word.rlike(r"^\p{Lu}+$")
 
 
 def entities(text: Column, most: int = 10) -> Column:
     """Names, technical and quoted terms by how often they occur in the text, ties by name."""
-    inner = F.flatten(F.transform(sentences(text), lambda s: F.slice(F.split(s, r"(?U)\s+"), 2, 1 << 20)))
+    inner = F.flatten(F.transform(sentences(text), lambda s: _tail(F.split(s, r"(?U)\s+"))))
     names = F.filter(F.transform(F.filter(inner, lambda w: F.octet_length(w) > 2), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", "")), _capital)
     terms = [F.regexp_extract_all(text, F.lit(UNICODE + p), 0) for p in (V.CAMEL, V.SNAKE, V.CONSTANT)]
     found = F.array_distinct(F.concat(names, *terms, F.regexp_extract_all(text, F.lit(V.QUOTED), 1)))
@@ -219,7 +222,7 @@ def key_sentences(docs: DataFrame, n: int = 3, id_col: str = "doc_id", text_col:
     listed = docs.select(F.col(id_col), F.filter(sentences(F.col(text_col)), lambda s: F.octet_length(s) > 20).alias("all"), F.col(text_col).alias("whole"))
     each = listed.where(F.size("all") > 0).select(id_col, F.size("all").alias("total"), F.posexplode("all").alias("i", "sentence"))
     size, low = F.octet_length("sentence"), F.lower("sentence")
-    words = F.slice(F.split("sentence", r"(?U)\s+"), 2, 1 << 20)
+    words = _tail(F.split("sentence", r"(?U)\s+"))
     hit = lambda c: F.when(c, 1).otherwise(0)
     score = (
         F.greatest(F.lit(3) - F.col("i"), F.lit(0))

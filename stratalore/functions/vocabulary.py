@@ -8,29 +8,67 @@ from __future__ import annotations
 # Topics and their keywords.
 TOPICS = ["health", "finance", "work", "personal", "social", "legal", "travel", "education", "programming", "sports", "technology", "shopping", "family", "general"]
 TOPIC_KEYWORDS = {
-    "sports": "basketball football soccer baseball tennis golf hockey game team player score match championship athlete winning overtime",
-    "technology": "smartphone computer laptop software hardware app processor camera device digital internet wifi",
-    "shopping": "bought purchased store mall sale discount price cart order delivery retail shop dress shoes clothes purchase",
-    "health": "doctor medicine prescription hospital treatment diagnosis symptom patient clinic nurse surgery antibiotic antibiotics prescribed infection therapy medical dental dentist fitness exercise diet wellness nutrition workout gym",
-    "family": "parents children kids siblings relatives grandparents cousins reunion mother father brother sister",
-    "programming": "code python javascript function class api debug compile algorithm def return import variable loop array programming coding developer quicksort recursion recursive select sql database query table insert",
-    "finance": "money budget investment bank savings loan credit tax",
-    "education": "school university college learning student teacher course study exam",
-    "travel": "vacation trip flight hotel destination airport tourism",
-    "legal": "lawyer court law contract attorney lawsuit legal",
-    "work": "job office meeting project deadline colleague boss career",
-    "personal": "diary journal thoughts feelings myself private personal reflection friends",
-    "social": "party socializing hangout gathering community networking social",
-}
-
-# Suffix rules of the light stemmer, first match wins ("suffix:replacement").
-STEM_RULES = (
-    "pping:p tting:t nning:n mming:m dding:d gging:g bing:b ying:y eing:e uing:ue oing:o ting:t ning:n ming:m king:k ding:d ring:r ling:l sing:s zing:z cing:c ping:p ing: "
-    "pped:p tted:t nned:n mmed:m dded:d gged:g bbed:b ied:y eed:ee ued:ue owed:ow awed:aw wed:w ted:t ned:n med:m ked:k ded:d red:r led:l sed:s zed:z ced:c ped:p ved:ve ed: "
-    "ies:y ches:ch shes:sh xes:x zes:z ses:s oes:o es:e ss:ss us:us is:is s: "
-    "ier:y pper:p tter:t nner:n mmer:m dder:d gger:g bber:b ler:l ner:n ter:t ser:s zer:z cer:c per:p ker:k der:d er: or: "
-    "ation: ition: ution: tion: sion: ment: iness:y ness: ily:y ally:al ly: ful: less: able: ible: ity: ative: itive: ive: ious: eous: ous: ical:ic ual: al:"
-)
+    "sports": [
+        "basketball", "football", "soccer", "baseball", "tennis", "golf", "hockey", "game", "team", "player", "score", "match", "championship",
+        "athlete", "winning", "overtime",
+    ],
+    "technology": [
+        "smartphone", "computer", "laptop", "software", "hardware", "app", "processor", "camera", "device", "digital", "internet", "wifi",
+    ],
+    "shopping": [
+        "bought", "purchased", "store", "mall", "sale", "discount", "price", "cart", "order", "delivery", "retail", "shop", "dress", "shoes",
+        "clothes", "purchase",
+    ],
+    "health": [
+        "doctor", "medicine", "prescription", "hospital", "treatment", "diagnosis", "symptom", "patient", "clinic", "nurse", "surgery", "antibiotic",
+        "antibiotics", "prescribed", "infection", "therapy", "medical", "dental", "dentist", "fitness", "exercise", "diet", "wellness", "nutrition",
+        "workout", "gym",
+    ],
+    "family": [
+        "parents", "children", "kids", "siblings", "relatives", "grandparents", "cousins", "reunion", "mother", "father", "brother", "sister",
+    ],
+    "programming": [
+        "code", "python", "javascript", "function", "class", "api", "debug", "compile", "algorithm", "def", "return", "import", "variable", "loop",
+        "array", "programming", "coding", "developer", "quicksort", "recursion", "recursive", "select", "sql", "database", "query", "table",
+        "insert",
+    ],
+    "finance": [
+        "money", "budget", "investment", "bank", "savings", "loan", "credit", "tax",
+    ],
+    "education": [
+        "school", "university", "college", "learning", "student", "teacher", "course", "study", "exam",
+    ],
+    "travel": [
+        "vacation", "trip", "flight", "hotel", "destination", "airport", "tourism",
+    ],
+    "legal": [
+        "lawyer", "court", "law", "contract", "attorney", "lawsuit", "legal",
+    ],
+    "work": [
+        "job", "office", "meeting", "project", "deadline", "colleague", "boss", "career",
+    ],
+    "personal": [
+        "diary", "journal", "thoughts", "feelings", "myself", "private", "personal", "reflection", "friends",
+    ],
+    "social": [
+        "party", "socializing", "hangout", "gathering", "community", "networking", "social",
+    ],
+}
+
+# Suffix rules of the light stemmer (suffix, replacement), first match wins.
+STEM_RULES = [
+    ("pping", "p"), ("tting", "t"), ("nning", "n"), ("mming", "m"), ("dding", "d"), ("gging", "g"), ("bing", "b"), ("ying", "y"), ("eing", "e"),
+    ("uing", "ue"), ("oing", "o"), ("ting", "t"), ("ning", "n"), ("ming", "m"), ("king", "k"), ("ding", "d"), ("ring", "r"), ("ling", "l"),
+    ("sing", "s"), ("zing", "z"), ("cing", "c"), ("ping", "p"), ("ing", ""), ("pped", "p"), ("tted", "t"), ("nned", "n"), ("mmed", "m"),
+    ("dded", "d"), ("gged", "g"), ("bbed", "b"), ("ied", "y"), ("eed", "ee"), ("ued", "ue"), ("owed", "ow"), ("awed", "aw"), ("wed", "w"),
+    ("ted", "t"), ("ned", "n"), ("med", "m"), ("ked", "k"), ("ded", "d"), ("red", "r"), ("led", "l"), ("sed", "s"), ("zed", "z"), ("ced", "c"),
+    ("ped", "p"), ("ved", "ve"), ("ed", ""), ("ies", "y"), ("ches", "ch"), ("shes", "sh"), ("xes", "x"), ("zes", "z"), ("ses", "s"), ("oes", "o"),
+    ("es", "e"), ("ss", "ss"), ("us", "us"), ("is", "is"), ("s", ""), ("ier", "y"), ("pper", "p"), ("tter", "t"), ("nner", "n"), ("mmer", "m"),
+    ("dder", "d"), ("gger", "g"), ("bber", "b"), ("ler", "l"), ("ner", "n"), ("ter", "t"), ("ser", "s"), ("zer", "z"), ("cer", "c"), ("per", "p"),
+    ("ker", "k"), ("der", "d"), ("er", ""), ("or", ""), ("ation", ""), ("ition", ""), ("ution", ""), ("tion", ""), ("sion", ""), ("ment", ""),
+    ("iness", "y"), ("ness", ""), ("ily", "y"), ("ally", "al"), ("ly", ""), ("ful", ""), ("less", ""), ("able", ""), ("ible", ""), ("ity", ""),
+    ("ative", ""), ("itive", ""), ("ive", ""), ("ious", ""), ("eous", ""), ("ous", ""), ("ical", "ic"), ("ual", ""), ("al", ""),
+]
 
 # Content types by pattern, later ones override earlier ones.
 SOURCE_TYPES = {"chatgpt": "conversation", "readwise": "highlight", "github": "code", "notion": "note", "todoist": "list"}
@@ -41,13 +79,13 @@ MEETING_PATTERNS = [r"meeting\s+notes?|agenda|attendees|action\s+items", r"discu
 LIST_PATTERNS = [r"(?m)^\s*[-*]\s+\[[ x]\]", r"(?m)^\s*\d+\.\s+\w+"]
 EMAIL_PATTERNS = [r"from:\s*\S+@\S+|to:\s*\S+@\S+|subject:", r"dear\s+\w+|regards,|sincerely,"]
 DOMAIN_KEYWORDS = {
-    "work": "project,deadline,client,meeting,team,report,quarterly,kpi,revenue,stakeholder,deliverable,sprint,standup,roadmap,milestone",
-    "technical": "code,api,database,server,deploy,bug,feature,function,class,variable,algorithm,architecture,docker,kubernetes,python,javascript,git",
-    "learning": "learn,study,course,tutorial,lesson,chapter,concept,understand,example,practice,exercise",
-    "creative": "idea,story,write,draft,creative,inspiration,brainstorm,imagine,design,concept,sketch",
-    "personal": "journal,diary,today i,feeling,thought,memory,family,friend,weekend,vacation,birthday",
-    "finance": "budget,expense,income,investment,savings,tax,payment,invoice,salary,cost,price,money",
-}
+    "work": ["project", "deadline", "client", "meeting", "team", "report", "quarterly", "kpi", "revenue", "stakeholder", "deliverable", "sprint", "standup", "roadmap", "milestone"],
+    "technical": ["code", "api", "database", "server", "deploy", "bug", "feature", "function", "class", "variable", "algorithm", "architecture", "docker", "kubernetes", "python", "javascript", "git"],
+    "learning": ["learn", "study", "course", "tutorial", "lesson", "chapter", "concept", "understand", "example", "practice", "exercise"],
+    "creative": ["idea", "story", "write", "draft", "creative", "inspiration", "brainstorm", "imagine", "design", "concept", "sketch"],
+    "personal": ["journal", "diary", "today i", "feeling", "thought", "memory", "family", "friend", "weekend", "vacation", "birthday"],
+    "finance": ["budget", "expense", "income", "investment", "savings", "tax", "payment", "invoice", "salary", "cost", "price", "money"],
+}
 
 # Extraction patterns.
 DATE_PATTERNS = [
@@ -72,10 +110,12 @@ ACTIVITY_PATTERNS = [
     r"\b(?i:deployed|released|launched|shipped|implemented|developed|built|created|designed|reviewed|analyzed|tested|fixed|updated|migrated|refactored|optimized|integrated|configured|monitored|debugged|resolved|completed|approved|merged|committed)\b",
     r"\b(?i:deploying|releasing|launching|shipping|implementing|developing|building|creating|designing|reviewing|analyzing|testing|fixing|updating|migrating|refactoring|optimizing|integrating|configuring|monitoring|debugging|resolving|completing|approving|merging|committing)\b",
 ]
-TECHNOLOGIES = (
-    "Python JavaScript TypeScript Java C++ C# Go Rust Ruby PHP Swift Kotlin React Angular Vue Node.js Django Flask FastAPI Spring Rails PostgreSQL MySQL MongoDB Redis Elasticsearch SQLite "
-    "Docker Kubernetes AWS Azure GCP Terraform Ansible Git GitHub GitLab Jenkins TensorFlow PyTorch Keras REST GraphQL gRPC WebSocket HTTP API Linux Windows macOS Ubuntu OAuth JWT SSL TLS Kafka RabbitMQ Jira Slack"
-).split()
+TECHNOLOGIES = [
+    "Python", "JavaScript", "TypeScript", "Java", "C++", "C#", "Go", "Rust", "Ruby", "PHP", "Swift", "Kotlin", "React", "Angular", "Vue", "Node.js",
+    "Django", "Flask", "FastAPI", "Spring", "Rails", "PostgreSQL", "MySQL", "MongoDB", "Redis", "Elasticsearch", "SQLite", "Docker", "Kubernetes",
+    "AWS", "Azure", "GCP", "Terraform", "Ansible", "Git", "GitHub", "GitLab", "Jenkins", "TensorFlow", "PyTorch", "Keras", "REST", "GraphQL", "gRPC",
+    "WebSocket", "HTTP", "API", "Linux", "Windows", "macOS", "Ubuntu", "OAuth", "JWT", "SSL", "TLS", "Kafka", "RabbitMQ", "Jira", "Slack",
+]
 TITLED_PERSON = r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)"
 TWO_NAMES = r"\b([A-Z][a-z]+\s+[A-Z][a-z]+)\b"
 ORGANIZATION = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\s+(?:Inc\.|Corp\.|LLC|Ltd\.|Co\.)"
@@ -97,12 +137,12 @@ PII_PATTERNS = {
 # Consent, file kinds, tiers.
 CATEGORIES = ["personal", "financial", "health", "professional", "social", "technical", "general"]
 FILE_KINDS = {
-    "text": "txt",
-    "markdown": "md mdx",
-    "code": "py js ts tsx jsx rs go java cpp c h hpp cs rb php swift kt scala sh bash zsh yaml yml toml ini cfg conf xml html css scss sql",
-    "json": "json",
-    "pdf": "pdf",
-}
+    "text": ["txt"],
+    "markdown": ["md", "mdx"],
+    "code": ["py", "js", "ts", "tsx", "jsx", "rs", "go", "java", "cpp", "c", "h", "hpp", "cs", "rb", "php", "swift", "kt", "scala", "sh", "bash", "zsh", "yaml", "yml", "toml", "ini", "cfg", "conf", "xml", "html", "css", "scss", "sql"],
+    "json": ["json"],
+    "pdf": ["pdf"],
+}
 CODE_EXTENSIONS = [".py", ".js", ".java", ".cpp", ".c", ".go", ".rs", ".ts", ".tsx", ".jsx"]
 LONG_EXTENSIONS = [".md", ".txt", ".rst", ".tex", ".html", ".xml"]
 WIDE_EXTENSIONS = [".md", ".rst", ".tex", ".txt"]
@@ -118,18 +158,14 @@ PROMPT_TAIL = "\n\nNote: Some values in the context may have been modified for p
 
 
 def keyword_topics() -> dict[str, str]:
-    return {w: t for t, ws in TOPIC_KEYWORDS.items() for w in ws.split()}
-
-
-def stem_rules() -> list[tuple[str, str]]:
-    return [tuple(r.split(":")) for r in STEM_RULES.split()]
+    return {w: t for t, ws in TOPIC_KEYWORDS.items() for w in ws}
 
 
 def light_stem(word: str) -> str:
     """The light stemmer on one word; for building tables."""
     size = len(word.encode())
     if size > 3:
-        for suffix, put in stem_rules():
+        for suffix, put in STEM_RULES:
             if size > len(suffix) + 1 and word.endswith(suffix):
                 return word[: len(word) - len(suffix)] + put
     return word

@@ -1,9 +1,9 @@
 """Keyword, vector and hybrid search.
 
-The index is a postings table with one row for each term and chunk; statistics are
-a document-length table and one row of totals. A query is a small set of terms,
-so scoring filters postings by term before anything is joined, and every result
-list ends in a top-k that each partition cuts by itself first.
+The index is a written postings table with one row for each term and chunk, next to
+the chunk's length, in folders by bucket of terms. A query is a small set of terms,
+so it opens their buckets only and joins nothing, and every result list ends in a
+top-k that each partition cuts by itself first.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from stratalore.functions import porter
 from stratalore.functions.text import passage, truncate_text
 from stratalore.functions.vectors import cosine, dequantize
 from stratalore.functions.vocabulary import PROMPT_HEAD, PROMPT_PLAIN, PROMPT_TAIL
-from stratalore.session import ship
+from stratalore.session import files_state, fresh_path, parquet_scan, shuffle_partitions, ship
 
 K1, B, IDF_FLOOR, RRF_K, BOOST = 1.2, 0.75, 1e-6, 60, 0.15
 
@@ -68,32 +68,71 @@ def stem_tokens(tokens: Column) -> Column:
     return stems(tokens)
 
 
+#: Files that share a bucket of terms, so that a term in every chunk is not one task's alone.
+SALTS = 8
+
+
 @dataclass
 class Index:
-    """Postings (chunk_id, term, tf, positions), lengths (chunk_id, length, level) and totals (n, avg)."""
+    """Written postings (bucket, term, chunk_id, level, length, tf, positions), the number of chunks and their mean length."""
 
     postings: DataFrame
-    lengths: DataFrame
-    totals: DataFrame
+    chunks: int
+    average: float
     stemmed: bool
+    buckets: int
+
+    def of(self, terms: list[str]) -> DataFrame:
+        """Postings of some terms; only their buckets are opened."""
+        names = self.postings.sparkSession.createDataFrame([(t,) for t in terms], "t string").select(_bucket(F.col("t"), self.buckets).alias("b"))
+        return self.postings.where(F.col("bucket").isin(sorted({r.b for r in names.collect()})) & F.col("term").isin(terms))
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def build_index(chunks: DataFrame, stemmed: bool = True, id_col: str = "chunk_id", text_cols: tuple[str, ...] = ("text",), level_col: str | None = None) -> Index:
-    """Index of all chunks; positions of a later column go on far behind those of the one before."""
+def build_index(chunks: DataFrame, stemmed: bool = True, id_col: str = "chunk_id", text_cols: tuple[str, ...] = ("text",), level_col: str | None = None, path: str | None = None) -> Index:
+    """Write the index of all chunks below ``path`` (by default a new shared folder); each text is cut into words once.
+
+    Positions of a later column go on far behind those of the one before.
+    """
+    spark = chunks.sparkSession
     if stemmed:
-        ship(chunks.sparkSession)
+        ship(spark)
     tokens = (lambda c: stem_tokens(word_tokens(c))) if stemmed else plain_tokens
     base = chunks.select(F.col(id_col).alias("chunk_id"), (F.col(level_col) if level_col else F.lit(1)).alias("level"), *[tokens(F.col(c)).alias(f"_{i}") for i, c in enumerate(text_cols)])
-    gap = 1 << 24
+    gap, buckets = 1 << 24, shuffle_partitions(spark)
 
     def placed(i: int) -> Column:
         return F.transform(f"_{i}", lambda w, p: F.struct(w.alias("term"), (p + i * gap).alias("at")))
 
-    each = base.select("chunk_id", F.explode(F.concat(*map(placed, range(len(text_cols))))).alias("t")).select("chunk_id", "t.term", "t.at")
-    postings = each.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
-    lengths = base.select("chunk_id", "level", sum((F.size(f"_{i}") for i in range(len(text_cols))), F.lit(0)).cast("long").alias("length"))
-    totals = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("avg"))
-    return Index(postings, lengths, totals, stemmed)
+    length = sum((F.size(f"_{i}") for i in range(len(text_cols))), F.lit(0)).cast("long").alias("length")
+    each = base.select("chunk_id", "level", length, F.explode(F.concat(*map(placed, range(len(text_cols))))).alias("t")).select("chunk_id", "level", "length", "t.term", "t.at")
+    dealt = each.withColumns({"bucket": _bucket(F.col("term"), buckets), "salt": F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int")})
+    # All words of a chunk are in one task, so counts are whole before they are shuffled, to their bucket and salt.
+    counted = dealt.groupBy("bucket", "salt", "term", "chunk_id", "level", "length").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
+    path = path or fresh_path(spark, "postings")
+    counted.repartition(buckets, "bucket", "salt").drop("salt").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
+    schema = "term string, chunk_id {}, level {}, length long, tf long, positions array<int>, bucket int".format(*(base.schema[c].dataType.simpleString() for c in ("chunk_id", "level")))
+    postings = spark.read.schema(schema).parquet(path)
+    n, words = chunks.count(), postings.agg(F.sum("tf")).first()[0] or 0
+    return Index(postings, n, words / n if n else 0.0, stemmed, buckets)
+
+
+_indexes: dict[tuple, tuple[int, Index]] = {}
+
+
+def shared_index(chunks: DataFrame, stemmed: bool = True, id_col: str = "chunk_id", text_cols: tuple[str, ...] = ("text",), level_col: str | None = None) -> Index:
+    """The index of a table in Parquet files, built once and again only when its files change; of any other plan a new one."""
+    options = (stemmed, id_col, text_cols, level_col)
+    if not parquet_scan(chunks):
+        return build_index(chunks, *options)
+    key = (chunks.sparkSession.sparkContext.applicationId, tuple(sorted(chunks.inputFiles())), *options)
+    state = files_state(chunks)
+    if key not in _indexes or _indexes[key][0] != state:
+        _indexes[key] = state, build_index(chunks, *options)
+    return _indexes[key][1]
 
 
 def query_phrases(query: str, stemmed: bool = True) -> dict[tuple[str, ...], int]:
@@ -107,11 +146,9 @@ def query_phrases(query: str, stemmed: bool = True) -> dict[tuple[str, ...], int
     return dict(out)
 
 
-def _phrase_hits(index: Index, phrase: tuple[str, ...]) -> DataFrame:
-    """(chunk_id, tf) of a phrase: the positions of its words, each moved back by its place, meet."""
-    if len(phrase) == 1:
-        return index.postings.where(F.col("term") == phrase[0]).select("chunk_id", "tf")
-    starts = index.postings.where(F.col("term").isin(list(phrase))).groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
+def _phrase_hits(postings: DataFrame, phrase: tuple[str, ...]) -> DataFrame:
+    """(chunk_id, level, length, tf) of a phrase: the positions of its words, each moved back by its place, meet."""
+    starts = postings.where(F.col("term").isin(list(phrase))).groupBy("chunk_id", "level", "length").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
 
     def moved_back(k: int) -> Column:
         return F.transform(F.element_at("at", F.lit(phrase[k])), lambda p: p - k)
@@ -120,25 +157,32 @@ def _phrase_hits(index: Index, phrase: tuple[str, ...]) -> DataFrame:
     both = moved[0]
     for m in moved[1:]:
         both = F.array_intersect(both, m)
-    return starts.where(F.size("at") == len(set(phrase))).select("chunk_id", F.size(both).cast("long").alias("tf")).where("tf > 0")
+    return starts.where(F.size("at") == len(set(phrase))).select("chunk_id", "level", "length", F.size(both).cast("long").alias("tf")).where("tf > 0")
 
 
 def bm25(index: Index, query: str, top_k: int | None = 10, level: int | None = None) -> DataFrame:
-    """(chunk_id, score) by BM25, best first; statistics are over all chunks, the level is filtered after."""
-    total = index.totals.first()
-    hits = None
-    for phrase, times in query_phrases(query, index.stemmed).items():
-        found = _phrase_hits(index, phrase).withColumns({"phrase": F.lit(" ".join(phrase)), "times": F.lit(times)})
-        hits = found if hits is None else hits.unionByName(found)
-    if hits is None or not total.n:
-        return index.lengths.limit(0).select("chunk_id", F.lit(0.0).alias("score"))
-    counts = hits.groupBy("phrase").agg(F.count("*").alias("df"))
-    idf = F.log((total.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = hits.join(F.broadcast(counts), "phrase").join(index.lengths, "chunk_id")
+    """(chunk_id, score) by BM25, best first; statistics are over all chunks, the level is filtered after.
+
+    The postings of the query's words are read twice: for the number of chunks of
+    each phrase, which becomes a constant, and for the scores.
+    """
+    phrases = query_phrases(query, index.stemmed)
+    if not phrases or not index.chunks:
+        return index.postings.limit(0).select("chunk_id", F.lit(0.0).alias("score"))
+    postings = index.of(sorted({w for p in phrases for w in p}))
+    single = [p[0] for p in phrases if len(p) == 1]
+    columns = ["chunk_id", "level", "length", "tf"]
+    hits = postings.where(F.col("term").isin(single)).select(*columns, F.col("term").alias("phrase"))
+    for phrase in (p for p in phrases if len(p) > 1):
+        hits = hits.unionByName(_phrase_hits(postings, phrase).withColumn("phrase", F.lit(" ".join(phrase))))
+    weight = F.lit(0.0)
+    for r in hits.groupBy("phrase").agg(F.count("*").alias("df")).collect():
+        idf = math.log((index.chunks - r.df + 0.5) / (r.df + 0.5))
+        weight = F.when(F.col("phrase") == r.phrase, (idf if idf > 0 else IDF_FLOOR) * phrases[tuple(r.phrase.split(" "))]).otherwise(weight)
     if level is not None:
-        weighted = weighted.where(F.col("level") == level)
-    part = F.when(idf <= 0, IDF_FLOOR).otherwise(idf) * F.col("times") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / (total.avg or 1.0)))
-    scored = weighted.groupBy("chunk_id").agg(F.sum(part).alias("score"))
+        hits = hits.where(F.col("level") == level)
+    part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / (index.average or 1.0)))
+    scored = hits.groupBy("chunk_id").agg(F.sum(part).alias("score"))
     return scored.orderBy(F.desc("score"), "chunk_id").limit(top_k) if top_k else scored
 
 

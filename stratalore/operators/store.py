@@ -147,7 +147,9 @@ def deduplicate(documents: DataFrame, key: str = "content_hash", newest: str = "
 
 
 def evict_oldest(documents: DataFrame, n: int, by: str = "created_at", key: str = "id") -> DataFrame:
-    oldest = documents.orderBy(by, key).limit(n).select(key)
+    """All but the ``n`` first rows by time and key, numbered range by range and so never gathered in one task."""
+    numbered = with_ids(documents.select(F.col(by).alias("_by"), F.col(key).alias("_key")), 1, ["_by", "_key"])
+    oldest = numbered.where(F.col("id") <= n).select(F.col("_key").alias(key))
     return documents.join(oldest, key, "left_anti")
 
 

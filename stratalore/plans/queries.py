@@ -184,13 +184,13 @@ bm AS (SELECT doc_id, sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e
 
 @query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 10")
 def bm25_topk(spark, d):
-    index = search.build_index(docs(spark, d), False, "doc_id")
+    index = search.shared_index(docs(spark, d), False, "doc_id")
     return search.bm25(index, WORDS, 10).select(F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query()
 def bm25_porter_topk(spark, d):
-    index = search.build_index(docs(spark, d), True, "doc_id")
+    index = search.shared_index(docs(spark, d), True, "doc_id")
     return search.bm25(index, "thing. node.js Ation", 10).select(F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
@@ -235,7 +235,7 @@ f AS (SELECT id, sum(1.0 / (60 + r)) AS score FROM (SELECT * FROM a UNION ALL SE
 
 
 def _hybrid(spark, d) -> DataFrame:
-    index = search.build_index(docs(spark, d), False, "doc_id")
+    index = search.shared_index(docs(spark, d), False, "doc_id")
     vectors = t(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
     return search.hybrid_search(index, vectors, WORDS, _vector(spark, d), 20, 20)
 
@@ -291,7 +291,7 @@ def rag_prompt(spark, d):
 
 # Text analysis
 
-_STEM = " ".join(f"WHEN strlen(w) > {len(s) + 1} AND ends_with(w, '{s}') THEN left(w, length(w) - {len(s)}) || '{p}'" for s, p in V.stem_rules())
+_STEM = " ".join(f"WHEN strlen(w) > {len(s) + 1} AND ends_with(w, '{s}') THEN left(w, length(w) - {len(s)}) || '{p}'" for s, p in V.STEM_RULES)
 _MAP = lambda m: ", ".join(f"('{k}', '{v}')" for k, v in sorted(m.items()))
 _TOPICS = f"""
 words AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[\\s,.;:!?()\\[\\]{{}}"''/\\\\]+'), lambda x: strlen(x) >= 2)) AS w FROM documents),
@@ -329,7 +329,7 @@ def docs_by_topic(spark, d):
     return X.classify_topics(docs(spark, d)).where(F.array_contains("topics", "programming")).select("doc_id")
 
 
-_DOMAIN = "WITH s AS (SELECT doc_id, [" + ", ".join("(" + " + ".join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in ws.split(",")) + ")" for ws in V.DOMAIN_KEYWORDS.values()) + "] AS sc FROM documents)\nSELECT doc_id, CASE WHEN list_max(sc) >= 2 THEN ([" + ", ".join(f"'{k}'" for k in V.DOMAIN_KEYWORDS) + "])[list_position(sc, list_max(sc))] ELSE 'personal' END AS domain FROM s"
+_DOMAIN = "WITH s AS (SELECT doc_id, [" + ", ".join("(" + " + ".join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in ws) + ")" for ws in V.DOMAIN_KEYWORDS.values()) + "] AS sc FROM documents)\nSELECT doc_id, CASE WHEN list_max(sc) >= 2 THEN ([" + ", ".join(f"'{k}'" for k in V.DOMAIN_KEYWORDS) + "])[list_position(sc, list_max(sc))] ELSE 'personal' END AS domain FROM s"
 
 
 @query(_DOMAIN)

@@ -1,8 +1,8 @@
 """Session-level plumbing: shared folders, lineage cuts and code shipping.
 
-Nothing here reads data. Folders are always taken from ``spark.checkpoint.dir``
-(visible to the driver and to every executor); a private temporary folder is
-used only where that setting is missing, which is the case in local tests.
+Folders are always taken from ``spark.checkpoint.dir`` (visible to the driver and
+to every executor); a private temporary folder is used only where that setting is
+missing on a local master, as in tests. On a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _lock = threading.Lock()
 _shipped: set[str] = set()
@@ -26,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     with _lock:
         if app not in _fallback:
@@ -51,6 +54,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parquet_scan(df: DataFrame) -> bool:
+    """Whether ``df`` is nothing but a scan of Parquet files, each named once, so files and rows in them name its rows."""
+    plan = df._jdf.queryExecution().analyzed()
+    return plan.getClass().getSimpleName() == "LogicalRelation" and "parquet" in plan.relation().toString().lower() and len(set(files := df.inputFiles())) == len(files)
+
+
+def files_state(df: DataFrame) -> int:
+    """A number that changes with the names, sizes or times of the files of a scan; no column is read."""
+    meta = df.metadataColumn("_metadata")
+    files = df.select(meta["file_path"].alias("p"), meta["file_size"].alias("s"), meta["file_modification_time"].alias("t")).distinct()
+    return files.agg(F.coalesce(F.sum(F.xxhash64("p", "s", "t").cast("decimal(38,0)")), F.lit(0))).first()[0].__hash__()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -76,7 +92,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound what one Arrow batch to a Python worker can hold, by rows and by bytes."""
+    """Bound what one Arrow batch to a Python worker can hold, by rows and by bytes.
+
+    Spark has these bounds for whole sessions only, so they stay in force for
+    whatever the session runs next, until it sets others.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     try:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -30,25 +30,25 @@ def index_stream(stream: DataFrame, out: str, checkpoint: str, enrich: Callable[
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+        spark, path = batch.sparkSession, f"{out}/documents"
         rows = batch.withColumn("content_hash", content_hash(F.col("text")))
-        first = rows.where("text is not null").dropDuplicates(["content_hash"])
-        path = f"{out}/documents"
+        # Of equal texts the one with the smallest id is added, so a repeated batch gives the same rows.
+        place = F.row_number().over(Window.partitionBy("content_hash").orderBy(F.asc_nulls_last("doc_id"), F.xxhash64(*batch.columns)))
+        ranked = rows.where("text is not null").withColumn("_place", place)
         try:
-            known = spark.read.option("basePath", path).parquet(path).where(F.col("batch") < number).select("content_hash")
-            fresh = first.join(known, "content_hash", "left_anti")
+            known = spark.read.option("basePath", path).parquet(path).where(F.col("batch") < number).select("content_hash").withColumn("_known", F.lit(True))
+            ranked = ranked.join(known, "content_hash", "left")
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
-            fresh = first
-        fresh = (enrich or (lambda d: d))(fresh).persist()
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        added = fresh.select("doc_id", F.lit(True).alias("added"))
-        status = F.when(F.col("text").isNull(), "failed").otherwise("completed")
-        error = F.when(F.col("text").isNull(), "no text").when(F.col("added").isNull(), "duplicate content")
-        jobs = rows.join(added, "doc_id", "left").select("doc_id", status.alias("status"), error.alias("error"))
-        jobs.write.mode("overwrite").parquet(f"{out}/jobs/batch={number}")
-        fresh.unpersist()
+            ranked = ranked.withColumn("_known", F.lit(None).cast("boolean"))
+        ranked = ranked.withColumn("_added", (F.col("_place") == 1) & F.col("_known").isNull()).persist()
+        fresh = ranked.where("_added").select(*rows.columns)
+        (enrich or (lambda d: d))(fresh).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        jobs = ranked.select("doc_id", F.lit("completed").alias("status"), F.when(~F.col("_added"), "duplicate content").alias("error"))
+        empty = rows.where("text is null").select("doc_id", F.lit("failed").alias("status"), F.lit("no text").alias("error"))
+        jobs.unionByName(empty).write.mode("overwrite").parquet(f"{out}/jobs/batch={number}")
+        ranked.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
