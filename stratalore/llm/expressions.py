@@ -1,42 +1,5 @@
-"""Building blocks for long native expressions over arrays."""
+"""Building blocks for long native expressions, as the operators here use them."""
 
-from __future__ import annotations
+from stratalore.functions.expressions import SPACE, let, prefix_sums, words
 
-from collections.abc import Callable
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-#: White space that parts words, as a regular-expression class.
-SPACE = "\\x20\\x09-\\x0D"
-_SPACES = " \t\n\x0b\x0c\r"
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
-def words(text: Column) -> Column:
-    """The words of a text; an empty array if there are none or the text is null."""
-    return let(F.btrim(F.coalesce(text, F.lit("")), F.lit(_SPACES)), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, f"[{SPACE}]+")))
-
-
-def prefix_sums(numbers: Column, block: int = 256) -> Column:
-    """Running totals of an array of longs, in blocks so that long arrays stay cheap."""
-    zero = F.array(F.lit(0).cast("long"))
-
-    def run(xs: Column) -> Column:
-        """0 and the running totals of a short array."""
-        return F.aggregate(xs, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-
-    def offset(parts: Column) -> Column:
-        starts = run(F.transform(parts, lambda p: F.element_at(p, -1)))
-        return let(starts, lambda s: F.flatten(F.transform(parts, lambda p, i: F.transform(F.slice(p, 2, F.size(p) - 1), lambda x: x + F.get(s, i)))))
-
-    return let(numbers, lambda xs: F.when(F.size(xs) == 0, F.array().cast("array<bigint>")).otherwise(let(_blocks(xs, run, block), offset)))
-
-
-def _blocks(xs: Column, run: Callable[[Column], Column], block: int) -> Column:
-    last = F.floor((F.size(xs) - 1) / block).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda b: run(F.slice(xs, b * block + 1, F.lit(block))))
+__all__ = ["SPACE", "let", "prefix_sums", "words"]
