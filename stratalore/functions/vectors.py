@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratalore.functions.expressions import let
+
 #: Ranges and norms below this count as zero.
 TINY = 1e-9
 
@@ -23,8 +25,7 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """The vector at length 1; a vector of nearly no length stays as it is."""
-    n = norm(v)
-    return F.when(n > TINY, F.transform(doubles(v), lambda x: x / n)).otherwise(doubles(v))
+    return let(doubles(v), lambda d: let(norm(d), lambda n: F.when(n > TINY, F.transform(d, lambda x: x / n)).otherwise(d)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -33,12 +34,16 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def quantize(v: Column) -> Column:
-    """Struct of codes (0-255), scale and offset; a constant vector has zeros and scale 0."""
-    d = doubles(v)
-    low, high = F.array_min(d), F.array_max(d)
-    scale = (high - low) / 255
-    codes = F.transform(d, lambda x: F.when(high - low < TINY, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(255), F.floor((x - low) / scale + 0.5)))).cast("smallint"))
-    return F.struct(codes.alias("codes"), F.when(high - low < TINY, 0.0).otherwise(scale).alias("scale"), low.alias("offset"))
+    """Struct of codes (0-255), scale and offset; a constant vector has zeros and scale 0, no vector has none."""
+
+    def coded(d: Column, low: Column, high: Column) -> Column:
+        scale = (high - low) / 255
+        codes = F.transform(d, lambda x: F.when(high - low < TINY, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(255), F.floor((x - low) / scale + 0.5)))).cast("smallint"))
+        return F.struct(codes.alias("codes"), F.when(high - low < TINY, 0.0).otherwise(scale).alias("scale"), low.alias("offset"))
+
+    # The vector and its ends are bound once, or each code would compute them again.
+    ends = lambda d: F.struct(F.array_min(d).alias("low"), F.array_max(d).alias("high"))
+    return let(doubles(v), lambda d: let(ends(d), lambda e: coded(d, e["low"], e["high"])))
 
 
 def dequantize(codes: Column, scale: Column, offset: Column) -> Column:
@@ -50,3 +55,9 @@ def mean_pool(token_vectors: Column, mask: Column) -> Column:
     kept = F.transform(F.filter(F.arrays_zip(token_vectors.alias("v"), mask.alias("m")), lambda x: x["m"] == 1), lambda x: doubles(x["v"]))
     total = F.aggregate(F.slice(kept, 2, F.greatest(F.size(kept), F.lit(1))), F.get(kept, F.lit(0)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
     return F.when(F.size(kept) > 0, F.transform(total, lambda x: x / F.size(kept)))
+
+
+def mean_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, i, mean): the mean vector of each key, one row for each place; sums form where rows are read."""
+    each = rows.select(key, F.posexplode(doubles(F.col(vector))).alias("i", "x"))
+    return each.groupBy(key, "i").agg(F.avg("x").alias("mean"))

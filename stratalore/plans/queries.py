@@ -324,9 +324,9 @@ def topic_histogram(spark, d):
     return X.classify_topics(docs(spark, d)).select(F.explode("topics").alias("topic")).groupBy("topic").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_TOPICS} SELECT doc_id FROM tc WHERE topic = 'programming' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, topic) <= 3")
+@query(f"WITH {_TOPICS} SELECT doc_id FROM tc WHERE topic = 'education' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, topic) <= 3")
 def docs_by_topic(spark, d):
-    return X.classify_topics(docs(spark, d)).where(F.array_contains("topics", "programming")).select("doc_id")
+    return X.classify_topics(docs(spark, d)).where(F.array_contains("topics", "education")).select("doc_id")
 
 
 _DOMAIN = "WITH s AS (SELECT doc_id, [" + ", ".join("(" + " + ".join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in ws) + ")" for ws in V.DOMAIN_KEYWORDS.values()) + "] AS sc FROM documents)\nSELECT doc_id, CASE WHEN list_max(sc) >= 2 THEN ([" + ", ".join(f"'{k}'" for k in V.DOMAIN_KEYWORDS) + "])[list_position(sc, list_max(sc))] ELSE 'personal' END AS domain FROM s"
@@ -337,18 +337,46 @@ def domain_classify(spark, d):
     return docs(spark, d).select("doc_id", X.domain(F.col("text")).alias("domain"))
 
 
-#: Regular expressions of SQL know ASCII classes only, so its side looks at texts in ASCII; the queries take all documents.
-_ASCII = "(SELECT * FROM documents WHERE strlen(text) = length(text))"
-_any = lambda col, ps: "(" + " OR ".join(f"regexp_matches({col}, '{p.replace(chr(39), chr(39) * 2)}')" for p in ps) + ")"
+# Regular expressions of DuckDB have ASCII classes and ASCII word boundaries. Classes are spelled out below; where a
+# pattern has a word boundary, letters and marks beyond ASCII are replaced by an ASCII word character that it can't match.
+_SPACES = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_CLASSES = {"s": _SPACES, "d": r"\p{Nd}", "w": r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}"}
 
 
-@query(f"""SELECT doc_id, CASE WHEN {_any('lower(text)', V.EMAIL_PATTERNS)} THEN 'email' WHEN {_any('lower(text)', V.LIST_PATTERNS)} OR contains(lower(text), 'todo') OR contains(lower(text), 'checklist') THEN 'list'
-WHEN {_any('lower(text)', V.MEETING_PATTERNS)} THEN 'meeting' WHEN {_any('text', V.CODE_PATTERNS)} THEN 'code' WHEN {_any('lower(text)', V.CONVERSATION_PATTERNS)} THEN 'conversation' ELSE 'note' END AS content_type FROM {_ASCII}""")
+def _unicode(pattern: str) -> str:
+    """A pattern with its Unicode classes spelled out, quoted for SQL."""
+    out, inside, i = "", False, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            k = pattern[i + 1]
+            name = _CLASSES.get(k.lower()) if k in "sdwS" else None
+            out += (name if inside else f"[{'^' * (k == 'S')}{name}]") if name else c + k
+            i += 2
+            continue
+        inside = c == "[" or (inside and c != "]")
+        out += c
+        i += 1
+    return out.replace("'", "''")
+
+
+def _bounded(col: str, mark: str = "_") -> str:
+    """SQL that puts an ASCII word character in place of each letter or mark beyond ASCII."""
+    return rf"regexp_replace({col}, '[^\x00-\x7F\P{{L}}]|[^\x00-\x7F\P{{M}}]', '{mark}', 'g')"
+
+
+_ALL = "(SELECT doc_id, text AS raw, coalesce(text, '') AS text FROM documents)"
+_any = lambda col, ps: "(" + " OR ".join(f"regexp_matches({col}, '{_unicode(p)}')" for p in ps) + ")"
+
+
+@query(f"""WITH x AS (SELECT doc_id, lower({_bounded('text')}) AS low, {_bounded('text')} AS text FROM {_ALL})
+SELECT doc_id, CASE WHEN {_any('low', V.EMAIL_PATTERNS)} THEN 'email' WHEN {_any('low', V.LIST_PATTERNS)} OR contains(low, 'todo') OR contains(low, 'checklist') THEN 'list'
+WHEN {_any('low', V.MEETING_PATTERNS)} THEN 'meeting' WHEN {_any('text', V.CODE_PATTERNS)} THEN 'code' WHEN {_any('low', V.CONVERSATION_PATTERNS)} THEN 'conversation' ELSE 'note' END AS content_type FROM x""")
 def content_type(spark, d):
     return docs(spark, d).select("doc_id", X.content_type(F.col("text"), F.col("source")).alias("content_type"))
 
 
-_SENT = f"""sent AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])([ \\t\\n\\r\\f])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') AS s FROM {_ASCII})"""
+_SENT = f"""sent AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])([ \\t\\n\\r\\f])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: regexp_replace(x, '^[{_SPACES}]+|[{_SPACES}]+$', '', 'g')), lambda x: x <> '') AS s FROM {_ALL})"""
 
 
 @query(f"WITH {_SENT} SELECT doc_id, CAST(len(s) AS BIGINT) AS n, sha256(array_to_string(s, '|')) AS digest FROM sent")
@@ -361,8 +389,8 @@ _KEY = f"""WITH {_SENT}, l AS (SELECT doc_id, list_filter(s, lambda x: strlen(x)
 e AS (SELECT doc_id, len(s) AS total, unnest(s) AS sentence, unnest(range(len(s))) AS i FROM l WHERE len(s) > 0),
 sc AS (SELECT *, greatest(3 - i, 0) + CASE WHEN total > 5 AND i >= total - 2 THEN 2 ELSE 0 END + CASE WHEN strlen(sentence) > 50 AND strlen(sentence) < 200 THEN 2 WHEN strlen(sentence) >= 200 THEN 1 ELSE 0 END
  + 2 * ({" + ".join(f"CAST(contains(lower(sentence), '{w}') AS INT)" for w in V.KEY_SENTENCE_WORDS)})
- + least(3, len(list_filter(list_slice(string_split_regex(sentence, '\\s+'), 2, 100000), lambda w: regexp_matches(w, '^[A-Z]') AND NOT regexp_matches(w, '^[A-Z]+$'))))
- + CAST(regexp_matches(sentence, '{V.KEY_CAMEL}') AS INT) + CAST(regexp_matches(sentence, '{V.KEY_SNAKE}') AS INT) AS score,
+ + least(3, len(list_filter((string_split_regex(sentence, '[{_SPACES}]+'))[2:], lambda w: regexp_matches(w, '^\\p{{Lu}}') AND NOT regexp_matches(w, '^\\p{{Lu}}+$'))))
+ + CAST(regexp_matches({_bounded('sentence', '0')}, '{V.KEY_CAMEL}') AS INT) + CAST(regexp_matches({_bounded('sentence', '0')}, '{V.KEY_SNAKE}') AS INT) AS score,
  CASE WHEN i < total // 3 THEN 0 WHEN i < 2 * (total // 3) THEN 1 ELSE 2 END AS part FROM e),
 o AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id, sentence ORDER BY score DESC, i) = 1 OR total <= 10),
 p AS (SELECT *, CASE WHEN total > 10 AND row_number() OVER (PARTITION BY doc_id, part ORDER BY score DESC, i) = 1 THEN part ELSE 3 END AS place FROM o),
@@ -377,9 +405,9 @@ def key_sentences(spark, d):
 
 
 def _extract_sql(patterns: list[str]) -> str:
-    lists = ", ".join(f"regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}')" for p in patterns)
+    lists = ", ".join(f"regexp_extract_all(text, '{_unicode(p)}')" for p in patterns)
     flat = f"flatten([{lists}])"
-    return f"SELECT doc_id, array_to_string(list_slice(list_filter({flat}, lambda x, i: list_position({flat}, x) = i), 1, 5), '|') AS found FROM {_ASCII}"
+    return f"SELECT doc_id, array_to_string(list_slice(list_filter({flat}, lambda x, i: list_position({flat}, x) = i), 1, 5), '|') AS found FROM (SELECT doc_id, {_bounded('text')} AS text FROM {_ALL})"
 
 
 def _extracted(spark, d, patterns: list[str]) -> DataFrame:
@@ -423,7 +451,7 @@ def excerpts(spark, d):
 
 # Privacy and consent
 
-_PII_COUNT = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS type, len(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}')) AS n FROM {_ASCII}" for k, p in V.PII_PATTERNS.items())
+_PII_COUNT = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS type, len(regexp_extract_all({_bounded('text') if r'\b' in p else 'text'}, '{_unicode(p)}')) AS n FROM {_ALL}" for k, p in V.PII_PATTERNS.items())
 
 
 @query(f"SELECT doc_id, type, CAST(n AS BIGINT) AS n FROM ({_PII_COUNT}) WHERE n > 0")
@@ -443,11 +471,11 @@ def pii_counts(spark, d):
     return privacy.counts_by_type(docs(spark, d))
 
 
-@query("SELECT doc_id, true AS restored FROM documents")
+@query("SELECT doc_id, sha256(text) AS restored FROM documents")
 def pii_round_trip(spark, d):
+    """Digests of texts that were masked and restored from masks and tokens alone."""
     masked = privacy.anonymize(docs(spark, d))
-    back = masked.join(docs(spark, d), "doc_id")
-    return back.select("doc_id", (privacy.deanonymize(F.col("masked"), F.col("tokens")) == F.col("text")).alias("restored"))
+    return masked.select("doc_id", F.sha2(privacy.deanonymize(F.col("masked"), F.col("tokens")), 256).alias("restored"))
 
 
 @query("SELECT doc_id FROM documents d WHERE CASE doc_id % 3 WHEN 0 THEN 'technical' WHEN 1 THEN 'health' ELSE 'general' END IN ('professional', 'technical', 'general')")
@@ -474,10 +502,9 @@ def conversation_page(spark, d):
     return t(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "conv_id").limit(20)
 
 
-@query("SELECT event_id, user_id FROM events")
+@query("SELECT DISTINCT user_id, event_type FROM events")
 def capture_dedup(spark, d):
-    e = t(spark, d, "events")
-    return e.union(e).dropDuplicates(["event_id"]).select("event_id", "user_id")
+    return t(spark, d, "events").dropDuplicates(["user_id", "event_type"]).select("user_id", "event_type")
 
 
 @query("""SELECT event_id, CAST(sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS session FROM
@@ -512,7 +539,10 @@ def latest_status(spark, d):
     return connectors.latest(t(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id").select("user_id", "event_id")
 
 
-@query("SELECT page_id, CASE WHEN ends_with(url, '.html') THEN 'code' ELSE 'unknown' END AS kind FROM pages WHERE NOT regexp_matches(url, '\\.[a-z]+$') OR ends_with(url, '.html')")
+_KINDS = " ".join(f"WHEN lower(regexp_extract(url, '\\.([^./\\\\]+)$', 1)) IN ({', '.join(repr(e) for e in es)}) THEN '{k}'" for k, es in V.FILE_KINDS.items())
+
+
+@query(f"SELECT page_id, CASE {_KINDS} ELSE 'unknown' END AS kind FROM pages")
 def file_kinds(spark, d):
     return t(spark, d, "pages").select("page_id", X.file_kind(F.col("url")).alias("kind"))
 
@@ -528,11 +558,18 @@ def capture_stats(spark, d):
     return connectors.capture_stats(t(spark, d, "conversations"))
 
 
-@query("SELECT label, round(sum(x) / count(*), 6) AS mean FROM (SELECT label, embedding[1] AS x FROM embeddings) GROUP BY 1".replace("embedding[1]", "CAST(embedding[1] AS DOUBLE)"))
+@query("SELECT label, i, round(avg(CAST(x AS DOUBLE)), 6) AS mean FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY 1, 2")
 def mean_pool(spark, d):
-    e = t(spark, d, "embeddings").groupBy("label").agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("all"))
-    vectors = F.transform("all", lambda s: s["embedding"])
-    return e.select("label", F.round(F.get(VEC.mean_pool(vectors, F.transform("all", lambda s: F.lit(1))), F.lit(0)), 6).alias("mean"))
+    return VEC.mean_vectors(t(spark, d, "embeddings"), "label", "embedding").select("label", F.col("i").cast("long").alias("i"), F.round("mean", 6).alias("mean"))
+
+
+@query("SELECT vec_id, round((CAST(embedding[1] AS DOUBLE) + CAST(embedding[3] AS DOUBLE)) / 2, 6) AS first, round((CAST(embedding[2] AS DOUBLE) + CAST(embedding[4] AS DOUBLE)) / 2, 6) AS second FROM embeddings")
+def masked_mean_pool(spark, d):
+    """The first and third of three tokens of two dimensions count, the second one is masked."""
+    e = F.col("embedding")
+    tokens = F.array(F.slice(e, 1, 2), F.slice(e, 5, 2), F.slice(e, 3, 2))
+    pooled = VEC.mean_pool(tokens, F.array(F.lit(1), F.lit(0), F.lit(1)))
+    return t(spark, d, "embeddings").select("vec_id", F.round(F.get(pooled, 0), 6).alias("first"), F.round(F.get(pooled, 1), 6).alias("second"))
 
 
 @query("SELECT count(DISTINCT doc_id) + count(DISTINCT source) AS node_count, count(*) AS edge_count FROM documents")
@@ -562,9 +599,11 @@ def orders_by_nation(spark, d):
     return o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def customers_without_orders(spark, d):
-    return t(spark, d, "customer").join(t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders))")
+def customers_without_large_orders(spark, d):
+    o = t(spark, d, "orders")
+    large = o.join(F.broadcast(o.agg((F.avg("o_totalprice") * 1.5).alias("_least"))), F.col("o_totalprice") > F.col("_least"))  # a table of one row
+    return t(spark, d, "customer").join(large.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
 @query("SELECT o_orderkey, l_linenumber FROM orders JOIN lineitem ON l_orderkey = o_orderkey QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY l_extendedprice DESC, l_linenumber) = 1")

@@ -53,20 +53,25 @@ def index_stream(stream: DataFrame, out: str, checkpoint: str, enrich: Callable[
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _timed(stream: DataFrame, at: str) -> DataFrame:
+    """Watermarks need times with a zone; others count as in the session's."""
+    return stream.withColumn(at, F.col(at).cast("timestamp"))
+
+
 def new_messages(stream: DataFrame, at: str = "ts", late: str = "1 day", keys: tuple[str, ...] = ("conv_id", "id")) -> DataFrame:
     """Each message once, by conversation and id; state is dropped after ``late``."""
-    return stream.withWatermark(at, late).dropDuplicatesWithinWatermark(list(keys))
+    return _timed(stream, at).withWatermark(at, late).dropDuplicatesWithinWatermark(list(keys))
 
 
 def event_windows(events: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Counts and sums by event type in tumbling or sliding windows; works on streams and tables."""
-    ready = events.withWatermark("ts", late) if events.isStreaming else events
+    ready = _timed(events, "ts").withWatermark("ts", late) if events.isStreaming else events
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
     return ready.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n", "total")
 
 
 def session_windows(events: DataFrame, gap: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    ready = events.withWatermark("ts", late) if events.isStreaming else events
+    ready = _timed(events, "ts").withWatermark("ts", late) if events.isStreaming else events
     return ready.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
@@ -74,10 +79,11 @@ CAPTURE = "conv_id long, title string, new_messages long, total_messages long"
 CAPTURE_STATE = "title string, ids array<string>"
 
 
-def merge_captures(stream: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
+def merge_captures(stream: DataFrame, ttl_ms: int | None = 3_600_000) -> DataFrame:
     """Running state of captured conversations (conv_id, id, title): new messages in each batch, last title given.
 
-    A conversation that is quiet for ``ttl_ms`` is forgotten.
+    A conversation that is quiet for ``ttl_ms`` is forgotten; None keeps all. A pending
+    timeout keeps a query running, so an available-now trigger ends only with None.
     """
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -93,7 +99,9 @@ def merge_captures(stream: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
                     new += 1
                 title = name if isinstance(name, str) else title
         state.update((title, sorted(seen)))
-        state.setTimeoutDuration(ttl_ms)
+        if ttl_ms is not None:
+            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame({"conv_id": [key[0]], "title": [title], "new_messages": [new], "total_messages": [len(seen)]})
 
-    return stream.groupBy("conv_id").applyInPandasWithState(update, CAPTURE, CAPTURE_STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return stream.groupBy("conv_id").applyInPandasWithState(update, CAPTURE, CAPTURE_STATE, "update", timeout)

@@ -6,10 +6,10 @@ import pandas as pd
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def connect(folder):
+def connect(folder, tables=TABLES):
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
-    for name in TABLES:
+    for name in tables:
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
     return con
 
