@@ -24,15 +24,24 @@ def words(text: Column) -> Column:
 
 def prefix_sums(numbers: Column, block: int = 256) -> Column:
     """Running totals of an array of longs, in blocks so that long arrays stay cheap."""
-    zero = F.array(F.lit(0).cast("long"))
+    return _running(numbers, lambda a, b: a + b, 0, block)
+
+
+def prefix_maxima(numbers: Column, least: int, block: int = 256) -> Column:
+    """Running maxima of an array of longs of at least ``least``, in blocks."""
+    return _running(numbers, F.greatest, least, block)
+
+
+def _running(numbers: Column, combine: Callable[[Column, Column], Column], first: int, block: int) -> Column:
+    zero = F.array(F.lit(first).cast("long"))
 
     def run(xs: Column) -> Column:
-        """0 and the running totals of a short array."""
-        return F.aggregate(xs, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+        """The first value and the running ones of a short array."""
+        return F.aggregate(xs, zero, lambda acc, x: F.concat(acc, F.array(combine(F.element_at(acc, -1), x))))
 
     def offset(parts: Column) -> Column:
         starts = run(F.transform(parts, lambda p: F.element_at(p, -1)))
-        return let(starts, lambda s: F.flatten(F.transform(parts, lambda p, i: F.transform(F.slice(p, 2, F.size(p) - 1), lambda x: x + F.get(s, i)))))
+        return let(starts, lambda s: F.flatten(F.transform(parts, lambda p, i: F.transform(F.slice(p, 2, F.size(p) - 1), lambda x: combine(x, F.get(s, i))))))
 
     return let(numbers, lambda xs: F.when(F.size(xs) == 0, F.array().cast("array<bigint>")).otherwise(let(_blocks(xs, run, block), offset)))
 
