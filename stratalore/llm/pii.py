@@ -2,8 +2,10 @@
 
 Native expressions only. The base kinds (email, ip, card, phone) keep every match
 that passes its check. Further kinds (IBAN with mod-97, social security numbers,
-national phone numbers) need a score of ``THRESHOLD`` or more, which words before
-the match raise or lower, and must not overlap a base span. Patterns are written
+national phone numbers, access keys, private keys, assigned passwords) need a score
+of ``THRESHOLD`` or more, which words before the match raise or lower, and must not
+overlap a base span. An IBAN may be followed by more words in capitals: the longest
+run of groups that passes its check counts. Patterns are written
 with possessive quantifiers and look-behinds, so a match is found in time linear in
 the text; offsets are code points, the end exclusive.
 
@@ -18,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalore.llm.expressions import let, prefix_sums
+from stratalore.llm.expressions import let, prefix_maxima, prefix_sums
 
 THRESHOLD = 0.5
 #: Code points before a match in which context words count.
@@ -47,7 +49,12 @@ KINDS = [
     Kind("iban", "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", "", 0.7, "(iban|account|bank|konto|cuenta|compte)"),
     Kind("ssn", "(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", "-", 0.5, "(ssn|social)", "(part|order|isbn|serial|ref)"),
     Kind("us_phone", "(?<![0-9+.-])(?:\\([2-9][0-9]{2}\\)\\x20?|[2-9][0-9]{2}[.\\x20-])[2-9][0-9]{2}[.\\x20-][0-9]{4}(?![0-9-])", "", 0.3, "(tel|phone|call|fax|mobile|cell)"),
+    Kind("access_key", "(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[opsur]_[A-Za-z0-9]{36,255}|xox[abprs]-[A-Za-z0-9-]{10,250}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,250})(?![A-Za-z0-9])", "", 0.8, "(key|token|secret|access)", "(example|sample|dummy)"),
+    Kind("private_key", "-----BEGIN\\x20(?:[A-Z]{2,10}\\x20)?PRIVATE\\x20KEY-----", "PRIVATE", 0.9, "(key|secret)"),
+    Kind("password", "(?<![A-Za-z0-9])(?i:password|passwd|passwort|secret|api[_-]?key|access[_-]?token)\\x20?[=:]\\x20?(?=[^\\x20\\x09-\\x0D]{0,63}[0-9])[A-Za-z0-9_+/.~@!$-]{8,200}", "", 0.6, "(login|user|account)", "(example|sample|dummy)"),
 ]
+#: Kinds that a text without digits can have.
+_WITHOUT_DIGITS = {"email", "private_key", "access_key"}
 _SPAN = "array<struct<start:bigint,kind_no:int,end:bigint,kind:string,score:double>>"
 
 
@@ -81,11 +88,16 @@ def _confirmed(kind: str, match: Column) -> Column:
         return n.between(14, 19) & luhn(_digits(match))
     if kind == "phone":
         return n.between(10, 15)
-    if kind == "iban":
-        return let(F.replace(match, F.lit(" "), F.lit("")), lambda m: F.char_length(m).between(15, 34) & mod97(m))
     return F.lit(True)
 
 
+def _iban(match: Column) -> Column:
+    """The longest run of groups from the first on that is an IBAN; null if none is."""
+    valid = lambda m: let(F.replace(m, F.lit(" "), F.lit("")), lambda x: F.char_length(x).between(15, 34) & mod97(x))
+    runs = lambda g: F.transform(F.sequence(F.lit(1), F.size(g)), lambda k: F.array_join(F.slice(g, F.lit(1), k), " "))
+    return let(let(F.split(match, " "), lambda g: F.filter(runs(g), valid)), lambda ok: F.get(ok, F.size(ok) - 1))
+
+
 def _spans(text: Column, number: int, kind: Kind) -> Column:
     """Confirmed spans of one kind with their scores."""
 
@@ -97,10 +109,11 @@ def _spans(text: Column, number: int, kind: Kind) -> Column:
             def one(m: Column, i: Column) -> Column:
                 before = F.lower(F.right(F.get(gaps, i), F.lit(CONTEXT)))
                 score = F.lit(kind.score) + F.when(before.rlike(kind.raising), 0.3).otherwise(0.0) - F.when(before.rlike(kind.lowering), 0.3).otherwise(0.0)
-                end = F.get(ends, i)
-                return F.struct((end - F.char_length(m)).alias("start"), F.lit(number).alias("kind_no"), end.alias("end"), F.lit(kind.name).alias("kind"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"), m.alias("m"))
+                start = F.get(ends, i) - F.char_length(m)
+                end = start + F.char_length(_iban(m)) if kind.name == "iban" else F.get(ends, i)
+                return F.struct(start.alias("start"), F.lit(number).alias("kind_no"), end.alias("end"), F.lit(kind.name).alias("kind"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"), m.alias("m"))
 
-            good = lambda s: _confirmed(kind.name, s["m"]) & (F.lit(kind.base) | (s["score"] >= THRESHOLD))
+            good = lambda s: s["end"].isNotNull() & _confirmed(kind.name, s["m"]) & (F.lit(kind.base) | (s["score"] >= THRESHOLD))
             return F.transform(F.filter(F.transform(matches, one), good), lambda s: F.struct(s["start"], s["kind_no"], s["end"], s["kind"], s["score"]))
 
         return let(prefix_sums(steps), build)
@@ -109,9 +122,15 @@ def _spans(text: Column, number: int, kind: Kind) -> Column:
     return F.when(text.contains(kind.contains) & text.rlike(kind.pattern), found).otherwise(F.array()).cast(_SPAN)
 
 
-def _apart(extra: Column, base: Column) -> Column:
-    """Further spans that overlap no base span."""
-    return F.filter(extra, lambda e: ~F.exists(base, lambda b: (e["start"] < b["end"]) & (b["start"] < e["end"])))
+def _apart(spans: Column) -> Column:
+    """Sorted spans without the further ones that overlap a base span, by one sweep from either side."""
+    base = lambda s: s["kind_no"] < sum(k.base for k in KINDS)
+    far = -(1 << 62)
+    # Over the spans up to each place: the last end of a base span, and from the right its first start (negated).
+    ends = prefix_maxima(F.transform(spans, lambda s: F.when(base(s), s["end"]).otherwise(F.lit(far))), far)
+    starts = prefix_maxima(F.transform(F.reverse(spans), lambda s: F.when(base(s), -s["start"]).otherwise(F.lit(far))), far)
+    clear = lambda s, i, e, b: (F.get(e, i) <= s["start"]) & (F.get(b, F.size(b) - 1 - i) <= -s["end"])
+    return let(ends, lambda e: let(starts, lambda b: F.filter(spans, lambda s, i: base(s) | clear(s, i, e, b))))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,12 +138,12 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     text = F.col("text")
     number = {k.name: i for i, k in enumerate(KINDS)}
-    only_digits = [k for k in KINDS if k.name != "email"]
+    only_digits = [k for k in KINDS if k.name not in _WITHOUT_DIGITS]
     with_digit = F.when(text.rlike("[0-9]"), F.struct(*[_spans(text, number[k.name], k).alias(k.name) for k in only_digits]))
-    parts = base.select("doc_id", _spans(text, 0, KINDS[0]).alias("email"), with_digit.alias("d"))
-    got = lambda k: F.col("email") if k.name == "email" else F.coalesce(F.col(f"d.{k.name}"), F.array().cast(_SPAN))
+    parts = base.select("doc_id", *[_spans(text, number[k.name], k).alias(k.name) for k in KINDS if k.name in _WITHOUT_DIGITS], with_digit.alias("d"))
+    got = lambda k: F.col(k.name) if k.name in _WITHOUT_DIGITS else F.coalesce(F.col(f"d.{k.name}"), F.array().cast(_SPAN))
     based = parts.select("doc_id", F.sort_array(F.concat(*[got(k) for k in KINDS if k.base])).alias("base"), F.concat(*[got(k) for k in KINDS if not k.base]).alias("extra"))
-    return based.select("doc_id", "base", F.when(F.size("extra") == 0, F.col("base")).otherwise(F.sort_array(F.concat("base", _apart(F.col("extra"), F.col("base"))))).alias("spans"))
+    return based.select("doc_id", "base", F.when(F.size("extra") == 0, F.col("base")).otherwise(let(F.sort_array(F.concat("base", "extra")), _apart)).alias("spans"))
 
 
 def spans_text(spans: Column) -> Column:
@@ -132,5 +151,6 @@ def spans_text(spans: Column) -> Column:
 
 
 def pii_report(docs: DataFrame, **options) -> DataFrame:
+    """Counts, digest and spans of every row; ``n_spans`` counts all kinds, ``scores`` are those of ``spans``."""
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return find_pii(docs, **options).select("doc_id", *[count(k.name) for k in KINDS if k.base], F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+    return find_pii(docs, **options).select("doc_id", *[count(k.name) for k in KINDS if k.base], F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), F.transform("spans", lambda s: F.round(s["score"], 2)).alias("scores"))
