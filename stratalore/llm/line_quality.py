@@ -1,11 +1,13 @@
 """Line-first cleaning with document rules, in native expressions only.
 
 Lines are judged one by one: a line fails if it is navigation (cells parted by
-bars), markup noise (about one mark of ``#*$%&|<>`` for every third word),
-shouting (exclamation marks on most words), boilerplate (fixed phrases), or a
-fragment (too few words and no closing punctuation). Failing lines are removed;
-a document is rejected if too large a share of its words goes with them, or if it
-fails the base rules (too few words, too many words in repeated 8-word windows).
+bars, or a menu of a few capitalised words), markup noise (about one mark of
+``#*$%&|<>`` for every third word), shouting (exclamation marks on most words),
+boilerplate (fixed phrases), a teaser (short and ending in an ellipsis), or a
+fragment (too few words, or a bullet with few, and no closing punctuation), or if
+it repeats an earlier line of the text. Failing lines are removed; a document is
+rejected if too large a share of its words goes with them, or if it fails the base
+rules (too few words, too many words in repeated 8-word windows).
 
 Windows are compared by chained 64-bit hashes of their words.
 
@@ -26,10 +28,22 @@ MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 MAX_LOST_PERCENT = 50
 SYMBOLS = "[#*$%&|<>]"
 #: Fixed phrases of page furniture, lower case.
-BOILERPLATE = "(all rights reserved|terms of (use|service)|privacy policy|cookie policy|accept( all)? cookies|enable javascript|lorem ipsum|sign up for our newsletter|click here to|skip to (main )?content)"
+PHRASES = [
+    "all rights reserved", "terms of (use|service)", "privacy policy", "cookie policy", "accept( all)? cookies", "enable javascript", "lorem ipsum", "sign up for our newsletter", "click here to", "skip to (main )?content",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "cookies akzeptieren", "newsletter abonnieren", "zum inhalt springen",
+    "tous droits réservés", "mentions légales", "politique de confidentialité", "accepter les cookies", "aller au contenu",
+    "todos los derechos reservados", "aviso legal", "política de privacidad", "aceptar (las )?cookies", "saltar al contenido",
+]
+BOILERPLATE = f"({'|'.join(PHRASES)})"
 CLOSING = "[.!?\\u2026\"'\\u201d\\u00bb):;][\\x20\\x09-\\x0D#*$%&|<>]*\\z"
 #: A line with fewer words and no closing punctuation is a fragment.
 FRAGMENT_WORDS = 3
+#: A bullet with fewer words and no closing punctuation is a fragment; a line with fewer that ends in an ellipsis is a teaser.
+BULLET_WORDS, TEASER_WORDS = 4, 10
+BULLET = f"^[{SPACE}]*[-*\u2022\u00b7\u25aa\u2023][{SPACE}]"
+TEASER = f"(\\.\\.\\.|\u2026)[{SPACE}]*\\z"
+#: Two to six words, all with a capital first letter, and nothing else.
+MENU = f"^[{SPACE}]*\\p{{Lu}}[^{SPACE}.!?:]*([{SPACE}]+\\p{{Lu}}[^{SPACE}.!?:]*){{1,5}}[{SPACE}]*\\z"
 
 
 def n_repeat_words(tokens: Column, window: int = WINDOW) -> Column:
@@ -61,24 +75,30 @@ def n_repeat_words(tokens: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(tokens) <= window, none).otherwise(found)
 
 
-def line_failures(line: Column) -> dict[str, Column]:
-    """Rules that a line fails, in the order in which they are reported."""
-    n = F.regexp_count(line, F.lit(f"[^{SPACE}]+"))
-    bars = F.regexp_count(line, F.lit("\\|"))
+def line_failures(line: Column, n: Column, bars: Column) -> dict[str, Column]:
+    """Rules that a line of ``n`` words and so many bars fails, in the order in which they are reported."""
+    open_end = ~line.rlike(CLOSING)
     return {
-        "navigation": (bars >= 2) & (bars * 3 >= n),
+        "navigation": ((bars >= 2) & (bars * 3 >= n)) | (n.between(2, 6) & line.rlike(MENU)),
         "symbols": F.regexp_count(line, F.lit(SYMBOLS)) * 3 > n,
         "shouting": (n >= 3) & (F.regexp_count(line, F.lit("!!")) * 2 > n),
         "boilerplate": F.lower(line).rlike(BOILERPLATE),
-        "punctuation": (n < FRAGMENT_WORDS) & ~line.rlike(CLOSING),
+        "teaser": (n < TEASER_WORDS) & line.rlike(TEASER),
+        "punctuation": ((n < FRAGMENT_WORDS) & open_end) | ((n <= BULLET_WORDS) & line.rlike(BULLET) & open_end),
     }
 
 
 def bad_line(line: Column) -> Column:
-    out = F.lit(False)
-    for failed in line_failures(line).values():
-        out = out | failed
-    return out
+    """Whether a line fails any rule; its words and bars are counted once."""
+    counts = F.struct(F.regexp_count(line, F.lit(f"[^{SPACE}]+")).alias("n"), (F.char_length(line) - F.char_length(F.replace(line, F.lit("|"), F.lit("")))).alias("bars"))
+
+    def failed(c: Column) -> Column:
+        out = F.lit(False)
+        for rule in line_failures(line, c["n"], c["bars"]).values():
+            out = out | rule
+        return out
+
+    return let(counts, failed)
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_lost: int = MAX_LOST_PERCENT) -> DataFrame:
@@ -89,7 +109,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max
     of_words = let(words(F.col("text")), lambda w: F.struct(long(F.size(w)).alias("n_words"), long(F.char_length(F.array_join(w, ""))).alias("word_chars"), n_repeat_words(w).alias("n_repeat_words")))
     of_lines = let(
         F.filter(F.split("text", "\n", -1), has_word),
-        lambda ls: F.struct(long(F.size(ls) - F.size(F.array_distinct(ls))).alias("n_dup_lines"), F.array_join(F.filter(ls, lambda x: ~bad_line(x)), "\n").alias("clean_text")),
+        lambda ls: let(F.array_distinct(ls), lambda once: F.struct(long(F.size(ls) - F.size(once)).alias("n_dup_lines"), F.array_join(F.filter(once, lambda x: ~bad_line(x)), "\n").alias("clean_text"))),
     )
     got = base.select("doc_id", long(F.regexp_count("text", F.lit(SYMBOLS))).alias("n_symbols"), of_words.alias("w"), of_lines.alias("l"))
     flat = got.select("doc_id", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.clean_text", long(F.regexp_count("l.clean_text", F.lit(f"[^{SPACE}]+"))).alias("clean_words"))

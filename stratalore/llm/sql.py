@@ -9,6 +9,8 @@ _WORD = "[^\\x20\\x09-\\x0D]+"
 _text = lambda s: s.replace("'", "''")
 _count = lambda x, p: f"len(regexp_extract_all({x}, '{_text(p)}'))"
 
+_CLOSING = _text(lq.CLOSING).replace("u2026", "x{2026}").replace("u201d", "x{201d}").replace("u00bb", "x{00bb}")
+
 QUALITY_RULES = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
 w AS (SELECT doc_id, x, regexp_extract_all(x, '{_WORD}') AS ws FROM d),
@@ -17,12 +19,13 @@ win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws
 rep AS (SELECT doc_id, least(8, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 8)) AS c FROM win WHERE n > 1),
 repeats AS (SELECT doc_id, CAST(sum(c) AS BIGINT) AS n_repeat_words FROM rep GROUP BY 1),
 l AS (SELECT doc_id, unnest(string_split(x, chr(10))) AS line FROM d),
-m AS (SELECT doc_id, line, {_count("line", _WORD)} AS n, {_count("line", "[|]")} AS bars, {_count("line", lq.SYMBOLS)} AS marks, {_count("line", "!!")} AS shouts FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
-j AS (SELECT *, (bars >= 2 AND bars * 3 >= n) OR marks * 3 > n OR (n >= 3 AND shouts * 2 > n) OR regexp_matches(lower(line), '{_text(lq.BOILERPLATE)}')
-   OR (n < {lq.FRAGMENT_WORDS} AND NOT regexp_matches(line, '{_text(lq.CLOSING).replace("u2026", "x{2026}").replace("u201d", "x{201d}").replace("u00bb", "x{00bb}")}')) AS bad FROM m),
-ls AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, coalesce(sum(n) FILTER (NOT bad), 0) AS clean_words FROM j GROUP BY 1),
+m AS (SELECT DISTINCT doc_id, line, {_count("line", _WORD)} AS n, {_count("line", "[|]")} AS bars, {_count("line", lq.SYMBOLS)} AS marks, {_count("line", "!!")} AS shouts FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+j AS (SELECT *, (bars >= 2 AND bars * 3 >= n) OR (n BETWEEN 2 AND 6 AND regexp_matches(line, '{_text(lq.MENU)}')) OR marks * 3 > n OR (n >= 3 AND shouts * 2 > n) OR regexp_matches(lower(line), '{_text(lq.BOILERPLATE)}')
+   OR (n < {lq.TEASER_WORDS} AND regexp_matches(line, '{_text(lq.TEASER)}')) OR (NOT regexp_matches(line, '{_CLOSING}') AND (n < {lq.FRAGMENT_WORDS} OR (n <= {lq.BULLET_WORDS} AND regexp_matches(line, '{_text(lq.BULLET)}')))) AS bad FROM m),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY 1),
+ls AS (SELECT doc_id, coalesce(sum(n) FILTER (NOT bad), 0) AS clean_words FROM j GROUP BY 1),
 f AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST({_count("x", lq.SYMBOLS)} AS BIGINT) AS n_symbols,
-   coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(len(ws) - coalesce(clean_words, 0) AS BIGINT) AS lost_words FROM w LEFT JOIN repeats USING (doc_id) LEFT JOIN ls USING (doc_id)),
+   coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(len(ws) - coalesce(clean_words, 0) AS BIGINT) AS lost_words FROM w LEFT JOIN repeats USING (doc_id) LEFT JOIN ls USING (doc_id) LEFT JOIN dup USING (doc_id)),
 b AS (SELECT *, n_words < {lq.MIN_WORDS} OR 100 * n_repeat_words > {lq.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * lost_words <= {lq.MAX_LOST_PERCENT} * n_words AS kept, lost_words FROM b
 """

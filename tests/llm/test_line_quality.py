@@ -54,11 +54,16 @@ def test_lines_and_verdicts(spark):
         3: ("\n".join(f"one{k} | two{k} | three{k} | four{k}" for k in range(20)), False, None),
         4: ("\n".join(f"GO{k}!! NOW{k}!! AND{k}!! BUY{k}!! IT{k}!!" for k in range(20)), False, None),
     }
+    extra = "\nHome Products About\nread on for the rest ...\n- new item\nTous droits réservés par nous.\n- this one is a whole sentence with its end."
+    cases[5] = (good + extra + "\n" + good.split("\n")[0], False, 33)  # the repeated line fails the base rule
+    cases[7] = (good + extra, True, 17)
+    cases[6] = (good + "\nOne Two. three\nPlain words here", True, 0)
     got = {r.doc_id: r for r in lq.measure(spark.createDataFrame([(k, v[0]) for k, v in cases.items()], "doc_id long, text string")).collect()}
     for k, (_, kept, lost) in cases.items():
         assert got[k].kept == kept, k
         assert lost is None or got[k].lost_words == lost
     assert got[1].clean_text == good
+    assert got[5].clean_text == good + "\n- this one is a whole sentence with its end."
 
 
 def test_clean_documents_stay(spark, sf):
