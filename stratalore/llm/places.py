@@ -45,8 +45,8 @@ class Placed:
         meta = df.metadataColumn("_metadata")
         return cls(df, [F.unhex(F.md5(meta["file_path"])).alias("file"), meta["row_index"].alias("row")])
 
-    def only(self, kept: DataFrame) -> DataFrame:
-        """The rows at the places ``kept`` (file, row), with the columns of ``df``."""
+    def only(self, kept: DataFrame, columns: list[str] | None = None) -> DataFrame:
+        """The rows at the places ``kept`` (file, row), with the columns of ``df`` or those named."""
         spark, path = self.df.sparkSession, fresh_path(self.df.sparkSession, "kept-rows")
         ship(spark)
         bound_batches(spark)
@@ -75,7 +75,8 @@ class Placed:
         dealt = kept.select("file", F.floor(F.col("row") / SPAN).alias("span"), "row").repartition(shuffle_partitions(spark), "file", "span").sortWithinPartitions("file", "span")
         # Written to the end before any list is read.
         materialize(dealt.mapInArrow(write, "file binary, span long"), "kept-lists")
-        columns = self.df.columns
+        columns = columns or self.df.columns
+        schema = self.df.select(*[self.df[c] for c in columns]).schema
 
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict = {}
@@ -98,7 +99,7 @@ class Placed:
                     yield pa.RecordBatch.from_arrays(b.column(2).filter(pa.array(keep)).flatten(), columns)
 
         whole = F.struct(*[self.df[c] for c in columns]).alias("doc")
-        return self.df.select(*self.place, whole).mapInArrow(pick, self.df.schema)
+        return self.df.select(*self.place, whole).mapInArrow(pick, schema)
 
 
 def _bits(name: str) -> np.ndarray:

@@ -7,13 +7,20 @@ without inflating it. Files get their names when the job commits.
 Reading: archives are planned as byte ranges of files; a range starts at the
 first member found in it. Filters on record type and on header columns are pushed
 down. A record's headers are inflated first; its payload is inflated only if the
-headers pass and the schema has the ``payload`` column. Archives of other tools
-(gzip members without the extra field, or uncompressed) are read too.
+headers pass and the schema has the ``payload`` or ``computed_digest`` column.
+
+A payload may be an archive itself, so no range trusts bytes that only look like a
+record. The writer keeps the head of its members out of their bodies, so ranges of
+its files start at that head. In files that start with a gzip member of another
+tool no such mark exists; the first range reads them whole. In uncompressed files a
+range passes from record to record by their lengths, reading heads only.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
+import re
 import struct
 import uuid
 import zlib
@@ -27,14 +34,19 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 from stratalore.llm.files import list_files, open_file, remove, rename, write_file
+from stratalore.llm.places import Placed
 from stratalore.session import bound_batches, fresh_path, materialize, ship
 
-SCHEMA = "record_id string, record_type string, date string, target_uri string, refers_to string, payload_digest string, content_length long, payload_bytes long, headers map<string,string>, payload binary"
+SCHEMA = "record_id string, record_type string, date string, target_uri string, refers_to string, payload_digest string, content_length long, payload_bytes long, headers map<string,string>, payload binary, computed_digest string"
 #: Bytes of a file in one read partition.
 SPLIT_BYTES = 64 << 20
 #: Bytes and records in one batch from a reader.
 BATCH_BYTES, BATCH_RECORDS = 8 << 20, 1000
 _READ = 256 << 10
+#: Bytes read at once where only heads of uncompressed records are looked at.
+_READ_HEAD = 16 << 10
+#: First bytes of a member of this module: gzip head and the head of the extra field "WL".
+_MARK = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x08\0WL\x04\0"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "1970-01-01T00:00:00Z"
 #: Header columns: name in the schema and in the record.
@@ -45,13 +57,29 @@ def _clean(value: str) -> str:
     return value.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def member(head: bytes, payload: bytes, level: int = 6) -> bytes:
-    """One gzip member whose extra field "WL" holds the length of the whole member."""
+def _deflate(data: bytes, level: int, cuts: list[int]) -> bytes:
     z = zlib.compressobj(level, zlib.DEFLATED, -15)
+    parts = []
+    for a, b in zip([0, *cuts], [*cuts, len(data)], strict=True):
+        parts += [z.compress(data[a:b]), z.flush(zlib.Z_SYNC_FLUSH if b < len(data) else zlib.Z_FINISH)]
+    return b"".join(parts)
+
+
+def member(head: bytes, payload: bytes, level: int = 6) -> bytes:
+    """One gzip member whose extra field "WL" holds the length of the whole member.
+
+    Data that deflate stores as they are may hold ``_MARK``; they are cut inside it.
+    """
     data = head + payload
-    body = z.compress(data) + z.flush()
-    length = 10 + 2 + 8 + len(body) + 8
-    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHI", 8, b"WL", 4, length) + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    end = struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    cuts: set[int] = set()
+    for pieces in range(1, len(data) + 2):
+        body = _deflate(data, level, sorted(cuts - {0, len(data)}))
+        rest = struct.pack("<I", len(_MARK) + 4 + len(body) + len(end)) + body + end
+        if _MARK not in rest:
+            return _MARK + rest
+        cuts |= {m.start() + 8 for m in re.finditer(re.escape(_MARK), data)} | {len(data) * k // pieces for k in range(1, pieces)}
+    raise ValueError("a record cannot be told from the members around it")
 
 
 def record(record_id: str, kind: str, uri: str | None, digest: str, refers_to: str | None, payload: bytes, payload_bytes: int) -> tuple[bytes, bytes]:
@@ -112,13 +140,13 @@ class _Range(InputPartition):
 class _Buffered:
     """Forward reads at any offset of a file through one buffer."""
 
-    def __init__(self, f, size: int):
-        self.f, self.size, self.at, self.data = f, size, 0, b""
+    def __init__(self, f, size: int, read: int = _READ):
+        self.f, self.size, self.read, self.at, self.data = f, size, read, 0, b""
 
     def get(self, offset: int, n: int) -> bytes:
         if offset < self.at or offset + n > self.at + len(self.data):
             self.f.seek(offset)
-            self.at, self.data = offset, self.f.read(max(n, _READ))
+            self.at, self.data = offset, self.f.read(max(n, self.read))
         k = offset - self.at
         return self.data[k : k + n]
 
@@ -158,6 +186,14 @@ class _Inflating:
             self.out += got
         return True
 
+    def head(self) -> tuple[int, dict[str, str], int]:
+        """Length of the record's head, its headers and the length of what follows."""
+        size = self.until(b"\r\n\r\n", 0)
+        if size < 0:
+            raise ValueError("a record without the end of its headers")
+        headers = _parse(self.out[: size - 4])
+        return size, headers, int(headers.get("content-length", 0))
+
     def until(self, mark: bytes, start: int) -> int:
         """Offset after the next ``mark``, or -1."""
         at = start
@@ -184,11 +220,12 @@ class _Plain(_Inflating):
     """An uncompressed record with the same reads."""
 
     def __init__(self, source: _Buffered, at: int):
-        self.source, self.at, self.out, self.length = source, at, b"", None
+        self.source, self.at, self.start, self.out = source, at, at, b""
 
     @property
     def end(self) -> int:
-        return self.length
+        size, _, length = self.head()
+        return self.start + size + length + 4
 
     def more(self, drop: bool = False, n: int = 4096) -> bool:
         got = self.source.get(self.at, n)
@@ -234,53 +271,45 @@ class WarcReader(DataSourceReader):
 
     @staticmethod
     def _first(source: _Buffered, part: _Range) -> int:
-        """Offset of the first record that starts in the range, or its end."""
+        """Offset of the first record that this range reads, or the end of the file."""
         if part.start == 0:
             return 0
-        at = max(0, part.start - 4)
+        start = source.get(0, len(_MARK))
+        if start[:2] != _MARK[:2]:
+            heads, at = _Buffered(source.f, part.size, _READ_HEAD), 0
+            while at < part.start:
+                at = _Plain(heads, at).end if heads.get(at, 5) == b"WARC/" else at + 1
+            return at
+        at = part.start if start == _MARK else part.end
         while at < part.end:
-            block = source.get(at, min(_READ, part.end + 8 - at))
-            k = -1
-            while True:
-                gz, plain = block.find(b"\x1f\x8b\x08", k + 1), block.find(b"\r\n\r\nWARC/", k + 1)
-                k = min((x for x in (gz, plain) if x >= 0), default=-1)
-                if k < 0:
-                    break
-                here = at + k + (4 if k == plain else 0)
-                if not part.start <= here < part.end:
-                    continue
-                if k == plain:
-                    return here
-                try:
-                    if zlib.decompressobj(31).decompress(source.get(here, 4096), 5) == b"WARC/":
-                        return here
-                except zlib.error:
-                    pass
-                block = source.get(at, len(block))
-            at += max(1, len(block) - 9)
-            if len(block) < 10:
-                break
-        return part.end
+            block = source.get(at, min(_READ, part.end - at + len(_MARK) - 1))
+            if (k := block.find(_MARK)) >= 0:
+                return at + k
+            at += max(1, len(block) - len(_MARK) + 1)
+        return part.size
+
+    @staticmethod
+    def _goes_on(source: _Buffered, part: _Range, at: int) -> bool:
+        """Whether the record at ``at`` is this range's; those of gzip files beyond its end are, up to the next with a mark in a marked file."""
+        if at < part.end or at >= part.size:
+            return at < part.end
+        start = source.get(0, len(_MARK))
+        return start[:2] == _MARK[:2] and (start != _MARK or source.get(at, len(_MARK)) != _MARK)
 
     def records(self, part: _Range) -> Iterator[dict]:
+        inside = "payload" in self.fields or "computed_digest" in self.fields
         with open_file(part.uri) as f:
             source = _Buffered(f, part.size)
             at = self._first(source, part)
-            while at < part.end:
+            while self._goes_on(source, part, at):
                 start = source.get(at, 20)
                 packed = start[:2] == b"\x1f\x8b"
                 if not packed and start[:5] != b"WARC/":
                     at += 1  # padding between records
                     continue
-                known = struct.unpack("<I", start[16:20])[0] if packed and len(start) == 20 and start[3] & 4 and start[12:16] == b"WL\x04\x00" else None
+                known = struct.unpack("<I", start[16:20])[0] if len(start) == 20 and start.startswith(_MARK) else None
                 body = (_Inflating if packed else _Plain)(source, at)
-                head_end = body.until(b"\r\n\r\n", 0)
-                if head_end < 0:
-                    raise ValueError(f"{part.uri}: no headers at {at}")
-                headers = _parse(body.out[: head_end - 4])
-                length = int(headers.get("content-length", 0))
-                if not packed:
-                    body.length = at + head_end + length + 4
+                head_end, headers, length = body.head()
                 row = {name: headers.get(key) for name, key in _HEADERS.items()}
                 row["payload_digest"] = headers.get("warc-payload-digest", "").removeprefix("sha1:") or None
                 row["content_length"] = length
@@ -292,9 +321,13 @@ class WarcReader(DataSourceReader):
                         http_end = http_end if 0 <= http_end <= head_end + length else head_end + length
                         http = _parse(body.out[head_end:http_end])
                     there = head_end + length - http_end
+                    payload = body.upto(head_end + length)[http_end : head_end + length] if inside else None
+                    if inside and len(payload) != there:
+                        raise EOFError(f"{part.uri}: the record at {at} ends early")
                     declared = http.get("content-length", "")
                     row["payload_bytes"] = int(declared) if row["record_type"] == "revisit" and declared.isdigit() else there
-                    row["payload"] = body.upto(head_end + length)[http_end : head_end + length] if "payload" in self.fields else None
+                    row["payload"] = payload
+                    row["computed_digest"] = base64.b32encode(hashlib.sha1(payload).digest()).decode() if "computed_digest" in self.fields else None
                     yield row
                 at = at + known if known else body.end
 
@@ -309,6 +342,8 @@ class WarcReader(DataSourceReader):
         for row in self.records(partition) if partition.uri else ():
             rows.append(row)
             size += len(row["payload"] or b"") + 500
+            if "payload" not in self.fields:
+                row["payload"] = None
             if len(rows) >= BATCH_RECORDS or size >= BATCH_BYTES:
                 yield batch(rows)
                 rows, size = [], 0
@@ -355,22 +390,20 @@ def as_records(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", ur
 
     A null html is an empty payload. Repeated rows with the smallest id are all
     responses. A null id is never the smallest unless all ids of that payload are
-    null; then all are responses. Other columns are left out.
+    null; then all are responses. Other columns are left out. Roles are decided on
+    narrow rows; payloads stay where they lie and go straight into archives.
     """
-    text = F.coalesce(pages[html_col].cast("string"), F.lit(""))
-    base = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("target_uri"), F.encode(text, "UTF-8").alias("payload"), F.sha1(text).alias("payload_digest"), F.octet_length(text).cast("long").alias("payload_bytes"))
-    shared = materialize(base.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1 and first is not null").drop("n"), "warc-shared")
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    placed = Placed.of(pages)
+    text = lambda df: F.coalesce(df[html_col].cast("string"), F.lit(""))
+    facts = lambda df: [df[id_col].cast("long").alias("page_id"), df[url_col].cast("string").alias("target_uri"), F.sha1(text(df)).alias("payload_digest"), F.octet_length(text(df)).cast("long").alias("payload_bytes")]
     name = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
-    return base.join(shared, ["payload_digest", "payload_bytes"], "left").select(
-        name(F.col("page_id")).alias("record_id"),
-        F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        "target_uri",
-        "payload_digest",
-        F.when(revisit, name(F.col("first"))).alias("refers_to"),
-        "payload_bytes",
-        F.when(~revisit, F.col("payload")).alias("payload"),
-    )
+    row = lambda kind, refers_to, payload: [name(F.col("page_id")).alias("record_id"), F.lit(kind).alias("record_type"), F.col("target_uri"), F.col("payload_digest"), refers_to.cast("string").alias("refers_to"), F.col("payload_bytes"), payload.cast("binary").alias("payload")]
+    rows = materialize(placed.df.select(*placed.place, *facts(placed.df)), "warc-pages")
+    shared = materialize(rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1 and first is not null").drop("n"), "warc-shared")
+    roles = materialize(rows.join(shared, ["payload_digest", "payload_bytes"], "left").withColumn("revisit", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))), "warc-roles")
+    full = placed.only(roles.where("not revisit"), [*dict.fromkeys([id_col, url_col, html_col])])
+    responses = full.select(*facts(full), F.encode(text(full), "UTF-8").alias("html")).select(*row("response", F.lit(None), F.col("html")))
+    return responses.unionByName(roles.where("revisit").select(*row("revisit", name(F.col("first")), F.lit(None))))
 
 
 def write_warc(pages: DataFrame, path: str, **options) -> None:
@@ -381,11 +414,14 @@ def write_warc(pages: DataFrame, path: str, **options) -> None:
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
-    """Write the pages as archives in the shared folder and read their headers back, one row for each record."""
+    """Write the pages as archives in the shared folder and read them back, one row for each record.
+
+    Size and digest of a response are those of its payload as read; a revisit has none and gives its headers.
+    """
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
     write_warc(pages, path)
     number = lambda c: F.nullif(F.regexp_extract(c, "^<urn:x-page:(-?[0-9]*)>$", 1), F.lit("")).cast("long")
-    found = read_warc(spark, path, ["record_id", "record_type", "refers_to", "payload_digest", "payload_bytes"])
+    found = read_warc(spark, path, ["record_id", "record_type", "refers_to", "payload_digest", "payload_bytes", "computed_digest"])
     found = found.where(F.col("record_type").isin("response", "revisit"))
-    return found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+    return found.select(number("record_id").alias("page_id"), "payload_bytes", F.when(F.col("record_type") == "response", F.col("computed_digest")).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))

@@ -42,6 +42,23 @@ def test_foreign_archives(spark, tmp_path):
             assert warc.read_warc(spark, str(tmp_path / name), ["record_id"], split=split).count() == 3
 
 
+def test_archives_as_payloads(spark, tmp_path):
+    """Payloads that are archives, plain and packed, of this writer and of another, never start a record."""
+    noise = hashlib.sha512(b"0").digest() * 8
+    noise = b"".join(hashlib.sha512(noise + bytes([k])).digest() for k in range(40))
+    one = b"".join(warc.record("<urn:x-page:inner>", "response", "u", "D", None, noise, len(noise)))
+    inner = [one * 3, warc.member(one, noise) * 3, gzip.compress(one + noise) * 3, noise + warc._MARK * 9 + noise]
+    recs = [warc.record(f"<urn:x-page:{k}>", "response", "u", "D", None, p, len(p)) for k, p in enumerate(inner * 3)]
+    ours = [warc.member(*r, 1) for r in recs]
+    assert all(m.count(warc._MARK) == 1 and gzip.decompress(m) == b"".join(r) for m, r in zip(ours, recs, strict=True))
+    plain, other = [b"".join(r) for r in recs], [gzip.compress(b"".join(r)) for r in recs]
+    for name, parts in {"ours.warc.gz": ours, "plain.warc": plain, "other.warc.gz": other, "joined.warc.gz": [*ours[:5], *other[5:7], *ours[7:]]}.items():
+        (tmp_path / name).write_bytes(b"".join(parts))
+        for split in (1 << 26, 9001):
+            got = warc.read_warc(spark, str(tmp_path / name), ["record_id", "payload"], split=split).collect()
+            assert sorted((r.record_id, r.payload) for r in got) == sorted((f"<urn:x-page:{k}>", p) for k, p in enumerate(inner * 3)), (name, split)
+
+
 def test_query_on_tables_and_empty(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r.page_id: r for r in warc.archive_pages(pages).collect()}
