@@ -10,8 +10,9 @@ compared one by one. Patterns are grouped by length class, so one short item
 does not shrink the shifts of the others.
 
 Benchmark windows are read in blocks of at most ``BLOCK_BYTES``, and only such a
-block is ever broadcast. Documents pass through one block after another; hits
-add up in a column, and between blocks the rows are written to the shared folder.
+block is ever broadcast. With more than one, documents are scanned for each block
+where they lie; the hits, named by the rows' places, are written as narrow rows,
+and those of a row are put together at the end. No text is written or shuffled.
 
 Defined results: a null or word-less text has 0 words, 0 hits and no items; a
 null or word-less item has no windows; repeated items with one id count once,
@@ -23,11 +24,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalore.llm.places import Placed
 from stratalore.session import bound_batches, materialize, ship
 
 WINDOW = 13
@@ -144,47 +148,75 @@ def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple
         yield block
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", carry: bool = False) -> DataFrame:
-    """Per row: id (with ``carry`` all columns of the row as one struct), n_words, hit word spans and items.
+def _scan(rows: DataFrame, head: list[str], block, window: int, all_rows: bool = True) -> DataFrame:
+    """Columns ``head`` of ``rows`` (these, then text), n_words, spans and items for a broadcast block; of all rows or of those with hits."""
+    schema = rows.select(*head, F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("array<int>").alias("spans"), F.lit(None).cast("array<string>").alias("items")).schema
+    name, width, names = uuid.uuid4().hex, len(head), schema.fieldNames()
 
-    ``spans`` lists start and end word numbers of merged hits, one after the other.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from stratalore.llm.decontaminate import merged, patterns_of, words_of
+
+        table = patterns_of(name, block, window)
+        for b in batches:
+            n_words, spans, items = [], [], []
+            for text in b.column(width).cast(pa.binary()).to_pylist():
+                words = words_of(text)
+                new, found = table.hits(words)
+                n_words.append(len(words))
+                spans.append([x for s in merged(new) for x in s])
+                items.append(sorted(found))
+            out = pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names)
+            yield out if all_rows else out.filter(pa.array([bool(x) for x in spans], pa.bool_()))
+
+    return rows.mapInArrow(run, schema)
+
+
+def _together(hits: DataFrame) -> DataFrame:
+    """Hits of one row from several blocks as one: spans merged, items once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from stratalore.llm.decontaminate import merged
+
+        for b in batches:
+            spans = [[x for s in merged([*zip(flat[::2], flat[1::2], strict=True)]) for x in s] for flat in b.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(spans, pa.list_(pa.int32())), b.column(5)], b.schema.names)
+
+    once = hits.groupBy("file", "row").agg(F.max("doc").alias("doc"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    return once.mapInArrow(run, once.schema)
+
+
+def _in_blocks(placed: Placed, blocks: Iterator[list], window: int, id_col: str, text_col: str) -> DataFrame:
+    """(file, row, doc, n_words, spans, items) of every row, searched for one block after another."""
+    spark, found = placed.df.sparkSession, []
+    for items in blocks:
+        block = spark.sparkContext.broadcast(items)
+        rows = placed.df.select(*placed.place, placed.df[id_col].cast("long").alias("doc"), placed.df[text_col].cast("string").alias("text"))
+        found.append(materialize(_scan(rows, ["file", "row", "doc"], block, window, all_rows=not found), "decontaminate"))
+        block.destroy()
+    return _together(reduce(DataFrame.unionByName, found))
+
+
+def _search(docs: DataFrame, items: DataFrame, window: int, id_col: str, text_col: str, item_id: str, item_text: str, carry: bool) -> tuple[DataFrame, Placed | None]:
+    """Hits of all rows; with several blocks they name rows by their places, otherwise ``doc`` has the id or (``carry``) the row."""
     spark = docs.sparkSession
     ship(spark)
     bound_batches(spark)
-    head = F.struct(*[docs[c] for c in docs.columns]).alias("doc") if carry else docs[id_col].cast("long").alias("doc")
-    state = docs.select(head, docs[text_col].cast("string").alias("text"), F.lit(None).cast("long").alias("n_words"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    schema = state.schema
-    keep = [f.name for f in schema]
-
-    def scan(items: list):
-        block, name = spark.sparkContext.broadcast(items), uuid.uuid4().hex
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from stratalore.llm.decontaminate import merged, patterns_of, words_of
-
-            table = patterns_of(name, block, window)
-            for b in batches:
-                n_words, spans, items = [], [], []
-                for text, before, found in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                    words = words_of(text)
-                    new, more = table.hits(words)
-                    n_words.append(len(words))
-                    spans.append([x for s in merged([*zip(before[::2], before[1::2], strict=True), *new]) for x in s] if new else before)
-                    items.append(sorted({*found, *more}) if more else found)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], keep)
-
-        return run
-
-    first = True
-    for block in _blocks(items, item_id, item_text) if items.columns else ():
-        if not first:
-            state = materialize(state, "decontaminate")
-        state = state.mapInArrow(scan(block), schema)
-        first = False
-    if first:
-        state = state.mapInArrow(scan([]), schema)
-    return state.select("doc", "n_words", "spans", "items")
+    blocks = _blocks(items, item_id, item_text) if items.columns else iter(())
+    some = list(islice(blocks, 2))
+    if len(some) > 1:
+        placed = Placed.of(docs)
+        return _in_blocks(placed, chain(some, blocks), window, id_col, text_col), placed
+    head = F.struct(*[docs[c] for c in docs.columns]) if carry else docs[id_col].cast("long")
+    rows = docs.select(head.alias("doc"), docs[text_col].cast("string").alias("text"))
+    return _scan(rows, ["doc"], spark.sparkContext.broadcast(some[0] if some else []), window), None
+
+
+def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Per row: id, n_words, hit word spans and items.
+
+    ``spans`` lists start and end word numbers of merged hits, one after the other.
+    """
+    return _search(docs, items, window, id_col, text_col, item_id, item_text, carry=False)[0].select("doc", "n_words", "spans", "items")
 
 
 def with_verdict(found: DataFrame) -> DataFrame:
@@ -204,6 +236,8 @@ def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     return with_verdict(find_contamination(docs, items, **options)).select(F.col("doc").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not contaminated; columns stay as they are."""
-    return with_verdict(find_contamination(docs, items, carry=True, **options)).where("not contaminated").select("doc.*")
+    found, placed = _search(docs, items, window, id_col, text_col, item_id, item_text, carry=True)
+    clean = with_verdict(found).where("not contaminated")
+    return placed.only(clean.select("file", "row")) if placed else clean.select("doc.*")
