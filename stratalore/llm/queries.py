@@ -84,6 +84,12 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(vectors, label, vectors["vec_id"] % 100 == 0)
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalore.llm.ranked_search import top_documents
+
+    return top_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -91,4 +97,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from stratalore.llm import sql
 
-    return {"op2_quality_rules": sql.QUALITY_RULES, "op5_warc": sql.WARC, "op6_decontamination": sql.DECONTAMINATION, "op9_mixing": sql.MIXING, "op11_hard_negatives": sql.HARD_NEGATIVES}
+    return {"op2_quality_rules": sql.QUALITY_RULES, "op5_warc": sql.WARC, "op6_decontamination": sql.DECONTAMINATION, "op9_mixing": sql.MIXING, "op11_hard_negatives": sql.HARD_NEGATIVES, "op12_ranked_search": sql.RANKED_SEARCH}

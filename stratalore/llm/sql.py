@@ -98,3 +98,27 @@ SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor
 FROM positives p JOIN scored s ON s.anchor = p.anchor AND NOT s.same AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
 QUALIFY rank <= 10
 """
+
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+RANKED_SEARCH = f"""
+WITH d AS (
+    SELECT row_number() OVER () AS place, doc_id, {_TERMS} AS terms FROM documents
+), n AS (
+    SELECT place, doc_id, CAST(len(terms) AS BIGINT) AS n FROM d WHERE len(terms) > 0
+), corpus AS (
+    SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n
+), tf AS (
+    SELECT place, term, count(*) AS tf FROM (SELECT place, unnest(terms) AS term FROM d) GROUP BY place, term
+), w AS (
+    SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, corpus GROUP BY term, docs
+), items AS (
+    SELECT place, item_id, term, count(*) AS times
+    FROM (SELECT place, item_id, unnest(terms) AS term FROM (SELECT row_number() OVER () AS place, item_id, {_TERMS} AS terms FROM benchmark)) GROUP BY ALL
+), scored AS (
+    SELECT items.place AS item, item_id, doc_id, n.place AS place,
+        CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // corpus.terms)))) AS BIGINT) AS score
+    FROM items JOIN tf USING (term) JOIN w USING (term) JOIN n ON n.place = tf.place, corpus GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""
