@@ -260,6 +260,8 @@ def _pass(blocks: DataFrame, chunks: DataFrame, n_blocks: int, n_slices: int, ke
     block, part = F.pmod(F.xxhash64("chunk"), F.lit(n_blocks)), F.pmod(F.xxhash64("chunk", F.lit(1)), F.lit(n_slices))
     left = blocks.withColumn("block", block.cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))))
     right = chunks.withColumn("slice", part.cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    # By name and number, so that adaptive execution doesn't put groups together: they are small in bytes, but much work.
+    left, right = (x.repartition(n_blocks * n_slices, "block", "slice") for x in (left, right))
     found = left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInArrow(run, _FOUND)
     order = Window.partitionBy("chunk", "at", "band").orderBy(F.desc("score"), F.asc_nulls_last("id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
