@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -81,6 +82,23 @@ class RankMerger:
     def count(self, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Surviving symbols of each pre-token; ``flat`` holds their bytes (uint8), none empty."""
         counts = np.zeros(len(lengths), np.int64)
+        for done, sizes, _ in self._finished(flat, lengths):
+            counts[done] = sizes
+        return counts
+
+    def merge(self, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The surviving symbols of all pre-tokens, one after the other, and the number of each one's."""
+        groups = list(self._finished(flat, lengths))
+        counts = np.zeros(len(lengths), np.int64)
+        for done, sizes, _ in groups:
+            counts[done] = sizes
+        starts, out = np.cumsum(counts) - counts, np.zeros(int(counts.sum()), np.uint32)
+        for done, sizes, symbols in groups:
+            out[np.repeat(starts[done] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(symbols))] = symbols
+        return out, counts
+
+    def _finished(self, flat: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pre-tokens without a pair that merges, as they turn up: their numbers, sizes and symbols."""
         ids, sizes = np.arange(len(lengths)), lengths.astype(np.int64)
         last = np.cumsum(sizes) - 1
         sym = self.inner[flat]
@@ -93,9 +111,9 @@ class RankMerger:
             best = np.minimum.reduceat(ranks, np.cumsum(sizes) - sizes)
             done = best == NEVER
             if done.any():
-                counts[ids[done]] = sizes[done]
                 left = ~done
                 keep = np.repeat(left, sizes)
+                yield ids[done], sizes[done], sym[~keep]
                 sym, ranks = sym[keep], ranks[keep]
                 ids, sizes, best = ids[left], sizes[left], best[left]
                 if not len(sizes):
@@ -124,7 +142,6 @@ class RankMerger:
             open_before = np.ones(len(sym), bool)
             open_before[np.cumsum(sizes) - 1] = False
             self._renew(sym, ranks, before[open_before[before]])
-        return counts
 
     def _renew(self, sym: np.ndarray, ranks: np.ndarray, at: np.ndarray) -> None:
         ranks[at] = self.pair_ranks(sym[at], sym[at + 1])

@@ -90,6 +90,12 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalore.llm.bpe_codec import round_trips
+
+    return round_trips(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

@@ -10,4 +10,4 @@ def test_query_equals_sql(spark, sf, name):
 
 
 def test_all_are_there():
-    assert sorted(int(n[2:].split("_")[0]) for n in llm.queries()) == list(range(1, 13))
+    assert sorted(int(n[2:].split("_")[0]) for n in llm.queries()) == list(range(1, 14))
