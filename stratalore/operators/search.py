@@ -1,9 +1,9 @@
 """Keyword, vector and hybrid search.
 
-The index is a written postings table with one row for each term and chunk, next to
-the chunk's length, in folders by bucket of terms. A query is a small set of terms,
-so it opens their buckets only and joins nothing, and every result list ends in a
-top-k that each partition cuts by itself first.
+The index (``keyword_index``) is a written postings table with one row for each term
+and chunk, next to the chunk's length, in folders by bucket of terms. A query is a small
+set of terms, so it opens their buckets only and joins nothing but what was deleted
+since, and every result list ends in a top-k that each partition cuts by itself first.
 """
 
 from __future__ import annotations
@@ -11,10 +11,8 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter
-from dataclasses import dataclass
+from collections import Counter, OrderedDict
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +20,8 @@ from stratalore.functions import porter
 from stratalore.functions.text import passage, truncate_text
 from stratalore.functions.vectors import cosine, dequantize
 from stratalore.functions.vocabulary import PROMPT_HEAD, PROMPT_PLAIN, PROMPT_TAIL
-from stratalore.session import files_state, fresh_path, parquet_scan, shuffle_partitions, ship
+from stratalore.operators.keyword_index import KeywordIndex
+from stratalore.session import files_state, parquet_scan, scan_roots
 
 K1, B, IDF_FLOOR, RRF_K, BOOST = 1.2, 0.75, 1e-6, 60, 0.15
 
@@ -56,82 +55,30 @@ def stem_words(words) -> list[str]:
     return [_stems[w] for w in words]
 
 
-def stem_tokens(tokens: Column) -> Column:
-    """Stems of arrays of words, in place: no word is shuffled, so frequent words make no hot partition."""
+def build_index(chunks: DataFrame, stemmed: bool = True, id_col: str = "chunk_id", text_cols: tuple[str, ...] = ("text",), level_col: str | None = None, path: str | None = None) -> KeywordIndex:
+    """Write the index of all chunks below ``path`` (by default a new shared folder); each text is cut into words once."""
+    return KeywordIndex.create(chunks, stemmed, id_col, text_cols, level_col, path)
 
-    @F.pandas_udf("array<string>")
-    def stems(arrays: pd.Series) -> pd.Series:
-        from stratalore.operators.search import stem_words
 
-        return arrays.map(stem_words)
+#: Tables whose indexes are remembered; the one used longest ago is forgotten first.
+REMEMBERED = 32
+_indexes: OrderedDict[tuple, tuple[int, KeywordIndex]] = OrderedDict()
 
-    return stems(tokens)
 
-
-#: Files that share a bucket of terms, so that a term in every chunk is not one task's alone.
-SALTS = 8
-
-
-@dataclass
-class Index:
-    """Written postings (bucket, term, chunk_id, level, length, tf, positions), the number of chunks and their mean length."""
-
-    postings: DataFrame
-    chunks: int
-    average: float
-    stemmed: bool
-    buckets: int
-
-    def of(self, terms: list[str]) -> DataFrame:
-        """Postings of some terms; only their buckets are opened."""
-        names = self.postings.sparkSession.createDataFrame([(t,) for t in terms], "t string").select(_bucket(F.col("t"), self.buckets).alias("b"))
-        return self.postings.where(F.col("bucket").isin(sorted({r.b for r in names.collect()})) & F.col("term").isin(terms))
-
-
-def _bucket(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
-
-
-def build_index(chunks: DataFrame, stemmed: bool = True, id_col: str = "chunk_id", text_cols: tuple[str, ...] = ("text",), level_col: str | None = None, path: str | None = None) -> Index:
-    """Write the index of all chunks below ``path`` (by default a new shared folder); each text is cut into words once.
-
-    Positions of a later column go on far behind those of the one before.
-    """
-    spark = chunks.sparkSession
-    if stemmed:
-        ship(spark)
-    tokens = (lambda c: stem_tokens(word_tokens(c))) if stemmed else plain_tokens
-    base = chunks.select(F.col(id_col).alias("chunk_id"), (F.col(level_col) if level_col else F.lit(1)).alias("level"), *[tokens(F.col(c)).alias(f"_{i}") for i, c in enumerate(text_cols)])
-    gap, buckets = 1 << 24, shuffle_partitions(spark)
-
-    def placed(i: int) -> Column:
-        return F.transform(f"_{i}", lambda w, p: F.struct(w.alias("term"), (p + i * gap).alias("at")))
-
-    length = sum((F.size(f"_{i}") for i in range(len(text_cols))), F.lit(0)).cast("long").alias("length")
-    each = base.select("chunk_id", "level", length, F.explode(F.concat(*map(placed, range(len(text_cols))))).alias("t")).select("chunk_id", "level", "length", "t.term", "t.at")
-    dealt = each.withColumns({"bucket": _bucket(F.col("term"), buckets), "salt": F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int")})
-    # All words of a chunk are in one task, so counts are whole before they are shuffled, to their bucket and salt.
-    counted = dealt.groupBy("bucket", "salt", "term", "chunk_id", "level", "length").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
-    path = path or fresh_path(spark, "postings")
-    counted.repartition(buckets, "bucket", "salt").drop("salt").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
-    schema = "term string, chunk_id {}, level {}, length long, tf long, positions array<int>, bucket int".format(*(base.schema[c].dataType.simpleString() for c in ("chunk_id", "level")))
-    postings = spark.read.schema(schema).parquet(path)
-    n, words = chunks.count(), postings.agg(F.sum("tf")).first()[0] or 0
-    return Index(postings, n, words / n if n else 0.0, stemmed, buckets)
-
-
-_indexes: dict[tuple, tuple[int, Index]] = {}
-
-
-def shared_index(chunks: DataFrame, stemmed: bool = True, id_col: str = "chunk_id", text_cols: tuple[str, ...] = ("text",), level_col: str | None = None) -> Index:
-    """The index of a table in Parquet files, built once and again only when its files change; of any other plan a new one."""
+def shared_index(chunks: DataFrame, stemmed: bool = True, id_col: str = "chunk_id", text_cols: tuple[str, ...] = ("text",), level_col: str | None = None) -> KeywordIndex:
+    """The index of a table in Parquet files: built once, and brought up to date by its changed rows when its files change; of any other plan a new one."""
     options = (stemmed, id_col, text_cols, level_col)
     if not parquet_scan(chunks):
         return build_index(chunks, *options)
-    key = (chunks.sparkSession.sparkContext.applicationId, tuple(sorted(chunks.inputFiles())), *options)
-    state = files_state(chunks)
-    if key not in _indexes or _indexes[key][0] != state:
+    key = (chunks.sparkSession.sparkContext.applicationId, scan_roots(chunks), *options)
+    state, known = files_state(chunks), _indexes.get(key)
+    if known is None:
         _indexes[key] = state, build_index(chunks, *options)
+    elif known[0] != state:
+        _indexes[key] = state, known[1].sync(chunks)
+    _indexes.move_to_end(key)
+    while len(_indexes) > REMEMBERED:
+        _indexes.popitem(last=False)
     return _indexes[key][1]
 
 
@@ -160,7 +107,7 @@ def _phrase_hits(postings: DataFrame, phrase: tuple[str, ...]) -> DataFrame:
     return starts.where(F.size("at") == len(set(phrase))).select("chunk_id", "level", "length", F.size(both).cast("long").alias("tf")).where("tf > 0")
 
 
-def bm25(index: Index, query: str, top_k: int | None = 10, level: int | None = None) -> DataFrame:
+def bm25(index: KeywordIndex, query: str, top_k: int | None = 10, level: int | None = None) -> DataFrame:
     """(chunk_id, score) by BM25, best first; statistics are over all chunks, the level is filtered after.
 
     The postings of the query's words are read twice: for the number of chunks of
@@ -210,7 +157,7 @@ def fuse(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:
     return both.groupBy("chunk_id").agg(F.sum("part").alias("score")).orderBy(F.desc("score"), "chunk_id")
 
 
-def hybrid_search(index: Index, vectors: DataFrame | None, query: str, query_vector: list[float] | None, bm25_k: int = 20, vector_k: int = 20, rrf_k: int = RRF_K) -> DataFrame:
+def hybrid_search(index: KeywordIndex, vectors: DataFrame | None, query: str, query_vector: list[float] | None, bm25_k: int = 20, vector_k: int = 20, rrf_k: int = RRF_K) -> DataFrame:
     """Fused keyword and vector results; keyword results alone without vectors."""
     words = bm25(index, query, bm25_k, 1)
     if vectors is None or query_vector is None:
@@ -245,13 +192,13 @@ def best_per_document(hits: DataFrame, top_k: int | None, doc_col: str = "doc_id
     return best if top_k is None else best.limit(top_k)
 
 
-def search(index: Index, chunks: DataFrame, vectors: DataFrame | None, query: str, query_vector: list[float] | None = None, top_k: int = 10) -> DataFrame:
+def search(index: KeywordIndex, chunks: DataFrame, vectors: DataFrame | None, query: str, query_vector: list[float] | None = None, top_k: int = 10) -> DataFrame:
     """Twice the hits from either branch, fused, boosted, one for each document."""
     hits = hybrid_search(index, vectors, query, query_vector, 2 * top_k, 2 * top_k)
     return best_per_document(entity_boost(chunks.join(F.broadcast(hits), "chunk_id"), query), top_k)
 
 
-def enhanced_search(index: Index, chunks: DataFrame, vectors: DataFrame | None, query: str, query_vector: list[float] | None = None, top_k: int = 10) -> DataFrame:
+def enhanced_search(index: KeywordIndex, chunks: DataFrame, vectors: DataFrame | None, query: str, query_vector: list[float] | None = None, top_k: int = 10) -> DataFrame:
     """Search results with a passage and the parent's text."""
     hits = search(index, chunks, vectors, query, query_vector, top_k)
     up = chunks.select(F.col("chunk_id").alias("_pid"), F.col("text").alias("parent_context"))
@@ -259,7 +206,7 @@ def enhanced_search(index: Index, chunks: DataFrame, vectors: DataFrame | None,
     return out.orderBy(F.desc("score"), "chunk_id")
 
 
-def search_with_topic(index: Index, chunks: DataFrame, vectors: DataFrame | None, query: str, topic: str, query_vector: list[float] | None = None, top_k: int = 10) -> DataFrame:
+def search_with_topic(index: KeywordIndex, chunks: DataFrame, vectors: DataFrame | None, query: str, topic: str, query_vector: list[float] | None = None, top_k: int = 10) -> DataFrame:
     """Three times the hits, those with the topic kept."""
     hits = hybrid_search(index, vectors, query, query_vector, 3 * top_k, 3 * top_k)
     return chunks.join(F.broadcast(hits), "chunk_id").where(F.array_contains("topics", topic)).orderBy(F.desc("score"), "chunk_id").limit(top_k)

@@ -188,6 +188,18 @@ def bm25_topk(spark, d):
     return search.bm25(index, WORDS, 10).select(F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm")
+def bm25_after_changes(spark, d):
+    """All scores from an index that began as another table and followed its changes: rows added, replaced and deleted."""
+    now = docs(spark, d).select("doc_id", "text")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(50))
+    before = now.where(part != 0).withColumn("text", F.when(part == 1, F.concat(F.lit("the old "), F.reverse("text"))).otherwise(F.col("text")))
+    gone = now.where(part == 2).select((-F.col("doc_id") - 1).alias("doc_id"), "text")
+    index = search.build_index(before.unionByName(gone), False, "doc_id")
+    index = index.apply(now.where(part <= 1)).apply(None, gone)
+    return search.bm25(index, WORDS, None).select(F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 @query()
 def bm25_porter_topk(spark, d):
     index = search.shared_index(docs(spark, d), True, "doc_id")

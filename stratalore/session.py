@@ -60,6 +60,12 @@ def parquet_scan(df: DataFrame) -> bool:
     return plan.getClass().getSimpleName() == "LogicalRelation" and "parquet" in plan.relation().toString().lower() and len(set(files := df.inputFiles())) == len(files)
 
 
+def scan_roots(df: DataFrame) -> tuple[str, ...]:
+    """The paths that a scan of files was asked for."""
+    roots = df._jdf.queryExecution().analyzed().relation().location().rootPaths()
+    return tuple(sorted(roots.apply(k).toString() for k in range(roots.size())))
+
+
 def files_state(df: DataFrame) -> int:
     """A number that changes with the names, sizes or times of the files of a scan; no column is read."""
     meta = df.metadataColumn("_metadata")
