@@ -6,11 +6,6 @@ source the document's, the document before it the parent.
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -23,7 +18,7 @@ from stratalore.operators import store as S
 from stratalore.plans import verbs
 from stratalore.plans.queries import _BM25, _COS, _TOPICS, WORDS, _vector, docs, query, t
 from stratalore.session import fresh_path, materialize
-from stratalore.sources import connectors, files
+from stratalore.sources import archives, connectors, files
 from stratalore.streaming import ingest as streams
 
 # Search
@@ -301,20 +296,11 @@ def file_texts(spark, d):
 # Exports
 
 
-def _zipped(rows: DataFrame) -> DataFrame:
-    """(path, content) of ZIP archives with one entry each, from (path, entry, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for entry, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                data = io.BytesIO()
-                with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
-                    z.writestr(entry, text)
-                out.append(data.getvalue())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["path", "content"])
-
-    return rows.select("path", "entry", "text").mapInArrow(run, "path string, content binary")
+def _archived(spark, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(entry, content) rows written as a few archives and read back, each archive by several tasks."""
+    path = fresh_path(spark, "archives")
+    archives.write_zip(rows.repartition(3, "entry"), path)
+    return archives.read_zip(spark, path, columns, split=256 << 10)
 
 
 _CLEAN = "role <> 'system' AND text <> ''"
@@ -322,12 +308,14 @@ _CLEAN = "role <> 'system' AND text <> ''"
 
 @query(f"SELECT conv_id, CAST(count(*) AS INT) AS messages, sha256(string_agg(CASE WHEN role IN ('user', 'assistant') THEN role ELSE 'unknown' END || ': ' || text, chr(10) || chr(10) ORDER BY turn)) AS digest FROM conversations WHERE {_CLEAN} GROUP BY 1")
 def chat_exports(spark, d):
-    """Conversations written as a chat export in ZIP archives and read back as documents."""
+    """Conversations written as chat exports in ZIP archives and read back as documents."""
     message = F.struct(F.struct(F.col("role")).alias("author"), F.struct(F.array("text").alias("parts")).alias("content"), (F.col("turn") + 1).cast("double").alias("create_time"))
     node = F.struct(F.concat(F.lit("n"), F.col("turn")).alias("k"), F.struct(message.alias("message")).alias("v"))
     convs = t(spark, d, "conversations").groupBy("conv_id").agg(F.map_from_entries(F.collect_list(node)).alias("mapping"))
     text = F.to_json(F.array(F.struct(F.col("conv_id").cast("string").alias("id"), F.concat(F.lit("Chat "), F.col("conv_id")).alias("title"), "mapping")))
-    found = connectors.chatgpt_conversations(files.zip_entries(_zipped(convs.select(F.concat("conv_id", F.lit(".zip")).alias("path"), F.lit("export/conversations.json").alias("entry"), text.alias("text")))))
+    rows = convs.select(F.concat(F.lit("export-"), F.col("conv_id"), F.lit("/conversations.json")).alias("entry"), text.alias("content"))
+    other = convs.select(F.concat(F.lit("export-"), F.col("conv_id"), F.lit("/user.json")).alias("entry"), F.lit("{}").alias("content"))
+    found = connectors.chatgpt_conversations(_archived(spark, rows.unionByName(other), ["entry", "content"]))
     sizes = found.select("id", F.size("messages").alias("messages"))
     texts = connectors.conversation_documents(found).select(F.element_at("metadata", "conversationId").alias("id"), F.sha2("text", 256).alias("digest"))
     return sizes.join(texts, "id").select(F.col("id").cast("long").alias("conv_id"), "messages", "digest")
@@ -339,8 +327,9 @@ def social_posts(spark, d):
     post = F.to_json(F.array(F.struct(F.col("doc_id").alias("timestamp"), F.array(F.struct(F.col("text").alias("post"))).alias("data"))))
     comment = F.to_json(F.struct(F.array(F.struct(F.col("doc_id").alias("timestamp"), F.array(F.struct(F.struct(F.col("text").alias("comment")).alias("comment"))).alias("data"))).alias("comments_v2")))
     rows = docs(spark, d)
-    entries = rows.select(F.lit("your_posts/posts_1.json").alias("entry"), post.alias("content")).unionByName(rows.select(F.lit("Comments/comments.json").alias("entry"), comment.alias("content")))
-    return connectors.facebook_documents(entries).select("type", "timestamp", "text")
+    name = lambda head: F.concat(F.lit(head), F.col("doc_id"), F.lit(".json")).alias("entry")
+    entries = rows.select(name("your_posts/posts_"), post.alias("content")).unionByName(rows.select(name("Comments/comments_"), comment.alias("content")))
+    return connectors.facebook_documents(_archived(spark, entries, ["entry", "content"])).select("type", "timestamp", "text")
 
 
 @query("SELECT 'Chat ' || conv_id || ' - user, assistant' AS title, sha256(string_agg(role || ': ' || text, chr(10) || chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")

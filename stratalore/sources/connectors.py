@@ -26,7 +26,8 @@ def chatgpt_conversations(entries: DataFrame) -> DataFrame:
     Messages without text and from the system are left out; the rest is in order of
     time, a missing time first. Conversations without messages are left out.
     """
-    raw = entries.where(F.col("entry").rlike("(^|/)conversations\\.json$")).select(F.explode(F.from_json(F.col("content").cast("string"), CHATGPT)).alias("c"))
+    named = F.col("entry").endswith("conversations.json") & F.col("entry").rlike("(^|/)conversations\\.json$")  # the first test reaches a source of archives
+    raw = entries.where(named).select(F.explode(F.from_json(F.col("content").cast("string"), CHATGPT)).alias("c"))
 
     def message(n: Column) -> Column:
         role = n["message"]["author"]["role"]
@@ -49,13 +50,26 @@ def conversation_documents(conversations: DataFrame, source: str = "chatgpt") ->
 def facebook_documents(entries: DataFrame) -> DataFrame:
     """(type, timestamp, title, text) of posts, comments and message threads in an export, by entry path."""
     name, raw = F.lower("entry"), F.col("content").cast("string")
-    posts = entries.where(name.contains("posts") & name.endswith(".json")).select(F.explode(F.from_json(raw, POSTS)).alias("p")).select(F.lit("post").alias("type"), F.coalesce("p.timestamp", F.lit(0).cast("long")).alias("timestamp"), F.lit(None).cast("string").alias("title"), F.get(F.col("p.data"), F.lit(0))["post"].alias("text"))
-    comments = entries.where(name.contains("comments") & name.endswith(".json")).select(F.explode(F.from_json(raw, COMMENTS)["comments_v2"]).alias("p")).select(F.lit("comment").alias("type"), F.coalesce("p.timestamp", F.lit(0).cast("long")).alias("timestamp"), F.lit(None).cast("string").alias("title"), F.get(F.col("p.data"), F.lit(0))["comment"]["comment"].alias("text"))
-    threads = entries.where(name.contains("messages") & name.endswith(".json")).select(F.from_json(raw, THREAD).alias("t")).where(F.size("t.messages") > 0)
-    lines = F.transform(F.slice("t.messages", 1, THREAD_MESSAGES), lambda m: F.concat(F.coalesce(m["sender_name"], F.lit("")), F.lit(": "), F.coalesce(m["content"], F.lit(""))))
-    people = F.array_join(F.transform(F.coalesce("t.participants", F.array().cast("array<struct<name:string>>")), lambda p: p["name"]), ", ")
-    talk = threads.select(F.lit("message_thread").alias("type"), F.coalesce(F.get(F.col("t.messages"), F.lit(0))["timestamp_ms"], F.lit(0).cast("long")).alias("timestamp"), F.concat_ws(" - ", F.coalesce("t.title", F.lit("Unknown thread")), F.nullif(people, F.lit(""))).alias("title"), F.array_join(lines, "\n\n").alias("text"))
-    return posts.unionByName(comments).unionByName(talk).where("text is not null and text <> ''")
+    none = F.lit(None).cast("string")
+
+    def item(kind: str, at: Column, title: Column, text: Column) -> Column:
+        return F.struct(F.lit(kind).alias("type"), F.coalesce(at, F.lit(0).cast("long")).alias("timestamp"), title.alias("title"), text.alias("text"))
+
+    def talk(t: Column) -> Column:
+        lines = F.transform(F.slice(t["messages"], 1, THREAD_MESSAGES), lambda m: F.concat(F.coalesce(m["sender_name"], F.lit("")), F.lit(": "), F.coalesce(m["content"], F.lit(""))))
+        people = F.array_join(F.transform(F.coalesce(t["participants"], F.array().cast("array<struct<name:string>>")), lambda p: p["name"]), ", ")
+        title = F.concat_ws(" - ", F.coalesce(t["title"], F.lit("Unknown thread")), F.nullif(people, F.lit("")))
+        return item("message_thread", F.get(t["messages"], F.lit(0))["timestamp_ms"], title, F.array_join(lines, "\n\n"))
+
+    found = {
+        "posts": F.transform(F.from_json(raw, POSTS), lambda p: item("post", p["timestamp"], none, F.get(p["data"], F.lit(0))["post"])),
+        "comments": F.transform(F.from_json(raw, COMMENTS)["comments_v2"], lambda p: item("comment", p["timestamp"], none, F.get(p["data"], F.lit(0))["comment"]["comment"])),
+        "messages": F.transform(F.filter(F.array(F.from_json(raw, THREAD)), lambda t: F.size(t["messages"]) > 0), talk),
+    }
+    empty = F.array().cast("array<struct<type:string,timestamp:bigint,title:string,text:string>>")
+    # An entry is read once, whichever of the three its path says.
+    parts = [F.coalesce(F.when(name.contains(k), items), empty) for k, items in found.items()]
+    return entries.where(name.endswith(".json")).select(F.inline(F.concat(*parts))).where("text is not null and text <> ''")
 
 
 def media_registry(entries: DataFrame) -> DataFrame:
