@@ -35,10 +35,12 @@ from stratalore.llm.bpe import RankMerger
 from stratalore.llm.files import write_file
 from stratalore.llm.token_files import binaries, gathered, ragged
 from stratalore.llm.transducer import Transducer, compiled
-from stratalore.session import bound_batches, fresh_path, ship
+from stratalore.session import bound_batches, fresh_path, materialize, ship
 
 #: Parts in the lexicon, and bytes of the longest one.
 LEXICON, LONGEST = 1 << 17, 64
+#: Classes of frequency for each doubling.
+STEPS = 16
 #: Parts that one worker remembers beside the lexicon, bytes merged in one array batch, bytes of text taken at once.
 MEMO, MERGE_BYTES, LONG = 400_000, 4 << 20, 8 << 20
 
@@ -89,7 +91,9 @@ def distinct_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 def frequent_parts(docs: DataFrame, number: int, text_col: str = "text") -> list[bytes]:
-    """The most frequent parts of the words of all documents, ties in byte order; at most ``number``."""
+    """The parts of the words of all documents that are more frequent than some bound, the lowest one (of ``STEPS`` for
+    each doubling) that at most ``number`` parts reach. So no task ranks parts, and equal ones stay or go together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from stratalore.llm.bpe_codec import LONGEST, distinct_words, split_words
@@ -104,7 +108,14 @@ def frequent_parts(docs: DataFrame, number: int, text_col: str = "text") -> list
             yield pa.RecordBatch.from_arrays([parts, pa.array(total)], ["part", "times"]).filter(pa.array((sizes > 0) & (sizes <= LONGEST)))
 
     counted = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(run, "part binary, times long").groupBy("part").agg(F.sum("times").alias("times"))
-    return [bytes(r["part"]) for r in counted.orderBy(F.desc("times"), "part").limit(number).select("part").toLocalIterator()]
+    leveled = materialize(counted.select("part", F.floor(STEPS * F.log2("times")).alias("level")), "part-counts")
+    left, bound = number, None
+    for level, n in sorted(map(tuple, leveled.groupBy("level").agg(F.count("*").alias("n")).collect()), reverse=True):
+        left -= n
+        if left < 0:
+            break
+        bound = level
+    return [] if bound is None else [bytes(r["part"]) for r in leveled.where(F.col("level") >= bound).select("part").toLocalIterator()]
 
 
 class Codec:
