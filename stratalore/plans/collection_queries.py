@@ -20,6 +20,7 @@ from stratalore.plans.queries import _BM25, _COS, _TOPICS, WORDS, _vector, docs,
 from stratalore.session import fresh_path, materialize
 from stratalore.sources import archives, connectors, files
 from stratalore.streaming import ingest as streams
+from stratalore.streaming import keyed_state
 
 # Search
 
@@ -382,10 +383,19 @@ def _drained(spark, result: DataFrame, mode: str) -> DataFrame:
 def merged_captures(spark, d):
     """Messages of each captured conversation, kept as state by a stream; every message lands twice."""
     c = t(spark, d, "conversations").select("conv_id", F.col("turn").alias("id"), F.concat(F.lit("Chat "), F.col("conv_id")).alias("title"))
-    merged = streams.merge_captures(_landed(spark, d, "captures", c.unionByName(c)), None)
+    merged = keyed_state.merge_captures(_landed(spark, d, "captures", c.unionByName(c)), None)
     return _drained(spark, merged, "update").groupBy("conv_id").agg(F.max("total_messages").alias("total_messages"))
 
 
+@query("""WITH e AS (SELECT user_id, ts, event_id, ts - lag(ts) OVER w > INTERVAL 1 HOUR AS pause FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(CASE WHEN pause THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM e)
+SELECT user_id, min(ts) AS "start", max(ts) AS "end", count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 1 HOUR < (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+def stream_user_sessions(spark, d):
+    """Sessions of users that a stream closes by timers; those that may still go on are left open."""
+    sessions = keyed_state.user_sessions(_landed(spark, d, "session-events", t(spark, d, "events")))
+    return _drained(spark, sessions, "append").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
 @query("SELECT event_id FROM events")
 def stream_messages_once(spark, d):
     """Events that land twice come out of a stream once."""

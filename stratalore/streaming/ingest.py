@@ -1,14 +1,12 @@
-"""Structured Streaming: landed files to documents, captured messages, sessions, event windows."""
+"""Structured Streaming: landed files to documents, messages once, session and event windows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from stratalore.functions.text import content_hash
@@ -73,35 +71,3 @@ def event_windows(events: DataFrame, size: str = "1 hour", slide: str | None = N
 def session_windows(events: DataFrame, gap: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     ready = _timed(events, "ts").withWatermark("ts", late) if events.isStreaming else events
     return ready.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
-
-
-CAPTURE = "conv_id long, title string, new_messages long, total_messages long"
-CAPTURE_STATE = "title string, ids array<string>"
-
-
-def merge_captures(stream: DataFrame, ttl_ms: int | None = 3_600_000) -> DataFrame:
-    """Running state of captured conversations (conv_id, id, title): new messages in each batch, last title given.
-
-    A conversation that is quiet for ``ttl_ms`` is forgotten; None keeps all. A pending
-    timeout keeps a query running, so an available-now trigger ends only with None.
-    """
-
-    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        title, ids = state.get if state.exists else (None, [])
-        seen, new = set(ids), 0
-        for part in parts:
-            for message, name in zip(part["id"].astype(str), part["title"], strict=True):
-                if message not in seen:
-                    seen.add(message)
-                    new += 1
-                title = name if isinstance(name, str) else title
-        state.update((title, sorted(seen)))
-        if ttl_ms is not None:
-            state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame({"conv_id": [key[0]], "title": [title], "new_messages": [new], "total_messages": [len(seen)]})
-
-    timeout = GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return stream.groupBy("conv_id").applyInPandasWithState(update, CAPTURE, CAPTURE_STATE, "update", timeout)

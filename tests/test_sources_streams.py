@@ -8,6 +8,7 @@ from stratalore.functions import privacy
 from stratalore.sources import connectors as C
 from stratalore.sources import files as FS
 from stratalore.streaming import ingest as ST
+from stratalore.streaming import keyed_state as KS
 
 
 def node(role, parts, at, text=None):
@@ -135,7 +136,7 @@ def test_captures_and_windows(spark, tmp_path):
     df = spark.createDataFrame([(*r[:3], r[3]) for r in rows], "conv_id long, id string, title string, ts string").withColumn("ts", F.to_timestamp("ts"))
     df.coalesce(1).write.parquet(src)
     stream = lambda: ST.landed(spark, src, df.schema)
-    q = ST.merge_captures(stream(), None).writeStream.outputMode("update").format("memory").queryName("caps").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
+    q = KS.merge_captures(stream(), None).writeStream.outputMode("update").format("memory").queryName("caps").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {r.conv_id: (r.title, r.new_messages, r.total_messages) for r in spark.table("caps").collect()} == {1: ("T", 2, 2), 2: (None, 1, 1)}
     q = ST.new_messages(stream()).writeStream.format("memory").queryName("msgs").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
