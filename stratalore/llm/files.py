@@ -1,104 +1,5 @@
-"""Files in shared folders, from the driver and from Python workers.
+"""Files in shared folders, as the operators here use them."""
 
-Local and mounted folders are opened directly; any other scheme goes through
-``pyarrow.fs``. A file appears under its name only when it is complete, so a
-task that is lost and repeated leaves either nothing or the same file.
-"""
+from stratalore.sources.storage import list_files, open_file, read_file, remove, rename, write_file
 
-from __future__ import annotations
-
-import os
-import uuid
-from urllib.parse import unquote, urlparse
-
-
-def _local(uri: str) -> str | None:
-    parsed = urlparse(uri)
-    if parsed.scheme == "":
-        return uri
-    return unquote(parsed.path) if parsed.scheme == "file" else None
-
-
-def _remote(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
-def write_file(uri: str, chunks) -> int:
-    """Write ``chunks`` (bytes) to a file that appears at ``uri`` when all are written; returns its size."""
-    path, size = _local(uri), 0
-    if path is not None:
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        part = f"{path}.{uuid.uuid4().hex}.part"
-        try:
-            with open(part, "wb") as f:
-                for c in chunks:
-                    f.write(c)
-                    size += len(c)
-            os.replace(part, path)
-        except BaseException:
-            if os.path.exists(part):
-                os.remove(part)
-            raise
-        return size
-    system, path = _remote(uri)
-    system.create_dir(os.path.dirname(path), recursive=True)
-    part = f"{path}.{uuid.uuid4().hex}.part"
-    with system.open_output_stream(part) as f:
-        for c in chunks:
-            f.write(c)
-            size += len(c)
-    system.move(part, path)
-    return size
-
-
-def open_file(uri: str):
-    """A seekable binary file."""
-    path = _local(uri)
-    if path is not None:
-        return open(path, "rb")
-    system, path = _remote(uri)
-    return system.open_input_file(path)
-
-
-def read_file(uri: str) -> bytes:
-    with open_file(uri) as f:
-        return f.read()
-
-
-def rename(old: str, new: str) -> None:
-    path = _local(old)
-    if path is not None:
-        os.replace(path, _local(new))
-    else:
-        system, path = _remote(old)
-        system.move(path, _remote(new)[1])
-
-
-def remove(uri: str) -> None:
-    path = _local(uri)
-    if path is not None:
-        if os.path.exists(path):
-            os.remove(path)
-    else:
-        system, path = _remote(uri)
-        system.delete_file(path)
-
-
-def list_files(uri: str) -> list[tuple[str, int]]:
-    """(uri, size) of the files in a folder, or of the one file at ``uri``, by name."""
-    path = _local(uri)
-    if path is not None:
-        if os.path.isfile(path):
-            return [(uri, os.path.getsize(path))]
-        names = sorted(os.listdir(path)) if os.path.isdir(path) else []
-        return [(f"{uri.rstrip('/')}/{n}", os.path.getsize(os.path.join(path, n))) for n in names if os.path.isfile(os.path.join(path, n))]
-    from pyarrow import fs
-
-    system, path = _remote(uri)
-    info = system.get_file_info(path)
-    if info.type == fs.FileType.File:
-        return [(uri, info.size)]
-    found = system.get_file_info(fs.FileSelector(path)) if info.type == fs.FileType.Directory else []
-    return sorted((f"{uri.rstrip('/')}/{x.base_name}", x.size) for x in found if x.type == fs.FileType.File)
+__all__ = ["list_files", "open_file", "read_file", "remove", "rename", "write_file"]

@@ -2,7 +2,8 @@
 
 A row's place is its file (16 bytes that stand for the path) and its number in the
 file. A choice of rows is written as one short list for each file and ``SPAN`` rows
-of it; each task then reads the lists of the rows that it scans. So a filter
+of it, also where no row is kept; each task then reads the lists of the rows that it
+scans, and fails if one is missing. So a filter
 that is decided elsewhere reaches wide rows without a shuffle of them, and no task
 holds more than one bit for each row of a span.
 """
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalore.llm.files import read_file, write_file
-from stratalore.session import bound_batches, fresh_path, materialize, ship, shuffle_partitions
+from stratalore.session import bound_batches, fresh_path, materialize, parquet_scan, ship, shuffle_partitions
 
 #: Rows of a file that one list covers: at most 128 kB of bits.
 SPAN = 1 << 20
@@ -38,9 +39,7 @@ class Placed:
     @classmethod
     def of(cls, df: DataFrame) -> Placed:
         """Places of the rows of ``df``, which is written to the shared folder first unless it is a plain scan of Parquet files."""
-        scan = df._jdf.queryExecution().analyzed()
-        plain = scan.getClass().getSimpleName() == "LogicalRelation" and "parquet" in scan.relation().toString().lower() and len(set(files := df.inputFiles())) == len(files)
-        if not plain:
+        if not parquet_scan(df):
             df = materialize(df, "placed-rows")
         meta = df.metadataColumn("_metadata")
         return cls(df, [F.unhex(F.md5(meta["file_path"])).alias("file"), meta["row_index"].alias("row")])
@@ -55,24 +54,28 @@ class Placed:
             file, span, rows = None, None, []
 
             def flush():
-                bits = np.zeros(SPAN, bool)
-                bits[np.concatenate(rows) - span * SPAN] = True
-                write_file(_list_name(path, file, span), [np.packbits(bits[: int(np.flatnonzero(bits)[-1]) + 1], bitorder="little").tobytes()])
+                inside = np.concatenate(rows) - span * SPAN
+                bits = np.zeros(int(inside.max(initial=-1)) + 1, bool)
+                bits[inside] = True
+                write_file(_list_name(path, file, span), [np.packbits(bits, bitorder="little").tobytes()])
                 return pa.RecordBatch.from_arrays([pa.array([file], pa.binary()), pa.array([span], pa.int64())], ["file", "span"])
 
             for b in batches:
-                files, spans, row = b.column(0).to_pylist(), b.column(1).to_numpy(), b.column(2).to_numpy()
+                files, spans, row, real = b.column(0).to_pylist(), b.column(1).to_numpy(), b.column(2).fill_null(0).to_numpy(), b.column(2).is_valid().to_numpy(zero_copy_only=False)
                 edges = [k for k in range(len(files)) if not k or files[k] != files[k - 1] or spans[k] != spans[k - 1]]
                 for a, z in zip(edges, [*edges[1:], len(files)], strict=True):
                     if rows and (files[a], spans[a]) != (file, span):
                         yield flush()
                         rows = []
                     file, span = files[a], int(spans[a])
-                    rows.append(row[a:z])
+                    rows.append(row[a:z][real[a:z]])
             if rows:
                 yield flush()
 
-        dealt = kept.select("file", F.floor(F.col("row") / SPAN).alias("span"), "row").repartition(shuffle_partitions(spark), "file", "span").sortWithinPartitions("file", "span")
+        span = F.floor(F.col("row") / SPAN).alias("span")
+        # Every span of the scan gets a list, if only an empty one: so a list that is missing later is lost, and an error.
+        spans = self.df.select(*self.place).select("file", span).distinct().withColumn("row", F.lit(None).cast("long"))
+        dealt = kept.select("file", span, "row").unionByName(spans).repartition(shuffle_partitions(spark), "file", "span").sortWithinPartitions("file", "span")
         # Written to the end before any list is read.
         materialize(dealt.mapInArrow(write, "file binary, span long"), "kept-lists")
         columns = columns or self.df.columns
@@ -103,8 +106,5 @@ class Placed:
 
 
 def _bits(name: str) -> np.ndarray:
-    """The list in a file; a span without a kept row has none."""
-    try:
-        return np.unpackbits(np.frombuffer(read_file(name), np.uint8), bitorder="little").view(bool)
-    except FileNotFoundError:
-        return np.zeros(0, bool)
+    """The list in a file, up to its last kept row."""
+    return np.unpackbits(np.frombuffer(read_file(name), np.uint8), bitorder="little").view(bool)

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from stratalore.llm import places
 
 
@@ -27,3 +29,17 @@ def test_other_plans_are_written_first(spark):
     file, row = got.place
     assert got.df.select("id", file, row).distinct().count() == 20
     assert sorted(r.id for r in got.only(got.df.where("id < 5").select(file, row)).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_a_lost_list_is_an_error(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "rows")
+    spark.range(300).repartition(3).write.parquet(path)
+    got = places.Placed.of(spark.read.parquet(path))
+    monkeypatch.setattr(places, "fresh_path", lambda spark, name: str(tmp_path / name))
+    out = got.only(got.df.where("id < 200").select(*got.place))
+    assert out.count() == 200
+    lists = sorted((tmp_path / "kept-rows").glob("*.bits"))
+    assert len(lists) == 3
+    lists[0].unlink()
+    with pytest.raises(Exception, match="FileNotFound"):
+        out.collect()
