@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from test_decontaminate import naive as contaminated
 from test_mixing import check as check_mix
-from test_simhash import naive_components, naive_fp
+from test_near_copies import naive_groups
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
@@ -28,7 +28,7 @@ def test_stages_against_brute_force(spark, sf, tmp_path):
     accepted = ids(classify(docs, spark.read.parquet(f"{sf}/labels.parquet")).where("predicted = 1"))
     assert ids(outs[0]) == accepted
     rows = {r.doc_id: r.text for r in outs[0].collect()}
-    assert ids(outs[1]) == sorted(set(naive_components(list(rows), [naive_fp(t) for t in rows.values()])))
+    assert ids(outs[1]) == sorted({min(g) for g in naive_groups(rows)})
     items = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
     clean = {r.doc_id for r in outs[1].collect() if not contaminated(r.text, items)[4]}
     assert set(ids(outs[2])) == clean and 0 < len(clean) < outs[1].count()
@@ -74,10 +74,10 @@ def test_stages_on_odd_rows(spark, odd):
     verdict = {r.text: True for r in scored.collect()}
     assert order(scored.collect()) == order(r for r in rows if r.text in verdict)
     single = stages["SimHash near-dedup"](spark, docs, odd)
-    groups = naive_components(list(range(len(rows))), [naive_fp(r.text) for r in rows])
+    groups = naive_groups({k: r.text for k, r in enumerate(rows)})
     kept = single.collect()
-    of = dict(zip(rows, groups, strict=True))
-    assert single.schema == docs.schema and sorted(of[r] for r in kept) == sorted(set(groups))
+    of = {rows[k]: number for number, g in enumerate(groups) for k in g}
+    assert single.schema == docs.schema and sorted(of[r] for r in kept) == list(range(len(groups)))
     number = lambda r: float("inf") if r.doc_id is None else r.doc_id
     assert all(number(r) == min(number(x) for x in rows if of[x] == of[r]) for r in kept)
     clean = cp.benchmark_decontamination(spark, docs, odd)
