@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalore.functions import vocabulary as V
+from stratalore.functions.expressions import let
 
 UNICODE = "(?U)"
 
@@ -100,26 +101,36 @@ def word_topic(word: Column) -> Column:
     return F.when(word.isin(sorted(exact)), named(exact, word)).when(near, named(stems, light_stem(word)))
 
 
-def topic_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, topic, n): keyword hits of each topic, exact words first, stems else.
+def counted_topics(text: Column) -> Column:
+    """Array of (n, topic): keyword hits of each topic that has any, exact words first, stems else."""
+    named = F.filter(F.transform(topic_words(text), word_topic), lambda t: t.isNotNull())
+    names = sorted({*V.keyword_topics().values(), *V.stem_topics().values()})
+
+    def counts(hits: Column) -> Column:
+        times = lambda t: F.size(F.filter(hits, lambda h: h == t)).cast("long")
+        each = F.array(*[F.struct(times(t).alias("n"), F.lit(t).alias("topic")) for t in names])
+        return F.when(F.size(hits) > 0, F.filter(each, lambda c: c["n"] > 0))
+
+    return F.coalesce(let(named, counts), F.array().cast("array<struct<n:bigint,topic:string>>"))
 
-    Words meet the constant tables where they are read; only counts by document and topic are shuffled.
-    """
-    words = docs.select(F.col(id_col), F.explode(topic_words(F.col(text_col))).alias("word"))
-    return words.select(id_col, word_topic(F.col("word")).alias("topic")).where("topic is not null").groupBy(id_col, "topic").agg(F.count("*").alias("n"))
+
+def topics_of(text: Column, most: int = 3) -> Column:
+    """The topics with most hits, ties by name; "general" alone if there is none."""
+    ranked = F.array_sort(F.transform(counted_topics(text), lambda c: F.struct((-c["n"]).alias("k"), c["topic"].alias("topic"))))
+    top = F.slice(F.transform(ranked, lambda c: c["topic"]), 1, most)
+    return let(top, lambda t: F.when(F.size(t) > 0, t).otherwise(F.array(F.lit("general"))))
+
+
+def topic_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, topic, n) of every row; counted where the row is, so repeated and null ids are no special case."""
+    return docs.select(F.col(id_col), F.inline(counted_topics(F.col(text_col)))).select(id_col, "topic", "n")
 
 
 def classify_topics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 3) -> DataFrame:
     """(id, topics, primary_topic, confidence) of every row; ties by name."""
-    by_count = Window.partitionBy(id_col).orderBy(F.desc("n"), "topic")
-    top = topic_counts(docs, id_col, text_col).withColumn("rank", F.row_number().over(by_count)).where(F.col("rank") <= most)
-    lists = top.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "topic"))), lambda s: s["topic"]).alias("topics"))
-    return docs.select(id_col).join(lists, id_col, "left").select(
-        id_col,
-        F.coalesce("topics", F.array(F.lit("general"))).alias("topics"),
-        F.coalesce(F.get("topics", F.lit(0)), F.lit("general")).alias("primary_topic"),
-        F.when(F.col("topics").isNotNull(), 0.7).otherwise(0.3).alias("confidence"),
-    )
+    listed = docs.select(F.col(id_col), topics_of(F.col(text_col), most).alias("topics"))
+    primary = F.get("topics", F.lit(0))
+    return listed.select(id_col, "topics", primary.alias("primary_topic"), F.when(primary != "general", 0.7).otherwise(0.3).alias("confidence"))
 
 
 def document_topics(chunk_topics: DataFrame, id_col: str = "doc_id", order: str = "chunk_index", col: str = "topics") -> DataFrame:
@@ -217,35 +228,55 @@ def entities(text: Column, most: int = 10) -> Column:
     return F.slice(F.transform(ranked, lambda s: s["e"]), 1, most)
 
 
-def key_sentences(docs: DataFrame, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, rank, sentence): the n best sentences, from all three thirds of longer texts."""
-    listed = docs.select(F.col(id_col), F.filter(sentences(F.col(text_col)), lambda s: F.octet_length(s) > 20).alias("all"), F.col(text_col).alias("whole"))
-    each = listed.where(F.size("all") > 0).select(id_col, F.size("all").alias("total"), F.posexplode("all").alias("i", "sentence"))
-    size, low = F.octet_length("sentence"), F.lower("sentence")
-    words = _tail(F.split("sentence", r"(?U)\s+"))
+def _sentence_score(sentence: Column, i: Column, total: Column) -> Column:
     hit = lambda c: F.when(c, 1).otherwise(0)
-    score = (
-        F.greatest(F.lit(3) - F.col("i"), F.lit(0))
-        + 2 * hit((F.col("total") > 5) & (F.col("i") >= F.col("total") - 2))
+    size = F.octet_length(sentence)
+    words = _tail(F.split(sentence, r"(?U)\s+"))
+    known = let(F.lower(sentence), lambda low: reduce(lambda a, b: a + b, [hit(low.contains(w)) for w in V.KEY_SENTENCE_WORDS]))
+    return (
+        F.greatest(F.lit(3) - i, F.lit(0))
+        + 2 * hit((total > 5) & (i >= total - 2))
         + F.when((size > 50) & (size < 200), 2).when(size >= 200, 1).otherwise(0)
-        + 2 * F.aggregate(F.array(*map(F.lit, V.KEY_SENTENCE_WORDS)), F.lit(0), lambda a, w: a + low.contains(w).cast("int"))
+        + 2 * known
         + F.least(F.lit(3), F.size(F.filter(words, _capital)))
-        + hit(F.col("sentence").rlike(UNICODE + V.KEY_CAMEL))
-        + hit(F.col("sentence").rlike(UNICODE + V.KEY_SNAKE))
+        + hit(sentence.rlike(UNICODE + V.KEY_CAMEL))
+        + hit(sentence.rlike(UNICODE + V.KEY_SNAKE))
     )
-    third = F.floor(F.col("total") / 3)
-    part = F.when(F.col("i") < third, 0).when(F.col("i") < 2 * third, 1).otherwise(2)
-    scored = each.withColumns({"score": score, "part": part})
-    # Of equal sentences only the best-placed one counts.
-    once = scored.withColumn("again", F.row_number().over(Window.partitionBy(id_col, "sentence").orderBy(F.desc("score"), "i")))
-    spread = (F.col("total") > 10) & F.lit(n >= 3)
-    once = once.where((F.col("again") == 1) | ~spread)
-    in_part = F.row_number().over(Window.partitionBy(id_col, "part").orderBy(F.desc("score"), "i"))
-    place = F.when(spread & (F.col("in_part") == 1), F.col("part")).otherwise(3)
-    order = Window.partitionBy(id_col).orderBy("place", F.desc("score"), "i")
-    best = once.withColumn("in_part", in_part).withColumn("place", place).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select(id_col, "rank", "sentence")
-    none = listed.where(F.size("all") == 0).select(id_col, F.lit(1).alias("rank"), F.left("whole", F.lit(500)).alias("sentence"))
-    return best.unionByName(none)
+
+
+def best_sentences(text: Column, n: int = 3) -> Column:
+    """The ``n`` best sentences in order, from all three thirds of longer texts; the head of a text without any."""
+    listed = F.filter(sentences(text), lambda s: F.octet_length(s) > 20)
+
+    def scored(all_: Column) -> Column:
+        total = F.size(all_)
+        return F.transform(all_, lambda s, i: F.struct((-_sentence_score(s, i, total)).alias("k"), i.alias("i"), s.alias("sentence")))
+
+    def spread(ranked: Column, total: Column) -> Column:
+        # Of equal sentences only the best-placed one counts: sorted by sentence, it is the first of its run.
+        by_text = F.array_sort(F.transform(ranked, lambda x: F.struct(x["sentence"].alias("sentence"), x["k"].alias("k"), x["i"].alias("i"))))
+        first = let(by_text, lambda b: F.filter(F.transform(b, lambda x, j: F.when((j == 0) | (F.get(b, j - 1)["sentence"] != x["sentence"]), F.struct(x["k"].alias("k"), x["i"].alias("i"), x["sentence"].alias("sentence")))), lambda x: x.isNotNull()))
+        third = F.floor(total / 3)
+
+        def ordered(once: Column) -> Column:
+            head = lambda a, z: F.get(F.filter(once, lambda x: (x["i"] >= a) & (x["i"] < z)), F.lit(0))
+            heads = F.array_compact(F.array(head(F.lit(0), third), head(third, 2 * third), head(2 * third, total)))
+            return let(heads, lambda h: F.concat(h, F.filter(once, lambda x: ~F.exists(h, lambda y: y["i"] == x["i"]))))
+
+        return let(F.array_sort(first), ordered)
+
+    def best(all_: Column) -> Column:
+        total = F.size(all_)
+        ranked = let(F.array_sort(scored(all_)), lambda r: F.when((total > 10) & F.lit(n >= 3), spread(r, total)).otherwise(r))
+        return F.transform(F.slice(ranked, 1, n), lambda x: x["sentence"])
+
+    return let(listed, lambda a: F.when(F.size(a) > 0, best(a)).otherwise(F.array(F.left(text, F.lit(500)))))
+
+
+def key_sentences(docs: DataFrame, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, rank, sentence) of every row; ranked where the row is, so nothing is shuffled."""
+    each = docs.select(F.col(id_col), F.posexplode(best_sentences(F.col(text_col), n)).alias("i", "sentence"))
+    return each.select(id_col, (F.col("i") + 1).alias("rank"), "sentence")
 
 
 def enriched_text(topics: Column, names: Column, passages: Column, meta: Column) -> Column:

@@ -7,6 +7,7 @@ from stratalore.functions import text as X
 from stratalore.functions import vocabulary as V
 from stratalore.functions.chunking import chunk_documents, hierarchy, sections, split_text
 from stratalore.functions.porter import stem
+from stratalore.plans import verbs
 
 
 def value(spark, text, f):
@@ -67,6 +68,15 @@ def test_topics(spark):
     assert got[3].topics == ["general"] and got[4].topics == ["general"] and got[1].confidence == 0.7
 
 
+def test_topics_and_sentences_are_of_the_row(spark):
+    """Rows that share an id, or have none, keep their own results; nothing is shuffled."""
+    docs = spark.createDataFrame([(None, "doctor hospital nurse"), (None, "Python function"), (7, "doctor hospital nurse"), (7, "A plain sentence of some length here.")], "id long, text string")
+    assert sorted((str(r.id), r.primary_topic) for r in X.classify_topics(docs, "id").collect()) == [("7", "general"), ("7", "health"), ("None", "health"), ("None", "programming")]
+    assert sorted((str(r.id), r.rank, r.sentence) for r in X.key_sentences(docs, 3, "id").collect()) == [("7", 1, "A plain sentence of some length here."), ("7", 1, "doctor hospital nurse"), ("None", 1, "Python function"), ("None", 1, "doctor hospital nurse")]
+    for plan in (X.classify_topics(docs, "id"), X.key_sentences(docs, 3, "id"), verbs.enrich(docs)):
+        assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_splitter_and_sections():
     assert split_text("Hello, world!", 512) == ["Hello, world!"]
     t = "aa bb cc. dd ee\n\nff " + "g" * 40
