@@ -17,7 +17,7 @@ from stratalore.functions import text as X
 from stratalore.functions import vectors as VEC
 from stratalore.functions import vocabulary as V
 from stratalore.functions.chunking import chunk_documents
-from stratalore.operators import consent, graph, jobs, search
+from stratalore.operators import consent, graph, jobs, search, vector_matrix
 from stratalore.operators import store as S
 from stratalore.sources import connectors
 from stratalore.streaming import ingest as streams
@@ -219,6 +219,17 @@ def vector_topk(spark, d):
     return hits.select(F.col("chunk_id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {_COS} SELECT vec_id, round(score, 6) AS score FROM cos ORDER BY cos.score DESC, vec_id LIMIT 10")
+def matrix_topk(spark, d):
+    """Exact search in a written matrix that began as another table: vectors appended, replaced and deleted."""
+    now = t(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    part = F.pmod(F.xxhash64("chunk_id"), F.lit(20))
+    before = now.where(part != 0).withColumn("vector", F.when(part == 1, F.reverse("vector")).otherwise(F.col("vector")))
+    gone = now.where(part == 2).select((-F.col("chunk_id") - 1).alias("chunk_id"), "vector")
+    matrix = vector_matrix.VectorMatrix.create(before.unionByName(gone)).append(now.where(part <= 1)).delete(gone)
+    return matrix.search(_vector(spark, d), 10).select(F.col("chunk_id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
 _QUANT = "q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, list_min(CAST(embedding AS DOUBLE[])) AS lo, (list_max(CAST(embedding AS DOUBLE[])) - list_min(CAST(embedding AS DOUBLE[]))) / 255 AS s FROM embeddings)"
 
 
