@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from stratalore.functions.text import content_hash
+from stratalore.streaming.ledger import HashLedger
 
 
 def landed(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -23,29 +24,25 @@ def landed(spark: SparkSession, path: str, schema: StructType, fmt: str = "parqu
 def index_stream(stream: DataFrame, out: str, checkpoint: str, enrich: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """Append new documents (by content hash, also across batches) to ``out``/documents, and a job row for each to ``out``/jobs.
 
-    A batch writes below its own number and a repeated batch overwrites it, so a
-    restart neither loses nor doubles rows. Run with an available-now trigger.
+    A batch asks the ledger of hashes for those in its own buckets, and writes below its
+    own number, so a repeated batch overwrites what it wrote and a restart neither loses
+    nor doubles rows. Run with an available-now trigger.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark, path = batch.sparkSession, f"{out}/documents"
+        ledger = HashLedger(batch.sparkSession, f"{out}/ledger")
         rows = batch.withColumn("content_hash", content_hash(F.col("text")))
         # Of equal texts the one with the smallest id is added, so a repeated batch gives the same rows.
         place = F.row_number().over(Window.partitionBy("content_hash").orderBy(F.asc_nulls_last("doc_id"), F.xxhash64(*batch.columns)))
         ranked = rows.where("text is not null").withColumn("_place", place)
-        try:
-            known = spark.read.option("basePath", path).parquet(path).where(F.col("batch") < number).select("content_hash").withColumn("_known", F.lit(True))
-            ranked = ranked.join(known, "content_hash", "left")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            ranked = ranked.withColumn("_known", F.lit(None).cast("boolean"))
-        ranked = ranked.withColumn("_added", (F.col("_place") == 1) & F.col("_known").isNull()).persist()
+        known = ledger.known(number, ranked).withColumn("_known", F.lit(True))
+        ranked = ranked.join(known, "content_hash", "left").withColumn("_added", (F.col("_place") == 1) & F.col("_known").isNull()).persist()
         fresh = ranked.where("_added").select(*rows.columns)
-        (enrich or (lambda d: d))(fresh).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        (enrich or (lambda d: d))(fresh).write.mode("overwrite").parquet(f"{out}/documents/batch={number}")
         jobs = ranked.select("doc_id", F.lit("completed").alias("status"), F.when(~F.col("_added"), "duplicate content").alias("error"))
         empty = rows.where("text is null").select("doc_id", F.lit("failed").alias("status"), F.lit("no text").alias("error"))
         jobs.unionByName(empty).write.mode("overwrite").parquet(f"{out}/jobs/batch={number}")
+        ledger.add(number, fresh)
         ranked.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
