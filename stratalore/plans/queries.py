@@ -17,7 +17,7 @@ from stratalore.functions import text as X
 from stratalore.functions import vectors as VEC
 from stratalore.functions import vocabulary as V
 from stratalore.functions.chunking import chunk_documents
-from stratalore.operators import consent, graph, jobs, search, vector_matrix
+from stratalore.operators import consent, graph, jobs, pages, search, vector_matrix
 from stratalore.operators import store as S
 from stratalore.sources import connectors
 from stratalore.streaming import ingest as streams
@@ -70,6 +70,12 @@ def docs_page(spark, d):
     return S.page(docs(spark, d), 3, 5, by="doc_id", key="doc_id").select("doc_id", "source")
 
 
+@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id DESC LIMIT 10 OFFSET 140")
+def deep_page(spark, d):
+    """A page far behind the first, from a directory of ranges: only the ranges that it lies in are read."""
+    return pages.PageDirectory.create(docs(spark, d).select("doc_id", "n_chars"), by="n_chars", key="doc_id").page(15, 10)
+
+
 @query("SELECT count(*) AS total, CAST(ceil(count(*) / 10.0) AS BIGINT) AS total_pages FROM documents")
 def docs_page_count(spark, d):
     return S.page_count(docs(spark, d))
