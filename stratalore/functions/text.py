@@ -318,3 +318,12 @@ def sanitize_filename(name: Column) -> Column:
     """A name without folders and parent steps; "unnamed" if nothing is left."""
     bare = F.regexp_replace(F.regexp_replace(name, r"[/\\\\]", ""), r"\.\.", "")
     return F.when(bare.isin("", "."), "unnamed").otherwise(bare)
+
+
+def unique_filename(name: Column, taken: Column, stamp: str) -> Column:
+    """A sanitized name, with ``stamp`` before its extension where the name is ``taken``."""
+    safe = sanitize_filename(name)
+    # As for paths, a leading dot begins no extension.
+    parts = lambda k: F.regexp_extract(safe, r"^(.+?)(?:\.([^.]*))?$", k)
+    marked = F.concat(parts(1), F.lit(f"_{stamp}"), F.when(parts(2) != "", F.concat(F.lit("."), parts(2))).otherwise(F.lit("")))
+    return F.when(taken, marked).otherwise(safe)

@@ -224,3 +224,15 @@ def rag_prompt(context: DataFrame) -> DataFrame:
     lines = context.select(rank.alias("rank"), line.alias("line")).agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("all"))
     joined = F.array_join(F.transform("all", lambda s: s["line"]), "\n\n")
     return lines.select(F.when(F.size("all") == 0, F.lit(PROMPT_PLAIN)).otherwise(F.concat(F.lit(PROMPT_HEAD), joined, F.lit(PROMPT_TAIL))).alias("prompt"))
+
+
+def chat_messages(context: DataFrame, history: DataFrame, message: str, order: str = "turn") -> DataFrame:
+    """(place, role, content) of a request: the system prompt with its context, the talk so far (role, content) in order, the new message.
+
+    The history is one conversation's; its places follow its order.
+    """
+    system = rag_prompt(context).select(F.lit(0).alias("place"), F.lit("system").alias("role"), F.col("prompt").alias("content"))
+    talk = history.agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), "role", "content"))).alias("all"), (F.count("*") + 1).cast("int").alias("last"))
+    said = talk.select(F.posexplode("all").alias("k", "m")).select((F.col("k") + 1).alias("place"), "m.role", "m.content")
+    new = talk.select(F.col("last").alias("place"), F.lit("user").alias("role"), F.lit(message).alias("content"))
+    return system.unionByName(said).unionByName(new)

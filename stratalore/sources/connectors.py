@@ -89,6 +89,17 @@ def captured_documents(messages: DataFrame, conv: str = "conv_id", order: str =
     return out.orderBy(conv).limit(limit) if limit else out
 
 
+def conversations_of(conversations: DataFrame, site: str | None = None, number: int = 1, size: int = 20) -> tuple[DataFrame, DataFrame]:
+    """A page of captured conversations (id, site, updated_at), the last updated first, and one row with their total; of all sites or one."""
+    mine = conversations if site is None else conversations.where(F.col("site") == site)
+    return mine.orderBy(F.desc("updated_at"), "id").offset(max(0, number - 1) * size).limit(size), mine.agg(F.count("*").alias("total"))
+
+
+def delete_conversations(conversations: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
+    """All but those in ``gone``; keys that aren't there are no error, conversations without a key stay."""
+    return conversations.join(gone.select(key), key, "left_anti").select(*conversations.columns)
+
+
 def upsert(table: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
     """Rows of ``changes`` replace those with the same key."""
     return table.join(changes.select(key), key, "left_anti").unionByName(changes)
@@ -154,7 +165,7 @@ def read_exports(spark: SparkSession, path: str, pattern: str = "*.json") -> Dat
 
 def rewrite_paths(manifest: DataFrame, old: str, new: str, col: str = "path") -> DataFrame:
     """A manifest after its folder moved: only a leading ``old`` changes."""
-    return manifest.withColumn(col, F.when(F.startswith(F.col(col), F.lit(old)), F.concat(F.lit(new), F.substring(F.col(col), len(old) + 1, 1 << 20))).otherwise(F.col(col)))
+    return manifest.withColumn(col, F.when(F.startswith(F.col(col), F.lit(old)), F.concat(F.lit(new), F.substring(F.col(col), F.lit(len(old) + 1), F.char_length(F.col(col))))).otherwise(F.col(col)))
 
 
 def device_fingerprint(name: Column, host: Column) -> Column:

@@ -1,7 +1,7 @@
 import pytest
 from sql_compare import connect, rows
 
-from stratalore.plans import collection_queries  # noqa: F401  (registers its queries)
+from stratalore.plans import collection_queries, state_queries  # noqa: F401  (register their queries)
 from stratalore.plans.queries import QUERIES, SQL
 
 
