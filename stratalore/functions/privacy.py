@@ -47,11 +47,43 @@ def detect(text: Column) -> Column:
     return F.coalesce(F.aggregate(found, zero, fold, lambda acc: F.concat(F.flatten(acc["full"]), acc["some"])), F.array().cast(_KEPT))
 
 
+#: Code points of a block of text, from which pieces are cut without going over all that is before them.
+BLOCK = 4096
+
+
+def _blocks(text: Column) -> Column:
+    last = F.floor(F.greatest(F.char_length(text) - 1, F.lit(0)) / BLOCK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.substring(text, k * BLOCK + 1, F.lit(BLOCK)))
+
+
+def _piece(blocks: Column, start: Column, end: Column) -> Column:
+    """The text from ``start`` up to ``end``, out of the blocks that it lies in."""
+    first = F.floor(start / BLOCK).cast("int")
+    held = F.array_join(F.slice(blocks, first + 1, F.floor((end - 1) / BLOCK).cast("int") - first + 1), "")
+    return F.when(end > start, F.substring(held, start - first * BLOCK + 1, end - start)).otherwise("")
+
+
+def _gaps(text: Column, spans: Column) -> Column:
+    """The text before each span, from the end of the one before, and the text after the last."""
+    end_before = lambda i: F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(0)
+
+    def cut(blocks: Column) -> Column:
+        before = F.transform(spans, lambda s, i: _piece(blocks, end_before(i), s["start"]))
+        return F.concat(before, F.array(_piece(blocks, end_before(F.size(spans)), F.char_length(text))))
+
+    return let(_blocks(text), cut)
+
+
 def detect_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, end, byte_start, byte_end, type, text), one row for each span."""
-    spans = docs.select(F.col(id_col), F.col(text_col).alias("_text"), F.explode(detect(F.col(text_col))).alias("s"))
-    byte_start = F.octet_length(F.left("_text", F.col("s.start")))
-    return spans.select(id_col, "s.start", "s.end", byte_start.alias("byte_start"), (byte_start + F.octet_length("s.text")).alias("byte_end"), "s.type", "s.text")
+    found = docs.select(F.col(id_col), F.col(text_col).alias("_text"), detect(F.col(text_col)).alias("spans")).where(F.size("spans") > 0)
+
+    def placed(spans: Column) -> Column:
+        # Running totals of the bytes of gaps and spans, so no text is measured twice.
+        sizes = F.zip_with(F.slice(_gaps(F.col("_text"), spans), 1, F.size(spans)), spans, lambda g, s: (F.octet_length(g) + F.octet_length(s["text"])).cast("long"))
+        return let(prefix_sums(sizes), lambda ends: F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), (F.get(ends, i) - F.octet_length(s["text"])).cast("int").alias("byte_start"), F.get(ends, i).cast("int").alias("byte_end"), s["type"].alias("type"), s["text"].alias("text"))))
+
+    return found.select(id_col, F.inline(placed(F.col("spans"))))
 
 
 def token(doc_id: Column, span: Column) -> Column:
@@ -64,16 +96,25 @@ def anonymize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     found = docs.select(F.col(id_col), F.col(text_col).alias("_text"), detect(F.col(text_col)).alias("spans"))
     key = F.col(id_col)
     mark = lambda s: F.concat(F.lit("<PII:"), s["type"], F.lit(":"), token(key, s), F.lit(">"))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    fold = lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("_text"), acc["at"] + 1, s["start"] - acc["at"]), mark(s)).alias("out"))
-    masked = F.aggregate("spans", zero, fold, lambda acc: F.concat(acc["out"], F.substring(F.col("_text"), acc["at"] + 1, F.char_length("_text"))))
+    spans = F.col("spans")
+    # Every gap is followed by the mark of its span, the last one by nothing.
+    masked = let(_gaps(F.col("_text"), spans), lambda gaps: F.array_join(F.transform(gaps, lambda g, i: F.when(i < F.size(spans), F.concat(g, mark(F.get(spans, i)))).otherwise(g)), ""))
     tokens = F.map_from_entries(F.transform("spans", lambda s: F.struct(token(key, s), F.struct(s["text"].alias("original"), s["type"].alias("type")))))
     return found.select(id_col, F.when(F.size("spans") == 0, F.col("_text")).otherwise(masked).alias("masked"), tokens.alias("tokens"))
 
 
 def deanonymize(masked: Column, tokens: Column) -> Column:
-    """Put the originals of known tokens back."""
-    return F.aggregate(F.map_entries(tokens), masked, lambda acc, e: F.replace(acc, F.concat(F.lit("<PII:"), e["value"]["type"], F.lit(":"), e["key"], F.lit(">")), e["value"]["original"]))
+    """Put the originals of known tokens back; the text is gone over once."""
+    pattern = "<PII:([A-Z_]+):([0-9a-f]{8})>"
+
+    def original(mark: Column) -> Column:
+        known = F.element_at(tokens, F.regexp_extract(mark, pattern, 2))
+        return F.when(known["type"] == F.regexp_extract(mark, pattern, 1), known["original"]).otherwise(mark)
+
+    def joined(gaps: Column, marks: Column) -> Column:
+        return F.array_join(F.transform(gaps, lambda g, i: F.when(i < F.size(marks), F.concat(g, original(F.get(marks, i)))).otherwise(g)), "")
+
+    return let(F.split(masked, pattern, -1), lambda gaps: let(F.regexp_extract_all(masked, F.lit(pattern), 0), lambda marks: joined(gaps, marks)))
 
 
 def counts_by_type(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

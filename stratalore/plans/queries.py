@@ -500,11 +500,12 @@ def pii_counts(spark, d):
     return privacy.counts_by_type(docs(spark, d))
 
 
-@query("SELECT doc_id, sha256(text) AS restored FROM documents")
+@query(f"SELECT d.doc_id, sha256(text) AS restored, coalesce(c.n, 0) > 0 AS masked, false AS mail_left FROM documents d LEFT JOIN (SELECT doc_id, sum(n) AS n FROM ({_PII_COUNT}) GROUP BY 1) c USING (doc_id)")
 def pii_round_trip(spark, d):
-    """Digests of texts that were masked and restored from masks and tokens alone."""
-    masked = privacy.anonymize(docs(spark, d))
-    return masked.select("doc_id", F.sha2(privacy.deanonymize(F.col("masked"), F.col("tokens")), 256).alias("restored"))
+    """Digests of texts that were masked and restored from masks and tokens alone; whether masking changed them, and left an address."""
+    found = privacy.anonymize(docs(spark, d)).join(docs(spark, d).select("doc_id", "text"), "doc_id")
+    back = privacy.deanonymize(F.col("masked"), F.col("tokens"))
+    return found.select("doc_id", F.sha2(back, 256).alias("restored"), (F.col("masked") != F.col("text")).alias("masked"), F.col("masked").rlike("(?U)" + V.PII_PATTERNS["EMAIL"]).alias("mail_left"))
 
 
 @query("SELECT doc_id FROM documents d WHERE CASE doc_id % 3 WHEN 0 THEN 'technical' WHEN 1 THEN 'health' ELSE 'general' END IN ('professional', 'technical', 'general')")

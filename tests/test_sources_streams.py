@@ -109,6 +109,23 @@ def test_privacy(spark):
     assert {r.type: r.n for r in privacy.counts_by_type(docs).collect()}["SSN"] == 2
 
 
+def test_privacy_of_long_texts(spark):
+    """Ten thousand spans in one text, across blocks of it: offsets, masking and restoring in one go."""
+    import time
+
+    text = "".join(f"é{'x' * (k % 90)} 😀 user{k}@mail{k}.org;\n" for k in range(10_000)) + "tail é" + "y" * 9000
+    docs = spark.createDataFrame([(1, text), (2, "é" * 5000), (3, "a@b.co"), (4, ""), (5, None), (6, "<PII:EMAIL:00000000> stays")], "doc_id long, text string")
+    began = time.time()
+    raw = text.encode()
+    found = privacy.detect_pii(docs).where("doc_id = 1").collect()
+    assert len(found) == 10_000 and all(text[r.start : r.end] == r.text and raw[r.byte_start : r.byte_end].decode() == r.text for r in found)
+    masked = privacy.anonymize(docs)
+    rows = {r.doc_id: r for r in masked.select("*", privacy.deanonymize(F.col("masked"), F.col("tokens")).alias("back")).collect()}
+    assert rows[1].back == text and "@" not in rows[1].masked and rows[1].masked.endswith("y" * 9000) and len(rows[1].tokens) == 10_000
+    assert rows[2].masked == "é" * 5000 and rows[3].masked.startswith("<PII:EMAIL:") and rows[4].masked == "" and rows[5].masked is None and rows[6].back == "<PII:EMAIL:00000000> stays"
+    assert time.time() - began < 100
+
+
 def test_index_stream_across_batches(spark, tmp_path):
     src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
     schema = "doc_id long, text string"
