@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((norm(a) > TINY) & (norm(b) > TINY), dot(a, b) / (norm(a) * norm(b)))
 
 
+def cosine_to(v: Column, query: list[float]) -> Column:
+    """Cosine with a fixed vector, whose length is computed once; null if either has nearly no length."""
+    q, length = F.array(*[F.lit(float(x)) for x in query]), math.sqrt(sum(float(x) * float(x) for x in query))
+    if length <= TINY:
+        return F.lit(None).cast("double")
+    return let(doubles(v), lambda d: let(norm(d), lambda n: F.when(n > TINY, dot(d, q) / (n * length))))
+
+
 def quantize(v: Column) -> Column:
     """Struct of codes (0-255), scale and offset; a constant vector has zeros and scale 0, no vector has none."""
 

@@ -67,7 +67,8 @@ def _name(number: int) -> str:
 
 
 def _entry_bucket(chunk: Column, buckets: int) -> Column:
-    return -1 - _bucket(chunk, buckets)
+    """Entries are narrow, so fewer buckets do for them."""
+    return -1 - _bucket(chunk, max(1, buckets // 8))
 
 
 def postings_of(batch: pa.RecordBatch, stem) -> pa.RecordBatch:

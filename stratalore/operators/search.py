@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from stratalore.functions import porter
 from stratalore.functions.text import passage, truncate_text
-from stratalore.functions.vectors import cosine, dequantize
+from stratalore.functions.vectors import cosine_to, dequantize
 from stratalore.functions.vocabulary import PROMPT_HEAD, PROMPT_PLAIN, PROMPT_TAIL
 from stratalore.operators.keyword_index import KeywordIndex
 from stratalore.session import files_state, parquet_scan, scan_roots
@@ -137,8 +137,7 @@ def vector_search(vectors: DataFrame, query: list[float], top_k: int | None = 10
     """(chunk_id, score) by cosine, best first; a query of no length finds nothing."""
     if math.sqrt(sum(x * x for x in query)) < 1e-9:
         return vectors.limit(0).select(F.col(id_col).alias("chunk_id"), F.lit(0.0).alias("score"))
-    q = F.array(*[F.lit(float(x)) for x in query])
-    scored = vectors.select(F.col(id_col).alias("chunk_id"), F.coalesce(cosine(F.col(vector_col), q), F.lit(0.0)).alias("score"))
+    scored = vectors.select(F.col(id_col).alias("chunk_id"), F.coalesce(cosine_to(F.col(vector_col), query), F.lit(0.0)).alias("score"))
     return scored.orderBy(F.desc("score"), "chunk_id").limit(top_k) if top_k else scored
 
 

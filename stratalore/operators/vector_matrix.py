@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalore.functions.vectors import TINY, cosine
+from stratalore.functions.vectors import TINY, cosine_to
 from stratalore.session import fresh_path, ship
 
 #: Rows that centroids are fitted on, cells at most, rounds of fitting, rows ranked again for each that is wanted.
@@ -190,7 +190,7 @@ class VectorMatrix:
         """(chunk_id, score) by cosine, best first; with ``cells`` only that many cells are opened, without all are read exactly."""
         if not self.centroids or len(query) != len(self.centroids[0]) or math.sqrt(sum(x * x for x in query)) < TINY:
             return self.spark.createDataFrame([], "chunk_id long, score double")
-        exact = F.coalesce(cosine(F.col("vector"), F.array(*[F.lit(float(x)) for x in query])), F.lit(0.0)).alias("score")
+        exact = F.coalesce(cosine_to(F.col("vector"), query), F.lit(0.0)).alias("score")
         if cells is None:
             return self._live(self._rows()).select("chunk_id", exact).orderBy(F.desc("score"), "chunk_id").limit(top_k)
         opened = self.nearest_cells(query, cells)
