@@ -97,6 +97,21 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(app)
 
 
+def give_back() -> None:
+    """Return freed memory of a Python worker to the machine: workers live on and are used by later stages."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bound what one Arrow batch to a Python worker can hold, by rows and by bytes.
 
