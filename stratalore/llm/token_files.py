@@ -33,15 +33,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalore.llm.files import read_file, write_file
-from stratalore.session import bound_batches, fresh_path, materialize, ship, shuffle_partitions
+from stratalore.session import bound_batches, fresh_path, give_back, materialize, ship, shuffle_partitions
 
 SHARD_TOKENS = 1 << 22
 #: Stems, marks and odd words whose ids one worker remembers, and parts of odd words.
-MEMO_WORDS, MEMO_PARTS = 500_000, 100_000
+MEMO_WORDS, MEMO_PARTS = 300_000, 100_000
 #: Parts that go through the library in one text.
 JOINED = 5000
 #: Bytes of text that are encoded at once, and of a text from which it is cut at white space.
-BATCH_BYTES, LONG = 8 << 20, 8 << 20
+BATCH_BYTES, LONG = 3 << 20, 8 << 20
 
 _encoders: dict = {}
 #: A line that is a lower-case Latin word with closing marks, or any other line.
@@ -107,6 +107,12 @@ class Encoder:
         tokenizer.no_padding()
         return tokenizer if self._joined(probe, tokenizer) == self._one_by_one(probe) else self.library
 
+    def rest(self) -> None:
+        """Forgets all words: the worker goes on to other stages, which need the memory."""
+        self.parts = {"": b""}
+        self._forget()
+        give_back()
+
     def _forget(self) -> None:
         self.place: dict[bytes, int] = {b"": 0}
         self.starts, self.lengths, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, self.kind)
@@ -265,7 +271,7 @@ def encode(docs: DataFrame, tokenizer_file: str, end: int | None = 1, id_col: st
     """
     spark = docs.sparkSession
     ship(spark)
-    bound_batches(spark)
+    bound_batches(spark, 1000)
     spec = spark.sparkContext.broadcast(_vocabulary(tokenizer_file)[0])
     edges = np.array(bounds or [], np.int64)
 
@@ -273,9 +279,11 @@ def encode(docs: DataFrame, tokenizer_file: str, end: int | None = 1, id_col: st
         from stratalore.llm.token_files import encoder_of, gathered
 
         encoder = encoder_of(spec.value)
+        give_back()  # what reading the vocabulary has left
         for b in gathered(batches):
             part = np.searchsorted(edges, b.column(0).fill_null(-(2**63)).to_numpy(), "right").astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(part), b.column(0), encoder.encode(b.column(1), end)], ["part", "doc_id", "ids"])
+        encoder.rest()
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "part int, doc_id long, ids binary")
 
@@ -317,6 +325,7 @@ def write_shards(docs: DataFrame, tokenizer_file: str, path: str, end: int | Non
                 held[3] += len(ids) // kind.itemsize
         if held[0]:
             yield flush()
+        give_back()
 
     dealt = encode(docs, tokenizer_file, end, id_col, text_col, bounds)
     ranged = dealt.repartitionById(n, F.col("part")).sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "ids")
