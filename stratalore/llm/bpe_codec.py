@@ -43,6 +43,8 @@ LEXICON, LONGEST = 1 << 17, 64
 STEPS = 16
 #: Parts that one worker remembers beside the lexicon, bytes merged in one array batch, bytes of text taken at once.
 MEMO, MERGE_BYTES, LONG = 400_000, 4 << 20, 8 << 20
+#: Bytes of a part beyond which the library merges it: rounds over all its symbols would be too many.
+ENDLESS = 1 << 16
 
 _BYTES = np.arange(256, dtype=np.uint8)
 _LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + np.uint8(32), _BYTES)
@@ -143,7 +145,7 @@ class Codec:
         each: list[np.ndarray | None] = [None] * len(parts)
         owner, pre = [], []
         for i, part in enumerate(parts):
-            specials, found = self.merger.pre_tokens(part)
+            specials, found = self.merger.pre_tokens(part) if len(part) <= ENDLESS else (1, [])
             if specials:  # their order among the pre-tokens counts
                 each[i] = np.array(self.library.encode(part.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
             else:

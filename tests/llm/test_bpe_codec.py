@@ -66,6 +66,7 @@ def test_long_texts_in_pieces_and_a_small_memo(spec, sf, monkeypatch):
     monkeypatch.setattr(bc, "LONG", 50)
     monkeypatch.setattr(bc, "MEMO", 30)
     monkeypatch.setattr(bc, "MERGE_BYTES", 40)
+    monkeypatch.setattr(bc, "ENDLESS", 2000)
     codec = bc.Codec(spec, Transducer(compiled([])))
     assert [codec.round_trip(pa.array([t]))[0] for t in texts] == library(texts)
 
