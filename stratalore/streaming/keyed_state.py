@@ -1,7 +1,8 @@
-"""Streams with state for each key that ends by itself: messages with a time to live, sessions closed by timers.
+"""Streams with state for each key that ends by itself: messages with a time to live, sessions closed by the watermark.
 
 State is kept value by value in the store of the stream (RocksDB): a batch writes what
-it adds and reads what it asks for, however much a key has gathered.
+it adds and reads what it asks for, however much a key has gathered. Sessions are Spark's
+session windows, joined and closed without a call to Python for each of them.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from stratalore.session import ship
 
 MERGED = "conv_id long, title string, new_messages long, total_messages long"
-SESSIONS = "user_id long, start_at long, end_at long, n long"
 
 
 def use_state_store(spark: SparkSession) -> None:
@@ -80,52 +80,14 @@ def joined(spans: dict[int, tuple[int, int]], times: list[int], gap: int) -> dic
     return {s: (e, n) for s, e, n in out}
 
 
-class UserSessions(StatefulProcessor):
-    """Open sessions of a user by their start; a timer closes one when no event can lengthen it any more."""
-
-    def __init__(self, gap: int):
-        self.gap = gap
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getMapState("open", "start_at long", "end_at long, n long")
-
-    def _closes(self, end: int) -> int:
-        return (end + self.gap) // 1000 + 1
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = {k[0]: tuple(v) for k, v in self.open.iterator()}
-        after = joined(before, [int(t) for part in rows for t in part["at"].dropna()], self.gap)
-        for start, (end, _) in before.items():
-            if start not in after:
-                self.open.removeKey((start,))
-            if after.get(start, (None,))[0] != end:
-                self.handle.deleteTimer(self._closes(end))
-        for start, (end, n) in after.items():
-            if before.get(start) != (end, n):
-                self.open.updateValue((start,), (end, n))
-            self.handle.registerTimer(self._closes(end))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        done = [(k[0], *v) for k, v in self.open.iterator() if self._closes(v[0]) <= at]
-        for start, *_ in done:
-            self.open.removeKey((start,))
-        if done:
-            yield pd.DataFrame([(key[0], *d) for d in done], columns=["user_id", "start_at", "end_at", "n"])
-
-    def close(self) -> None:
-        pass
-
-
 def user_sessions(events: DataFrame, gap_seconds: int = 3600, late: str = "10 minutes", user: str = "user_id", at: str = "ts") -> DataFrame:
     """(user_id, start, end, n) of sessions, each once, when the watermark says that it is over.
 
-    Events of a user at most ``gap_seconds`` apart are one session, in whatever order
-    they come within ``late``. Events without a time are left out.
+    Events of a user at most ``gap_seconds`` apart are one session (as ``joined`` makes
+    them), in whatever order they come within ``late``. Events without a time are left out.
     """
     use_state_store(events.sparkSession)
     timed = events.select(F.col(user).cast("long").alias("user_id"), F.col(at).cast("timestamp").alias("ts")).withWatermark("ts", late)
-    rows = timed.withColumn("at", F.unix_micros("ts")).groupBy("user_id").transformWithStateInPandas(UserSessions(gap_seconds * 1_000_000), SESSIONS, "Append", "EventTime")
-    return rows.select("user_id", F.timestamp_micros("start_at").alias("start"), F.timestamp_micros("end_at").alias("end"), "n")
+    # A window ends before its last instant: one microsecond more joins events that are the whole gap apart.
+    rows = timed.groupBy("user_id", F.session_window("ts", f"{gap_seconds} seconds 1 microsecond").alias("w")).agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("n"))
+    return rows.select("user_id", "start", "end", "n")

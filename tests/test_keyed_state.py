@@ -78,3 +78,18 @@ def test_sessions_close_by_timers(spark, feed):
     assert put(at((1, 190), (1, 260)))[0] == []
     assert sorted(put(at((3, 400), (1, 1000)))[0]) == [(1, 190, 260, 3), (3, 400, 400, 1)]
     assert put(at((4, 5000)))[0] == [(1, 1000, 1000, 1)]
+
+
+def test_many_sessions_of_a_user_need_no_call_for_each(feed):
+    """Sessions are as ``joined`` makes them, those exactly the gap apart included, and no state is kept by a Python process."""
+    import datetime
+
+    rng, start = random.Random(5), 1_700_000_000
+    times = {u: [rng.randrange(0, 60 * 400) for _ in range(200)] + [10_000_000] for u in range(3)}
+    times[0] += [-1000, -940, -879]
+    rows = [(u, datetime.datetime.fromtimestamp(start + t), "x") for u, ts in times.items() for t in ts]
+    put = feed(EVENTS, lambda s: KS.user_sessions(s, 60, "30 seconds").select("user_id", (F.unix_seconds("start") - start).alias("a"), (F.unix_seconds("end") - start).alias("z"), "n"), "append")
+    got, progress = put(rows)
+    want = [(u, s, e, n) for u, ts in times.items() for s, (e, n) in KS.joined({}, ts, 60).items() if e < 10_000_000]
+    assert sorted(got) == sorted(want) and (0, -1000, -940, 2) in got
+    assert "Pandas" not in progress["stateOperators"][0]["operatorName"]
