@@ -298,9 +298,9 @@ def file_texts(spark, d):
 
 
 def _archived(spark, rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(entry, content) rows written as a few archives and read back, each archive by several tasks."""
+    """(entry, content) rows written as archives, one for each partition of a shuffle, and read back, each archive by several tasks."""
     path = fresh_path(spark, "archives")
-    archives.write_zip(rows.repartition(3, "entry"), path)
+    archives.write_zip(rows.repartition("entry"), path)
     return archives.read_zip(spark, path, columns, split=256 << 10)
 
 

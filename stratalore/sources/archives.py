@@ -3,6 +3,7 @@
 Reading plans partitions by bytes. Archives up to a partition's size are put together
 unopened; a larger one has its central directory read once, and its entries are cut
 into runs, so that one archive is read by many tasks and each seeks to its own entries.
+A run knows where its part of the directory lies, so a task parses that part only.
 Tests of entry names and sizes that the query makes are pushed into the reader: what
 fails them is never unpacked, and contents are unpacked only if the column is asked for.
 A task holds one entry at a time beside a batch of bounded size.
@@ -18,6 +19,8 @@ rows; entries that share a name are rows of their own; a null name can't be writ
 
 from __future__ import annotations
 
+import io
+import struct
 import uuid
 import zipfile
 import zlib
@@ -73,11 +76,64 @@ _TESTS: dict[type, Callable] = {
 
 @dataclass
 class _Run:
-    """Some entries of an archive, by their places in its directory; all of them if ``last`` is None."""
+    """Some entries of an archive, by their places in its directory; all of them if ``last`` is None.
+
+    With ``part`` (start of the directory, start and bytes of the run's records in it, bytes
+    before the archive proper) only these records are read, and the places are theirs.
+    """
 
     uri: str
     first: int = 0
     last: int | None = None
+    part: tuple[int, int, int, int] | None = None
+
+
+class _Partial(io.RawIOBase):
+    """An archive as if its directory had the records of one run only."""
+
+    def __init__(self, f, start: int, at: int, size: int, before: int):
+        f.seek(at)
+        records, end = f.read(size), start + size
+        if len(records) != size or not records.startswith(zipfile.stringCentralDir):
+            raise zipfile.BadZipFile("the directory changed")
+        # Counts are not looked at by readers that go by bytes; the 64-bit form holds any place.
+        self.tail = records + struct.pack("<4sQ2H2L4Q", b"PK\6\6", 44, 45, 45, 0, 0, 0, 0, size, start - before) + struct.pack("<4sLQL", b"PK\6\7", 0, end, 1) + struct.pack("<4s4H2LH", b"PK\5\6", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0)
+        self.f, self.start, self.at = f, start, 0
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.at
+
+    def seek(self, to: int, whence: int = 0) -> int:
+        self.at = max(0, to + (0, self.at, self.start + len(self.tail))[whence])
+        return self.at
+
+    def read(self, n: int = -1) -> bytes:
+        if self.at < self.start:
+            self.f.seek(self.at)
+            data = self.f.read(min(n, self.start - self.at) if n >= 0 else self.start - self.at)
+        else:
+            data = self.tail[self.at - self.start :][: n if n >= 0 else None]
+        self.at += len(data)
+        return data
+
+
+def _records(archive: zipfile.ZipFile, f) -> tuple[list[int], int] | None:
+    """Where the records of the directory start, its end last, and the bytes before the archive proper; None if that can't be told."""
+    infos, ends = archive.infolist(), [archive.start_dir]
+    for i in infos:
+        ends.append(ends[-1] + zipfile.sizeCentralDir + len(i.orig_filename.encode("utf-8" if i.flag_bits & 0x800 else "cp437")) + len(i.extra) + len(i.comment))
+    f.seek(ends[-1])
+    if not infos or f.read(4) not in (b"PK\5\6", b"PK\6\6"):
+        return None
+    f.seek(ends[0] + 42)
+    (first,) = struct.unpack("<L", f.read(4))
+    return (ends, infos[0].header_offset - first) if first < 0xFFFFFFFF else None
 
 
 @dataclass
@@ -125,14 +181,19 @@ class ZipReader(DataSourceReader):
     def _runs(self, uri: str) -> list[_Run]:
         try:
             with open_file(uri) as f, zipfile.ZipFile(f) as archive:
-                return [_Run(uri, a, z) for a, z in cut([i.compress_size for i in _files(archive)], self.split)]
+                files = [k for k, i in enumerate(archive.infolist()) if not i.is_dir()]
+                runs, known = cut([archive.infolist()[k].compress_size for k in files], self.split), _records(archive, f)
+                if known is None or not files:
+                    return [_Run(uri, a, z) for a, z in runs]
+                ends, before = known
+                return [_Run(uri, 0, None, (ends[0], ends[files[a]], ends[files[z - 1] + 1] - ends[files[a]], before)) for a, z in runs]
         except _BAD:
             return [_Run(uri)]
 
     def rows(self, run: _Run) -> Iterator[dict]:
         tests = [(f.attribute[0], _TESTS[type(f)](f)) for f in self.pushed]
         try:
-            with open_file(run.uri) as f, zipfile.ZipFile(f) as archive:
+            with open_file(run.uri) as f, zipfile.ZipFile(_Partial(f, *run.part) if run.part else f) as archive:
                 for info in _files(archive)[run.first : run.last]:
                     row = {"path": run.uri, "entry": info.filename, "size": info.file_size, "content": None, "error": None}
                     if all(test(row[name]) for name, test in tests):

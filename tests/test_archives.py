@@ -89,3 +89,21 @@ def test_exports_through_the_source(spark, tmp_path):
     assert [(c.id, c.messages[0].content) for c in conv] == [("c1", "hi")]
     totals = C.media_totals(C.media_registry(A.read_zip(spark, str(tmp_path), ["path", "entry", "size"]))).first()
     assert (totals.files, totals.bytes, totals.photos) == (1, 3, 1)
+
+
+def test_a_run_reads_its_part_of_the_directory_only(spark, tmp_path, monkeypatch):
+    entries = [(f"d/ä{i}.txt" if i % 3 else f"d/f{i}.txt", f"{i} ".encode() * 50) for i in range(300)]
+    archive(tmp_path / "big.zip", [("d/", b""), *entries[:100], ("e/", b""), *entries[100:], ("f/", b"")])
+    packed = (tmp_path / "big.zip").read_bytes()
+    (tmp_path / "behind.zip").write_bytes(b"#!/bin/sh\n" * 7 + packed)
+    parsed = []
+    whole = A._files
+    monkeypatch.setattr(A, "_files", lambda z: parsed.append(len(z.infolist())) or whole(z))
+    for name in ("big.zip", "behind.zip"):
+        parsed.clear()
+        reader = A.ZipReader(str(tmp_path / name), A.StructType.fromDDL(A.SCHEMA), 100, 1 << 20, (".zip",))
+        parts = reader.partitions()
+        got = [(r["entry"], bytes(r["content"]), r["error"]) for p in parts for b in reader.read(p) for r in b.to_pylist()]
+        assert got == [(n, d, None) for n, d in entries] and len(parts) > 20
+        # Every record is parsed once, not once for each run.
+        assert sum(parsed) <= 303
