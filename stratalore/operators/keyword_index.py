@@ -32,10 +32,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalore.session import fresh_path, materialize, shuffle_partitions, ship
+from stratalore.session import bound_batches, fresh_path, give_back, materialize, shuffle_partitions, ship
 
 #: Segments of one size class that are merged into one, and the share of dead chunks beyond which all are.
 FANOUT, DEAD_SHARE = 4, 0.3
+#: Words that a worker turns into postings at once; a chunk of more is taken alone.
+PIECE = 1 << 18
 
 
 @dataclass
@@ -71,10 +73,21 @@ def _entry_bucket(chunk: Column, buckets: int) -> Column:
     return -1 - _bucket(chunk, max(1, buckets // 8))
 
 
+def pieces(batch: pa.RecordBatch, words: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of (chunk_id, level, digest, words) of at most so many words, a row of more alone."""
+    ends = np.cumsum(pc.list_value_length(batch.column(3)).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(ends):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + words, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def postings_of(batch: pa.RecordBatch, stem) -> pa.RecordBatch:
     """Postings of (chunk_id, level, digest, words), and an entry without a term for each chunk.
 
-    A null word parts the words of one column from those of the next: no phrase reaches across.
+    Postings are in order of terms, so that the shuffle packs them well, and have no
+    digest: entries alone are asked for it. A null word parts the words of one column from those of the next: no phrase reaches across.
     """
     lists = batch.column(3)
     words, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy().astype(np.int64)
@@ -85,7 +98,7 @@ def postings_of(batch: pa.RecordBatch, stem) -> pa.RecordBatch:
     terms = pa.array(stem(coded.dictionary.to_pylist()), pa.string()).dictionary_encode()
     term = terms.indices.to_numpy()[coded.indices.drop_null().to_numpy()] if real.any() else np.zeros(0, np.int64)
     rows, place = rows[real], place[real]
-    order = np.argsort(rows * max(1, len(terms.dictionary)) + term, kind="stable")
+    order = np.argsort(term.astype(np.int64) * max(1, len(sizes)) + rows, kind="stable")
     rows, term, place = rows[order], term[order], place[order]
     first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (term[1:] != term[:-1])]) if len(rows) else np.zeros(0, np.int64)
     n, lengths = len(sizes), np.bincount(rows, minlength=len(sizes))
@@ -96,7 +109,7 @@ def postings_of(batch: pa.RecordBatch, stem) -> pa.RecordBatch:
         [
             pa.concat_arrays([terms.dictionary.take(pa.array(term[first])), pa.nulls(n, pa.string())]),
             batch.column(0).take(chosen), batch.column(1).take(chosen), pa.array(lengths[owner].astype(np.int64)), pa.array(tf.astype(np.int64)),
-            pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(place.astype(np.int32))), batch.column(2).take(chosen),
+            pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(place.astype(np.int32))), pa.concat_arrays([pa.nulls(len(first), batch.column(2).type), batch.column(2)]),
         ],
         ["term", "chunk_id", "level", "length", "tf", "positions", "digest"],
     )
@@ -260,14 +273,17 @@ class KeywordIndex:
         stemmed = self.stemmed
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from stratalore.operators.keyword_index import postings_of
+            from stratalore.operators.keyword_index import pieces, postings_of
             from stratalore.operators.search import stem_words
 
             for b in batches:
-                yield postings_of(b, stem_words if stemmed else list)
+                for piece in pieces(b):
+                    yield postings_of(piece, stem_words if stemmed else list)
+            give_back()
 
         base = self._base(chunks).select(F.coalesce("chunk_id", F.raise_error("a chunk without an id can't be indexed").cast(self.id_type)).alias("chunk_id"), "level", "digest", "words")
         ship(self.spark)
+        bound_batches(self.spark, 1000)
         rows = base.mapInArrow(run, f"term string, chunk_id {self.id_type}, level {self.level_type}, length long, tf long, positions array<int>, digest long")
         # Entries of the chunks go to buckets of ids, below zero.
         dealt = rows.withColumn("bucket", F.when(F.col("term").isNull(), _entry_bucket(F.col("chunk_id"), self.buckets)).otherwise(_bucket(F.col("term"), self.buckets)))

@@ -8,14 +8,14 @@ from stratalore.functions import text as X
 from stratalore.operators import consent, jobs, search
 from stratalore.operators import store as S
 from stratalore.plans import verbs
-from stratalore.plans.collection_queries import _recall
+from stratalore.plans.collection_queries import _store
 from stratalore.plans.queries import _PROMPT_SQL, WORDS, _hybrid, docs, query, t
 from stratalore.sources import connectors
 
 
 @query("SELECT doc_id AS id, 1 AS level, sha256(text) AS digest FROM documents WHERE doc_id = 11")
 def chunk_by_id(spark, d):
-    return S.get_by_id(_recall(spark, d).store.chunks, 11).select("id", "level", F.sha2("text", 256).alias("digest"))
+    return S.get_by_id(_store(spark, d).chunks, 11).select("id", "level", F.sha2("text", 256).alias("digest"))
 
 
 @query("""WITH n AS (SELECT CAST(count(*) AS VARCHAR) AS n FROM documents)
@@ -23,7 +23,7 @@ SELECT unnest(['table documents', 'columns of documents', 'rows of documents', '
 unnest(['', '', n, '', '', n, '', '', '0', '0', '0']) AS detail FROM n""")
 def store_report(spark, d):
     """What the validator says of a store filled from the table."""
-    store = _recall(spark, d).store
+    store = _store(spark, d)
     return S.validate({"documents": store.documents, "chunks": store.chunks, "embeddings": store.embeddings})
 
 

@@ -125,3 +125,32 @@ def test_frequent_words_are_split_over_files(spark):
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     files = index.of(["the"]).select(F.input_file_name().alias("f")).distinct().count()
     assert files > 1 and index.of(["the"]).count() == 20000
+
+
+def test_memory_of_a_worker_is_bounded_by_words():
+    """A batch becomes postings piece by piece; the pieces together have the batch's postings, in order of terms."""
+    import pyarrow as pa
+
+    from stratalore.operators import keyword_index as KI
+
+    words = [["b", "a", "b"], [], [], ["c"] * 50, ["a"], ["d", "a"], []]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7), pa.int64()), pa.array([1] * 7, pa.int32()), pa.array(range(7, 14), pa.int64()), pa.array(words, pa.list_(pa.string()))], ["chunk_id", "level", "digest", "words"])
+    for size in (1, 3, 4, 1000):
+        cut = list(KI.pieces(batch, size))
+        assert [i for p in cut for i in p.column(0).to_pylist()] == list(range(7))
+        assert all(p.num_rows == 1 or sum(len(w or []) for w in p.column(3).to_pylist()) <= size for p in cut)
+        got = [r for p in cut for r in KI.postings_of(p, list).to_pylist()]
+        assert sorted((r["chunk_id"], r["term"], r["tf"], r["positions"]) for r in got if r["term"]) == [(0, "a", 1, [1]), (0, "b", 2, [0, 2]), (3, "c", 50, [*range(50)]), (4, "a", 1, [0]), (5, "a", 1, [1]), (5, "d", 1, [0])]
+        assert sorted((r["chunk_id"], r["length"], r["digest"]) for r in got if r["term"] is None) == [(i, len(w or []), i + 7) for i, w in enumerate(words)]
+        assert all(r["digest"] is None for r in got if r["term"])
+    assert not list(KI.pieces(batch.slice(0, 0)))
+
+
+def test_queries_of_the_store_alone_make_no_index(spark, sf, monkeypatch):
+    import __spark_entry__ as entry
+    from stratalore.operators import search
+
+    monkeypatch.setattr(search, "build_index", lambda *a: 1 / 0)
+    monkeypatch.setattr(search, "_indexes", type(search._indexes)())
+    for name in ("pending_enrichment", "distill_documents", "chunk_by_id", "store_report", "delete_documents"):
+        entry.queries()[name](spark, sf)
