@@ -18,9 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalore.functions.text import chunk_size, should_chunk
-from stratalore.session import bound_batches, ship
+from stratalore.session import bound_batches, give_back, ship
 
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
+#: Bytes of text that a worker holds as chunks before it hands them on; a document's chunks stay together.
+PIECE = 1 << 20
 _HEAD = re.compile(r"(\n#{1,6}\s)|(\n\n\n+)")
 
 CHUNK_SCHEMA = "doc_id long, chunk_index int, level int, parent_index int, char_start int, char_end int, exact_start int, text string"
@@ -81,6 +83,27 @@ def hierarchy(text: str, size: int) -> list[dict]:
     return out
 
 
+def chunk_batches(batch: pa.RecordBatch, most: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """Chunks of (doc_id, text, cut, size) rows, in batches that end with the document that passes ``most`` bytes."""
+    types = {"doc_id": pa.int64(), "text": pa.string()}
+    names = ["doc_id", "chunk_index", "level", "parent_index", "char_start", "char_end", "exact_start", "text"]
+
+    def made(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], types.get(k, pa.int32())) for k in names], names)
+
+    rows, held = [], 0
+    for k in range(batch.num_rows):
+        doc, text, cut, size = (c[k].as_py() for c in batch.columns)
+        n = len(text.encode())
+        whole = [{"chunk_index": 0, "level": 1, "parent_index": None, "char_start": 0, "char_end": n, "exact_start": 0, "text": text}]
+        rows += [{"doc_id": doc, **c} for c in (hierarchy(text, size) if cut else whole)]
+        held += n
+        if held >= most:
+            yield made(rows)
+            rows, held = [], 0
+    yield made(rows)
+
+
 def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ext_col: str | None = None) -> DataFrame:
     """Chunks of every document: one whole chunk for short ones, else sections and paragraphs.
 
@@ -93,16 +116,10 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ready = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), should_chunk(F.col(text_col), ext).alias("cut"), chunk_size(ext).cast("int").alias("size"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from stratalore.functions.chunking import hierarchy
+        from stratalore.functions.chunking import chunk_batches
 
-        types = {"doc_id": pa.int64(), "text": pa.string()}
-        names = ["doc_id", "chunk_index", "level", "parent_index", "char_start", "char_end", "exact_start", "text"]
         for b in batches:
-            rows = []
-            for doc, text, cut, size in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                n = len(text.encode())
-                whole = [{"chunk_index": 0, "level": 1, "parent_index": None, "char_start": 0, "char_end": n, "exact_start": 0, "text": text}]
-                rows += [{"doc_id": doc, **c} for c in (hierarchy(text, size) if cut else whole)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], types.get(k, pa.int32())) for k in names], names)
+            yield from chunk_batches(b)
+        give_back()
 
     return ready.mapInArrow(run, CHUNK_SCHEMA)

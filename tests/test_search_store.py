@@ -122,3 +122,20 @@ def test_consent_and_jobs(spark):
     done = jobs.outcome(rows, spark.createDataFrame([("p", None, "duplicate content"), ("x", None, "bad file")], "id string, document_id long, error string"), 7)
     assert {r.id: r.status for r in done.collect()} == {"q": "queued", "p": "completed", "x": "failed"}
     assert jobs.clean_up(done, 1).count() == 2 and many.count() == 1
+
+
+def test_parents_follow_from_places_without_a_join(spark):
+    from stratalore.operators import store as S
+    from stratalore.plans import verbs
+
+    text = "\n# One\n" + "a word. " * 600 + "\n## Two\n" + "more words here. " * 300
+    rows = spark.createDataFrame([(text,), ("short",), (text + " end",)], "text string").selectExpr("text", "map('source', 'x') AS metadata")
+    store, _ = verbs.ingest(S.Store.create(spark), rows)
+    chunks = {r.id: r for r in store.chunks.collect()}
+    assert sorted(chunks) == list(range(1, len(chunks) + 1)) and len({r.parent_chunk_id for r in chunks.values()}) == 5
+    for r in chunks.values():
+        if r.parent_chunk_id is not None:
+            up = chunks[r.parent_chunk_id]
+            assert up.level == 0 and up.doc_id == r.doc_id and up.chunk_index < r.chunk_index and r.text in up.text
+    plan = store.chunks._jdf.queryExecution().optimizedPlan().toString()
+    assert "parent_index" in plan and plan.count("Join") <= 1

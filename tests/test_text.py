@@ -101,3 +101,15 @@ def test_chunks(spark):
     assert len(parts) > 5 and all(len(r.text.encode()) <= 512 for r in parts)
     raw = long.encode()
     assert all(raw[r.exact_start : r.exact_start + len(r.text.encode())].decode() == r.text for r in parts)
+
+
+def test_chunks_leave_a_worker_in_bounded_batches():
+    import pyarrow as pa
+
+    from stratalore.functions import chunking as CH
+
+    texts = ["word " * 2000, "", "short", "one. two. " * 900] * 5
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20), pa.int64()), pa.array(texts), pa.array([len(t) > 3000 for t in texts]), pa.array([1000] * 20, pa.int32())], ["doc_id", "text", "cut", "size"])
+    whole, cut = list(CH.chunk_batches(batch, 1 << 30)), list(CH.chunk_batches(batch, 4000))
+    assert len(whole) == 1 and len(cut) > 9 and pa.Table.from_batches(cut).combine_chunks().equals(pa.Table.from_batches(whole).combine_chunks())
+    assert max(sum(len(t) for t, v in zip(b.column("text").to_pylist(), b.column("level").to_pylist()) if v == 0) for b in cut) <= 10_000
