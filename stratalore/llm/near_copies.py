@@ -4,10 +4,11 @@ A fingerprint of 64 bits tells texts of that likeness apart by ten bits or so, f
 the two that anchors can bridge at a bearable number of replicas. So SimHash links
 (``simhash.links``, by anchor-point covering) only propose pairs here, and bands of
 min-wise hashes propose more: pairs of a Jaccard similarity of 0.8 share one of
-``BANDS`` bands of ``ROWS`` hashes with a probability over 0.999. In a band, every text is
-paired with the first and the last one only, never with all. Each proposed pair is then decided by its
-exact similarity, so texts that are merely alike stay, and groups are the components of
-the pairs that hold.
+``BANDS`` bands of ``ROWS`` hashes with a probability over 0.999. First, every text is
+paired with the first and the last one of each of its bands. Then all pairs of a band (or of a
+fingerprint) that these left in different groups are decided too; pairs within a group can't
+change it. Each proposed pair is decided by its exact similarity, so texts that are merely
+alike stay, and groups are the components of the pairs that hold.
 
 One pass makes a narrow profile of each row. Texts with equal sets of shingles are folded
 before pairs are made; only the texts of proposed pairs are read a second time, and the
@@ -144,6 +145,17 @@ def _proposed(nodes: DataFrame, threshold: int) -> DataFrame:
     return both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def _apart(nodes: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame:
+    """Pairs (u, v) of nodes that share a band or a fingerprint and lie in different groups, but for those in ``done``."""
+    groups = nodes.join(roots, F.col("node") == F.col("of"), "left").select("node", F.coalesce("root", "node").alias("group"), F.posexplode(F.concat("bands", F.array("fp"))).alias("band", "value"))
+    groups = materialize(groups, "copies-groups")
+    mixed_up = groups.groupBy("band", "value").agg(F.min("group").alias("a"), F.max("group").alias("z")).where("a < z").select("band", "value")
+    some = materialize(groups.join(mixed_up, ["band", "value"]), "copies-mixed")
+    other = some.select("band", "value", F.col("node").alias("v"), F.col("group").alias("v_group"))
+    pairs = some.join(other, ["band", "value"]).where("group <> v_group and node > v").select(F.col("node").alias("u"), "v").distinct()
+    return pairs.join(done, ["u", "v"], "left_anti")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """The pairs (u, v) whose sets are similar enough."""
     part, whole = similarity
@@ -173,10 +185,6 @@ def drop_near_copies(docs: DataFrame, threshold: int = 2, shingle: int = SHINGLE
     # Structs compare field by field, so the first says that null ids come last.
     rep = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key", "file", "row")).alias("rep")
     nodes = materialize(found.groupBy("node").agg(rep, F.min("fp").alias("fp"), F.min("bands").alias("bands")), "copies-nodes")
-    pairs = materialize(_proposed(nodes.select("node", "fp", "bands"), threshold), "copies-pairs")
-    named = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    # Written before it is read again, so that no task has two Python workers at a time.
-    texts = materialize(rows.only(nodes.join(named, "node", "left_semi").select("rep.file", "rep.row"), [text_col]), "copies-texts")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from stratalore.llm.near_copies import BATCH, _packed, nodes_of, shingle_sets
@@ -186,7 +194,21 @@ def drop_near_copies(docs: DataFrame, threshold: int = 2, shingle: int = SHINGLE
             yield pa.RecordBatch.from_arrays([pa.array(nodes_of(sets)), pa.array(sets, pa.binary())], ["node", "hashes"])
         give_back()
 
-    sets = materialize(texts.select(F.col(text_col).cast("string")).mapInArrow(sets_of, "node long, hashes binary"), "copies-sets")
-    roots = materialize(connected_components(materialize(_confirmed(pairs, sets, similarity), "copies-links")).withColumnRenamed("node", "of"), "copies-roots")
+    def decided(pairs: DataFrame) -> DataFrame:
+        named = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        # Written before it is read again, so that no task has two Python workers at a time.
+        texts = materialize(rows.only(nodes.join(named, "node", "left_semi").select("rep.file", "rep.row"), [text_col]), "copies-texts")
+        sets = materialize(texts.select(F.col(text_col).cast("string")).mapInArrow(sets_of, "node long, hashes binary"), "copies-sets")
+        return materialize(_confirmed(pairs, sets, similarity), "copies-links")
+
+    def grouped(edges: DataFrame) -> DataFrame:
+        return materialize(connected_components(edges).withColumnRenamed("node", "of"), "copies-roots")
+
+    pairs = materialize(_proposed(nodes.select("node", "fp", "bands"), threshold), "copies-pairs")
+    found_links = decided(pairs)
+    roots = grouped(found_links)
+    rest = materialize(_apart(nodes.select("node", "fp", "bands"), roots, pairs), "copies-apart")
+    if not rest.isEmpty() and not (more := decided(rest)).isEmpty():
+        roots = grouped(found_links.unionByName(more))
     kept = nodes.select("node", "rep").join(roots, F.col("node") == F.col("of"), "left").groupBy(F.coalesce("root", "node")).agg(F.min("rep").alias("rep"))
     return rows.only(kept.select("rep.file", "rep.row"))

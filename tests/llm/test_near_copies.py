@@ -81,3 +81,26 @@ def test_ties_nulls_and_empty_tables(spark):
     kept = {r.doc_id: r.text for r in nc.drop_near_copies(docs).collect()}
     assert set(kept) == {None, 3, 5} and kept[None] == "other" and kept[3] is None and kept[5].lower() == "a b c d e f g"
     assert nc.drop_near_copies(docs).count() == 3 and nc.drop_near_copies(docs.limit(0)).count() == 0
+
+
+def test_pairs_that_are_neither_first_nor_last_of_a_band(spark):
+    """Alike texts that share bands with others only between the first and the last node are one group."""
+    # Nodes 2 and 3 hold the same words; 1 and 4 share their bands but are other texts.
+    near = [f"w{i}" for i in range(100)]
+    texts = {1: " ".join(f"a{i}" for i in range(100)), 2: " ".join(near), 3: " ".join([*near[:-1], "x"]), 4: " ".join(f"z{i}" for i in range(100))}
+    node = lambda: spark.createDataFrame([(k, [0, -1, 0x5555555555555555, 0x0F0F0F0F0F0F0F0F][k - 1], [7] * nc.BANDS) for k in texts], "node long, fp long, bands array<bigint>")
+    roots = spark.createDataFrame([], "of long, root long")
+    first = {(r.u, r.v) for r in nc._proposed(node(), 2).collect()}
+    done = spark.createDataFrame(sorted(first), "u long, v long")
+    rest = {(r.u, r.v) for r in nc._apart(node(), roots, done).collect()}
+    assert first | rest == {(u, v) for u in texts for v in texts if u > v} and not first & rest and (3, 2) in rest
+    joined = spark.createDataFrame([(3, 2), (2, 2)], "of long, root long")
+    assert (3, 2) not in {(r.u, r.v) for r in nc._apart(node(), joined, done).collect()}
+
+
+def test_no_group_is_split(spark):
+    """Large families of near copies give the groups that brute force gives."""
+    rng = random.Random(8)
+    texts = [t for _ in range(4) for t in family(rng, 60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in nc.drop_near_copies(docs).collect()} == {min(g) for g in naive_groups(dict(enumerate(texts)))}
