@@ -5,10 +5,13 @@ the two that anchors can bridge at a bearable number of replicas. So SimHash lin
 (``simhash.links``, by anchor-point covering) only propose pairs here, and bands of
 min-wise hashes propose more: pairs of a Jaccard similarity of 0.8 share one of
 ``BANDS`` bands of ``ROWS`` hashes with a probability over 0.999. First, every text is
-paired with the first and the last one of each of its bands. Then all pairs of a band (or of a
-fingerprint) that these left in different groups are decided too; pairs within a group can't
-change it. Each proposed pair is decided by its exact similarity, so texts that are merely
-alike stay, and groups are the components of the pairs that hold.
+paired with the first, the last and the most central one of each of its bands. Then all pairs
+of a band (or of a fingerprint) that these left in different groups are decided too; pairs
+within a group can't change it. Texts of crowded bands are not paired one with another: two sets
+of that similarity have a member in common among the rarest of either, and only pairs that have
+one (and sizes that fit its place) are made, so no link is lost. Each proposed pair is decided
+by its exact similarity, so texts that are merely alike stay, and groups are the components of
+the pairs that hold.
 
 One pass makes a narrow profile of each row. Texts with equal sets of shingles are folded
 before pairs are made; only the texts of proposed pairs are read a second time, and the
@@ -23,7 +26,7 @@ Shingles are compared by 32 bits of a hash, sets by 64.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,10 @@ from stratalore.session import bound_batches, give_back, materialize, ship
 SHINGLE, BANDS, ROWS = 5, 20, 5
 #: Similarity of near copies, as a fraction.
 SIMILARITY = (4, 5)
+#: Nodes of a band or fingerprint of which all pairs are made; those of larger ones are paired by rare members of their sets.
+CROWD = 8
+#: Counters that put members of sets in order; members share them, which changes the number of pairs and no result.
+SLOTS = 1 << 16
 #: Bytes of text that are profiled at once.
 BATCH = 2 << 20
 _BYTES = np.arange(256, dtype=np.uint8)
@@ -135,8 +142,12 @@ def _profiles(rows: DataFrame, shingle: int) -> DataFrame:
 def _proposed(nodes: DataFrame, threshold: int) -> DataFrame:
     """Pairs (u, v) of nodes that share a band or a SimHash link."""
     in_bands = nodes.select("node", F.posexplode("bands").alias("band", "value"))
-    ends = in_bands.groupBy("band", "value").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
-    shared = in_bands.join(ends, ["band", "value"]).select(F.col("node").alias("u"), F.explode(F.array("first", "last")).alias("v"))
+    ends = in_bands.groupBy("band", "value").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n")).where("first < last")
+    members = materialize(in_bands.join(ends, ["band", "value"]), "copies-bands")
+    # The node that shares its bands with most others is the most central one: an original lies in the bands of all its copies.
+    company = members.groupBy("node").agg(F.sum("n").alias("company"))
+    central = members.select("node", "band", "value").join(company, "node").groupBy("band", "value").agg(F.max(F.struct("company", "node"))["node"].alias("central"))
+    shared = members.join(central, ["band", "value"]).select(F.col("node").alias("u"), F.explode(F.array("first", "last", "central")).alias("v"))
     prints = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")), "copies-prints")
     same = nodes.join(prints, "fp").select(F.col("node").alias("u"), F.col("first").alias("v"))
     of = lambda name: prints.select(F.col("fp").alias(f"{name}_fp"), F.col("first").alias(name))
@@ -145,15 +156,80 @@ def _proposed(nodes: DataFrame, threshold: int) -> DataFrame:
     return both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def _apart(nodes: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs (u, v) of nodes that share a band or a fingerprint and lie in different groups, but for those in ``done``."""
+def _apart(nodes: DataFrame, roots: DataFrame, done: DataFrame, sets_of: Callable[[DataFrame], DataFrame] | None = None, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """Pairs (u, v) of nodes that share a band or a fingerprint and lie in different groups, but for those in ``done``.
+
+    With ``sets_of``, which gives (node, hashes) of some nodes, nodes of more than ``CROWD`` in a
+    band are paired by their sets; pairs that can't be similar are left out then.
+    """
     groups = nodes.join(roots, F.col("node") == F.col("of"), "left").select("node", F.coalesce("root", "node").alias("group"), F.posexplode(F.concat("bands", F.array("fp"))).alias("band", "value"))
     groups = materialize(groups, "copies-groups")
-    mixed_up = groups.groupBy("band", "value").agg(F.min("group").alias("a"), F.max("group").alias("z")).where("a < z").select("band", "value")
+    mixed_up = groups.groupBy("band", "value").agg(F.min("group").alias("a"), F.max("group").alias("z"), F.count("*").alias("n")).where("a < z").select("band", "value", "n")
     some = materialize(groups.join(mixed_up, ["band", "value"]), "copies-mixed")
-    other = some.select("band", "value", F.col("node").alias("v"), F.col("group").alias("v_group"))
-    pairs = some.join(other, ["band", "value"]).where("group <> v_group and node > v").select(F.col("node").alias("u"), "v").distinct()
-    return pairs.join(done, ["u", "v"], "left_anti")
+    few = some if sets_of is None else some.where(F.col("n") <= CROWD)
+    other = few.select("band", "value", F.col("node").alias("v"), F.col("group").alias("v_group"))
+    pairs = few.join(other, ["band", "value"]).where("group <> v_group and node > v").select(F.col("node").alias("u"), "v")
+    if sets_of is not None:
+        crowd = materialize(some.where(F.col("n") > CROWD).select("node", "group").distinct(), "copies-crowd")
+        pairs = pairs.unionByName(_possible(crowd, sets_of(crowd), similarity))
+    return pairs.distinct().join(done, ["u", "v"], "left_anti")
+
+
+def _slots(sets: DataFrame) -> np.ndarray:
+    """How many members of all sets (hashes) fall on each of ``SLOTS`` counters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            total += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4") % SLOTS, minlength=SLOTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
+
+    found = sets.select("hashes").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(SLOTS, np.int64)
+    total[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return total
+
+
+def rarest(h: np.ndarray, slots: np.ndarray, similarity: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The members of a set, rare slots first, that can be the first in common with a similar set, and the size that it has at most.
+
+    Of two sets of sizes a and b, c members are common. They are similar if whole * c >= part * (a + b - c).
+    If the first common one has k others before it, c <= a - k, so b <= (part + whole) * (a - k) / part - a.
+    """
+    part, whole = similarity
+    h = h[np.lexsort((h, slots[h % SLOTS]))]
+    most = (part + whole) * (len(h) - np.arange(len(h))) // part - len(h)
+    n = int(np.count_nonzero(whole * most >= part * len(h)))
+    return h[:n], most[:n]
+
+
+def _possible(nodes: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Pairs (u, v) of nodes (node, group) in different groups that may be similar by their sets (node, hashes): all that are, and some others."""
+    slots = _slots(sets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from stratalore.llm.near_copies import rarest
+
+        for b in batches:
+            of = [np.frombuffer(x, "<u4") for x in b.column(2).to_pylist()]
+            found = [rarest(h, slots, similarity) for h in of]
+            at = np.repeat(np.arange(len(of)), [len(h) for h, _ in found])
+            if len(at):
+                size = np.array([len(h) for h in of])[at]
+                member, most = (np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(member), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(size), pa.array(most)], ["member", "node", "group", "size", "most"])
+        give_back()
+
+    posted = materialize(nodes.join(sets, "node").select("node", "group", "hashes").mapInArrow(run, "member long, node long, group long, size long, most long"), "copies-posted")
+    in_group = posted.groupBy("member", "group").agg(F.count("*").alias("n"), F.min("size").alias("least"), F.max("most").alias("most"))
+    of_member = in_group.groupBy("member").agg(F.max(F.struct("n", "group"))["group"].alias("main"), F.min("least").alias("low"), F.max("most").alias("high"), F.count("*").alias("groups")).where("groups > 1")
+    posted = materialize(posted.join(of_member, "member").where("most >= low and size <= high").select("member", "node", "group", "size", "most", "main"), "copies-rare")
+    # One node of a pair at least is outside the group that holds the member most often.
+    one = posted.where("group <> main").select("member", F.col("node").alias("u"), F.col("group").alias("u_group"), F.col("size").alias("u_size"), F.col("most").alias("u_most"))
+    other = posted.select("member", F.col("node").alias("v"), F.col("group").alias("v_group"), F.col("size").alias("v_size"), F.col("most").alias("v_most"))
+    pairs = one.join(other, "member").where("u_group <> v_group and u_size <= v_most and v_size <= u_most")
+    return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -194,12 +270,15 @@ def drop_near_copies(docs: DataFrame, threshold: int = 2, shingle: int = SHINGLE
             yield pa.RecordBatch.from_arrays([pa.array(nodes_of(sets)), pa.array(sets, pa.binary())], ["node", "hashes"])
         give_back()
 
-    def decided(pairs: DataFrame) -> DataFrame:
-        named = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    def sets(named: DataFrame) -> DataFrame:
+        """(node, hashes) of the named nodes."""
         # Written before it is read again, so that no task has two Python workers at a time.
         texts = materialize(rows.only(nodes.join(named, "node", "left_semi").select("rep.file", "rep.row"), [text_col]), "copies-texts")
-        sets = materialize(texts.select(F.col(text_col).cast("string")).mapInArrow(sets_of, "node long, hashes binary"), "copies-sets")
-        return materialize(_confirmed(pairs, sets, similarity), "copies-links")
+        return materialize(texts.select(F.col(text_col).cast("string")).mapInArrow(sets_of, "node long, hashes binary"), "copies-sets")
+
+    def decided(pairs: DataFrame) -> DataFrame:
+        named = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        return materialize(_confirmed(pairs, sets(named), similarity), "copies-links")
 
     def grouped(edges: DataFrame) -> DataFrame:
         return materialize(connected_components(edges).withColumnRenamed("node", "of"), "copies-roots")
@@ -207,7 +286,7 @@ def drop_near_copies(docs: DataFrame, threshold: int = 2, shingle: int = SHINGLE
     pairs = materialize(_proposed(nodes.select("node", "fp", "bands"), threshold), "copies-pairs")
     found_links = decided(pairs)
     roots = grouped(found_links)
-    rest = materialize(_apart(nodes.select("node", "fp", "bands"), roots, pairs), "copies-apart")
+    rest = materialize(_apart(nodes.select("node", "fp", "bands"), roots, pairs, sets, similarity), "copies-apart")
     if not rest.isEmpty() and not (more := decided(rest)).isEmpty():
         roots = grouped(found_links.unionByName(more))
     kept = nodes.select("node", "rep").join(roots, F.col("node") == F.col("of"), "left").groupBy(F.coalesce("root", "node")).agg(F.min("rep").alias("rep"))

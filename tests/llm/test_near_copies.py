@@ -104,3 +104,54 @@ def test_no_group_is_split(spark):
     texts = [t for _ in range(4) for t in family(rng, 60)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert {r.doc_id for r in nc.drop_near_copies(docs).collect()} == {min(g) for g in naive_groups(dict(enumerate(texts)))}
+
+
+def test_similar_sets_meet_at_a_rare_member():
+    """Of every two similar sets, the first common member is kept on both sides and allows the other's size."""
+    rng = np.random.default_rng(5)
+    sets, slots = [], rng.integers(0, 50, nc.SLOTS)
+    for _ in range(30):
+        whole = rng.choice(2**32, int(rng.integers(1, 60)), replace=False).astype(np.uint32)
+        sets += [np.unique(np.concatenate([whole[rng.random(len(whole)) < 0.93], rng.integers(0, 2**32, int(rng.integers(0, 3)), np.uint32)])) for _ in range(6)]
+    kept = [{m: most for m, most in zip(*map(np.ndarray.tolist, nc.rarest(s, slots, (4, 5))), strict=True)} for s in sets]
+    similar = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b, common = sets[j], len(np.intersect1d(a, sets[j]))
+            if common and 5 * common >= 4 * (len(a) + len(b) - common):
+                similar += 1
+                assert any(kept[i][m] >= len(b) and kept[j][m] >= len(a) for m in kept[i].keys() & kept[j].keys())
+    assert similar > 100
+
+
+def test_crowded_bands_lose_no_link_and_make_few_pairs(spark):
+    """In one band of many merely alike texts, all links are proposed, by a small part of the pairs."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(120)]
+    texts = []
+    for k in range(300):
+        w = list(words)
+        for at in rng.sample(range(120), 6 + k % 5):
+            w[at] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(w))
+        if k % 30 == 0:
+            texts.append(f"{texts[-1]} end")
+    h, sizes = nc.shingle_sets(pa.array(texts))
+    packed = nc._packed(h, sizes)
+    node = nc.nodes_of(packed).tolist()
+    nodes = spark.createDataFrame([(n, i, [7] * nc.BANDS) for i, n in enumerate(node)], "node long, fp long, bands array<bigint>")
+    sets = spark.createDataFrame([(n, bytearray(p)) for n, p in zip(node, packed, strict=True)], "node long, hashes binary")
+    none = spark.createDataFrame([], "of long, root long"), spark.createDataFrame([], "u long, v long")
+    rest = {(r.u, r.v) for r in nc._apart(nodes, *none, lambda named: sets.join(named, "node", "left_semi")).collect()}
+    plain = {(r.u, r.v) for r in nc._apart(nodes, *none).collect()}
+    of = {n: shingles(t) for n, t in zip(node, texts, strict=True)}
+    alike = {(u, v) for u, v in plain if 5 * len(of[u] & of[v]) >= 4 * len(of[u] | of[v])}
+    assert len(plain) == len(texts) * (len(texts) - 1) // 2 and len(alike) >= 10
+    assert alike <= rest <= plain and len(rest) < len(plain) / 20
+
+
+def test_the_most_central_text_of_a_band_is_paired(spark):
+    """The text whose bands hold most others is paired with all of them, be it the first, the last or neither."""
+    rows = [(k, k, [k if b % 5 == k % 5 else 0 for b in range(nc.BANDS)]) for k in range(1, 12) if k != 6] + [(6, 6, [0] * nc.BANDS)]
+    pairs = {(r.u, r.v) for r in nc._proposed(spark.createDataFrame(rows, "node long, fp long, bands array<bigint>"), 2).collect()}
+    assert {(max(6, k), min(6, k)) for k in range(1, 12) if k != 6} <= pairs
