@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,6 +37,22 @@ def test_entities_dates_technologies(spark):
     assert m.times == ["3:30 PM", "30 PM"] and m.temporal_refs == ["last week"] and "$5 million" in m.quantities and "my_var" in m.technologies
 
 
+@pytest.mark.parametrize("text", ["Go and Google, GoGo.", "C++ C#x C++a xC#é", "Node.js Nodexjs", "éGit GitHub Git_ Git", "Rust's REST APIs; gRPC", "", None])
+def test_technologies_are_whole_words(spark, text):
+    whole = [k for k in V.TECHNOLOGIES if re.search(rf"\b{re.escape(k)}\b", text or "")]
+    assert value(spark, text, lambda c: F.array_intersect(X.technologies(c, 100), F.array(*map(F.lit, V.TECHNOLOGIES)))) == (None if text is None else whole)
+
+
+def test_persons_of_a_long_text_take_one_search(spark):
+    """A text with very many names takes time in proportion to its length."""
+    letters = "abcdefghijklmnopqrst"
+    names = [f"N{a}{b}{c} F{d}{a}{b}" for a in letters for b in letters for c in letters for d in letters[:3]]
+    text = "x " * 3 + "met Dr. Jane Doe, " + ", ".join(names)
+    start = time.monotonic()
+    assert value(spark, text, lambda c: X.persons(c, 10**6)) == ["Jane Doe", *names]
+    assert time.monotonic() - start < 20
+
+
 def test_filters(spark):
     assert value(spark, "user: hello\nassistant: hi there", X.content_type) == "conversation"
     assert value(spark, "def main():\n  import os", lambda c: X.content_type(c, F.lit(None).cast("string"), F.lit("script.py"))) == "code"
