@@ -146,7 +146,8 @@ def _proposed(nodes: DataFrame, threshold: int) -> DataFrame:
     members = materialize(in_bands.join(ends, ["band", "value"]), "copies-bands")
     # The node that shares its bands with most others is the most central one: an original lies in the bands of all its copies.
     company = members.groupBy("node").agg(F.sum("n").alias("company"))
-    central = members.select("node", "band", "value").join(company, "node").groupBy("band", "value").agg(F.max(F.struct("company", "node"))["node"].alias("central"))
+    # Written, so that both sides of the next join are plain tables and the rows of a crowded band can be split.
+    central = materialize(members.select("node", "band", "value").join(company, "node").groupBy("band", "value").agg(F.max(F.struct("company", "node"))["node"].alias("central")), "copies-central")
     shared = members.join(central, ["band", "value"]).select(F.col("node").alias("u"), F.explode(F.array("first", "last", "central")).alias("v"))
     prints = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")), "copies-prints")
     same = nodes.join(prints, "fp").select(F.col("node").alias("u"), F.col("first").alias("v"))
@@ -224,6 +225,7 @@ def _possible(nodes: DataFrame, sets: DataFrame, similarity: tuple[int, int]) ->
     posted = materialize(nodes.join(sets, "node").select("node", "group", "hashes").mapInArrow(run, "member long, node long, group long, size long, most long"), "copies-posted")
     in_group = posted.groupBy("member", "group").agg(F.count("*").alias("n"), F.min("size").alias("least"), F.max("most").alias("most"))
     of_member = in_group.groupBy("member").agg(F.max(F.struct("n", "group"))["group"].alias("main"), F.min("least").alias("low"), F.max("most").alias("high"), F.count("*").alias("groups")).where("groups > 1")
+    of_member = materialize(of_member, "copies-members")
     posted = materialize(posted.join(of_member, "member").where("most >= low and size <= high").select("member", "node", "group", "size", "most", "main"), "copies-rare")
     # One node of a pair at least is outside the group that holds the member most often.
     one = posted.where("group <> main").select("member", F.col("node").alias("u"), F.col("group").alias("u_group"), F.col("size").alias("u_size"), F.col("most").alias("u_most"))
