@@ -139,3 +139,13 @@ def test_parents_follow_from_places_without_a_join(spark):
             assert up.level == 0 and up.doc_id == r.doc_id and up.chunk_index < r.chunk_index and r.text in up.text
     plan = store.chunks._jdf.queryExecution().optimizedPlan().toString()
     assert "parent_index" in plan and plan.count("Join") <= 1
+
+
+def test_distill_shuffles_no_text(spark, sf):
+    """Two scans of the texts, joined by what came of them; nothing of the other two is in the plan."""
+    from stratalore.plans.collection_queries import distill_documents
+
+    rows = distill_documents(spark, sf)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 2 and plan.count("FileScan") == 2 and "NestedLoop" not in plan
+    assert dict(rows.dtypes) == {"doc_id": "bigint", "topics": "string", "dim": "int", "enriched": "bigint", "embedded": "bigint"}
