@@ -53,6 +53,26 @@ def test_persons_of_a_long_text_take_one_search(spark):
     assert time.monotonic() - start < 20
 
 
+def test_structured_metadata_query_leaves_nothing_out(spark, tmp_path):
+    """Nine lists of a text, each with more than five values."""
+    from stratalore.plans.queries import structured_metadata
+
+    many = {
+        "dates": [f"2025-01-{i}" for i in range(10, 18)],
+        "times": [f"{i} pm" for i in range(1, 9)],
+        "temporal_refs": ["last week", "next week", "last month", "next month", "last year", "next year", "today"],
+        "quantities": [f"{i} users" for i in range(20, 28)],
+        "technologies": ["Python", "Java", "Go", "Rust", "Ruby", "PHP", "my_var"],
+        "activities": ["deployed", "built", "created", "tested", "fixed", "merged", "testing"],
+        "persons": [f"Jane Do{c}" for c in "abcdefgh"],
+        "organizations": [f"Acme{c} LLC" for c in "abcdefgh"],
+    }
+    text = "; ".join(v for values in many.values() for v in values)
+    spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r.asDict() for r in structured_metadata(spark, str(tmp_path)).orderBy("doc_id").collect()]
+    assert got == [{"doc_id": 1, **{k: "|".join(v) for k, v in many.items()}, "locations": ""}, {"doc_id": 2, **dict.fromkeys(many, ""), "locations": ""}]
+
+
 def test_every_word_with_a_topic_is_found_by_its_beginning(spark):
     """The search for likely words leaves out none that has a topic, whatever stands beside it."""
     exact, stems = V.keyword_topics(), V.stem_topics()
